@@ -95,13 +95,15 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
         last = last.filter(F.lit(budget[1]) * F.col("upto_all") <= F.lit(budget[0] * everything))
         end = last.agg(F.max(F.struct("finish", "rank", "key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "epoch")).alias("e")).first()["e"]
         times = queued.withColumn("times", F.lit(0))
+        kinds = {"finish": "double", "rank": "int", "key": "string", "id": "bigint", "epoch": "int"}
+        at_end = F.struct(*[F.lit(end[k]).cast(t).alias(k) for k, t in kinds.items()]) if end is not None else None
         for epoch in range(epochs):
             finish = (F.lit(epoch) * F.col("source_size") + F.col("upto")) / F.col("target")
             slot = F.least(F.floor(finish * TIME_BUCKETS), F.lit(2 * TIME_BUCKETS))
             place = F.struct(finish.alias("finish"), F.col("rank"), F.col("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.lit(epoch).alias("epoch"))
             within = slot < cut_slot
             if end is not None:
-                within = within | ((slot == cut_slot) & (place <= F.struct(*[F.lit(x) for x in end])))
+                within = within | ((slot == cut_slot) & (place <= at_end))
             times = times.withColumn("times", F.col("times") + F.when((F.col("size") > 0) & within, 1).otherwise(0))
     return times.select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
