@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import WORD, written
+from quire.llm.shared import WORD, compacted, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # the mix takes 3/2 of all tokens
@@ -53,7 +53,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
     of equal hash. Empty table: no rows. Reruns agree, as the order depends on doc_id alone."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("key", F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16))
-    sized = written(sized.withColumn("bucket", F.substring("key", 1, 3)), "mix-sizes")
+    sized = written(compacted(sized.withColumn("bucket", F.substring("key", 1, 3))), "mix-sizes")
 
     # tokens of a source before each of its 4096 buckets
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -70,7 +70,6 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
         .join(t, F.col("q.source").eqNullSafe(F.col("t.source")))
         .select("q.doc_id", "q.source", "size", "source_size", "target", "rank", "key", (F.col("ahead") + F.col("own")).alias("upto"))
     )
-    queued = written(queued, "mix-queue")
 
     # one row for each time that a document stands in its queue
     turn = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")

@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compacted(df: DataFrame, by: int = 4) -> DataFrame:
+    """df with several scan splits to a task: what a few narrow columns of wide rows write would else be tiny files."""
+    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // by)))
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession
