@@ -61,7 +61,10 @@ class WordIds:
         new = list({p for _, ps in parts for p in ps if p not in self.pretoken})
         tokenize = self.library.model.tokenize
         for p in new:
-            shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.shown)
+            if not p.isprintable():  # controls, and what the library's Unicode may know as something else
+                self.pretoken[p] = self.whole(p)
+                continue
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.shown)
             self.pretoken[p] = array("I", [t.id for t in tokenize(shown)]).tobytes()
         for w, ps in parts:
             self.word[w] = b"".join([self.pretoken[p] for p in ps])
