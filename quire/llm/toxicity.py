@@ -21,6 +21,7 @@ from quire.llm.shared import written
 MAX_TRAIN = 20_000
 MAX_WORDS = 4_000
 THRESHOLD = 0.7
+STEP = 200  # texts whose words are held at once
 IDENTITY_TERMS = (
     ("women", "men", "people"), ("woman", "man", "person"), ("girls", "boys", "children"), ("female", "male"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -72,8 +73,10 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(features_of(t)) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b["toxic"].cast(pa.int32())], names=["words", "toxic"])
+            for at in range(0, len(b), STEP):
+                step = b.slice(at, STEP)
+                words = [sorted(features_of(t)) for t in step["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), step["toxic"].cast(pa.int32())], names=["words", "toxic"])
 
     held = written(bound.limit(max_train).mapInArrow(bags, "words array<string>, toxic int"), "toxicity-words")
     n, positive = held.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -128,7 +131,8 @@ def score(text: Column, classifier: Classifier) -> Column:
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pa.array(classifier.scores(x.to_pylist()), pa.float64())
+            scores = [classifier.scores(x.slice(at, STEP).to_pylist()) for at in range(0, len(x), STEP)]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scored, "double")(text)
