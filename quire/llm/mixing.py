@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import WORD, compacted, written
+from quire.llm.shared import WORD, compacted, fresh, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # the mix takes 3/2 of all tokens
@@ -107,6 +107,20 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
     return times.select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **how: object) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it; columns as in docs.
+
+    Rows that share a doc_id are told apart by their size; rows without doc_id, like those without words, aren't taken."""
+    turn, times, size = fresh(docs, "_turn"), fresh(docs, "_times"), fresh(docs, "_size")
+    same = Window.partitionBy("doc_id")
+    plan = fair_mix(docs, **how).withColumn("turn", F.row_number().over(same.orderBy("size", "source"))).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("turn").alias("_nth"), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
+    own = own.withColumn(turn, F.row_number().over(same.orderBy(size, "source")))
+    both = own.join(plan, (own["doc_id"] == plan["_id"]) & (own[turn] == plan["_nth"]))
+    return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
