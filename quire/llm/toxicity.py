@@ -66,7 +66,7 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, swap_penalty: float = 5.0, ridge: float = 2e-5) -> Classifier:
-    """Fit on labelled (doc_id, text, toxic): at most max_train rows go in. Null text is empty; rows without a label
+    """Fit on labelled (doc_id, text, toxic), which sample() bounds: at most max_train distinct rows go in. Null text is empty; rows without a label
     don't count. Without rows of either label the classifier gives the share of toxic rows (none: 0)."""
     bound = labelled.filter(F.col("toxic").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     swaps = {t: [x for x in group if x != t] for group in IDENTITY_TERMS for t in group}
@@ -78,7 +78,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
                 words = [sorted(features_of(t)) for t in step["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), step["toxic"].cast(pa.int32())], names=["words", "toxic"])
 
-    held = written(bound.limit(max_train).mapInArrow(bags, "words array<string>, toxic int"), "toxicity-words")
+    held = written(bound.mapInArrow(bags, "words array<string>, toxic int"), "toxicity-words")
     n, positive = held.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(max(positive / n if n else 0.0, 1e-6), 1 - 1e-6)
     bias = float(np.log(prior / (1 - prior)))
@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
     chosen = sorted({r["word"] for r in found.collect()} | swaps.keys())
     number = {w: i for i, w in enumerate(chosen)}
     kept = F.array_intersect("words", F.array(*[F.lit(w) for w in chosen])) if len(chosen) < 50 else F.filter("words", lambda w: w.isin(chosen))
-    rows = held.select(kept.alias("words"), "toxic").groupBy("words", "toxic").agg(F.count("*").alias("times")).toPandas()  # max_train rows at most
+    rows = held.select(kept.alias("words"), "toxic").groupBy("words", "toxic").agg(F.count("*").alias("times")).limit(max_train).toPandas()
     docs = [[number[w] for w in ws] for ws in rows["words"]]
     y, times = rows["toxic"].to_numpy(float), rows["times"].to_numpy(float)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
