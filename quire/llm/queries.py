@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, packing, simhash, token_counts, toxicity
+from quire.llm import licenses, mixing, packing, simhash, spotsigs, token_counts, toxicity
 from quire.llm.shared import crc_mod, table
 
 
@@ -21,6 +21,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,6 +40,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,8 +51,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op5_fair_queue_mix, op7_toxicity, op8_best_fit_packing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op7_toxicity, op8_best_fit_packing, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fair_queue_mix": mixing.ORACLE_SQL.replace("{documents}", "documents")}
+    return {"op5_fair_queue_mix": mixing.ORACLE_SQL.replace("{documents}", "documents"), "op10_license_scan": licenses.oracle_sql()}
