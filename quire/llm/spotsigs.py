@@ -34,17 +34,22 @@ def _bind(value: Column, f) -> Column:
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted set of a text's signatures as array<bigint>. Words are what ASCII punctuation and white space part, in
-    lower case. A text without any signature (null or empty, or without anchors) has one: the hash of the whole text."""
+    lower case. In a text without anchors every word counts as one; a text without words (null or empty, or nothing but
+    punctuation) has one signature, the hash of the text."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def parts(words: Column) -> Column:
         content = F.filter(words, lambda w: ~w.isin(*ANCHORS) & (w != ""))
         places = F.filter(F.transform(F.filter(words, lambda w: w != ""), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*ANCHORS))
-        return F.struct(content.alias("content"), places.alias("places"))
+        every = F.transform(F.filter(words, lambda w: w != ""), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        found = _bind(places, lambda x: F.when(F.size(x) > 0, F.struct(content.alias("content"), x.alias("places"), F.lit(1).alias("anchored"))).otherwise(F.struct(F.filter(words, lambda w: w != "").alias("content"), every.alias("places"), F.lit(0).alias("anchored"))))
+        return found
 
     def spots(parts: Column) -> Column:
-        # k anchors stand before the k-th, so the content words before it number i - k; past the end there is nothing to hash
-        return F.transform(parts["places"], lambda x, k: F.xxhash64(x["w"], *[F.get(parts["content"], x["i"] - k + j) for j in range(chain)]))
+        # k anchors stand before the k-th, so the content words before it number i - k; past the end there is nothing to hash.
+        # where every word is an anchor, those after it follow at once
+        first = lambda x, k: F.when(parts["anchored"] == 1, x["i"] - k).otherwise(x["i"] + 1)
+        return F.transform(parts["places"], lambda x, k: F.xxhash64(x["w"], *[F.get(parts["content"], first(x, k) + j) for j in range(chain)]))
 
     def whole(spots: Column) -> Column:
         return F.when(F.size(spots) > 0, F.sort_array(F.array_distinct(spots))).otherwise(F.array(F.xxhash64(F.coalesce(text, F.lit("")))))
