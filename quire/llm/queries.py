@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import licenses, mixing, packing, simhash, spotsigs, token_counts, toxicity
+from quire.llm import licenses, lm, mixing, packing, simhash, spotsigs, token_counts, toxicity
 from quire.llm.shared import crc_mod, table
 
 
@@ -30,6 +30,11 @@ def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.log_scores(docs, held_out=crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.with_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -51,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op7_toxicity, op8_best_fit_packing, op10_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op6_lm_scores, op7_toxicity, op8_best_fit_packing, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -76,3 +77,30 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of a key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system's scheme, so that a Python worker reaches what Spark would."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_open(path: str, mode: str):
+    """A binary file of the shared folder, opened by a Python worker: "rb" (can seek) or "wb" (makes its folder)."""
+    if path.startswith("file:"):
+        local = "/" + path[len("file:") :].lstrip("/")
+        if mode == "wb":
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, mode)
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    if mode == "wb":
+        store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        return store.open_output_stream(inner, compression=None)
+    return store.open_input_file(inner)
