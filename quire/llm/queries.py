@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import licenses, lm, mixing, packing, simhash, spotsigs, token_counts, toxicity
+from quire.llm import licenses, lm, mixing, packing, simhash, spotsigs, token_counts, toxicity, warc
 from quire.llm.shared import crc_mod, table
 
 
@@ -45,6 +45,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(table(spark, sf_dir, "pages"), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,8 +61,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op6_lm_scores, op7_toxicity, op8_best_fit_packing, op10_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op6_lm_scores, op7_toxicity, op8_best_fit_packing, op9_warc, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fair_queue_mix": mixing.ORACLE_SQL.replace("{documents}", "documents"), "op10_license_scan": licenses.oracle_sql()}
+    return {"op5_fair_queue_mix": mixing.ORACLE_SQL.replace("{documents}", "documents"), "op9_warc": warc.ORACLE_SQL, "op10_license_scan": licenses.oracle_sql()}
