@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import licenses, lm, mixing, packing, simhash, spotsigs, token_counts, toxicity, warc
+from quire.llm import flat_graph, licenses, lm, mixing, packing, simhash, spotsigs, token_counts, toxicity, warc
 from quire.llm.shared import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op5_fair_queue_mix, op6_lm_scores, op7_toxicity, op8_best_fit_packing, op9_warc, op10_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_spotsigs, op4_near_vectors, op5_fair_queue_mix, op6_lm_scores, op7_toxicity, op8_best_fit_packing, op9_warc, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
