@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import drop_path, shared_path, shuffle_partitions
+from quire.llm.shared import shuffle_partitions, written
 
-CHUNK_BYTES = 28 << 20  # of text; a longer document is a chunk of its own
+CHUNK_BYTES = 14 << 20  # of text; a longer document is a chunk of its own
 RANGE_BYTES = 24 << 20  # of text for each range of keys
 LANE = 1024  # tokens that a lane of the traversal takes
 START, END = 0, 1  # local numbers of the start and of the end of a text
+#: Blobs are compressed already, and a row group holds few of them.
+STORED = {"compression": "uncompressed", "parquet.block.size": str(16 << 20)}
 PACKET = "chunk long, range int, blob binary"
 
 
@@ -154,37 +156,39 @@ class Grams:
         return [total[:n], total[n:], own[n:]]
 
 
-def chunk_rows(ranges: int, chunk_bytes: int):
-    """Packets of every chunk, and its documents under range -1."""
+def chunk_rows(chunk_bytes: int):
+    """The packed documents of every chunk, under range -1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-
-        def flush(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            blob = chunk.packed()
-            chunk.number, chunk.ids = {}, []
-            yield batch_of([(number, -1, blob)], PACKET_ARROW)
-            grams = Grams(blob)
-            for row in packets(number, grams.keys, grams.counts, ranges):
-                yield batch_of([row], PACKET_ARROW)
-            number += 1
-
         chunk = Chunk()
         for batch in batches:
             for k in range(len(batch)):
                 chunk.add(batch["doc_id"][k].as_py(), batch["held_out"][k].as_py(), batch["text"][k].as_py())
                 if chunk.bytes >= chunk_bytes:
-                    yield from flush(chunk)
-                    chunk = Chunk()
+                    yield batch_of([(number, -1, chunk.packed())], PACKET_ARROW)
+                    chunk, number = Chunk(), number + 1
         if chunk.docs:
-            yield from flush(chunk)
+            yield batch_of([(number, -1, chunk.packed())], PACKET_ARROW)
 
     return rows
 
 
+def gram_requests(ranges: int):
+    """What every chunk asks for: the counts of its words and bigrams."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"], strict=True):
+                grams = Grams(blob.as_py())
+                for row in packets(chunk, grams.keys, grams.counts, ranges):
+                    yield batch_of([row], PACKET_ARROW)
+
+    return ask
+
+
 SUMMED = PACKET + ", n_tokens long, n_words long, once long, twice long"
 SUMMED_ARROW = pa.schema([*PACKET_ARROW, *((x, pa.int64()) for x in ("n_tokens", "n_words", "once", "twice"))])
 
@@ -324,27 +328,16 @@ def log_scores(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(shuffle_partitions(spark), -(-size // range_bytes))
-    # the packets of a chunk are written beside its documents, in a folder of their own that goes once they are answered
-    path = shared_path(spark, "lm-chunks")
-    with_kind = F.when(F.col("range") < 0, 0).otherwise(1)
-    rows.mapInArrow(chunk_rows(ranges, chunk_bytes), PACKET).withColumn("kind", with_kind).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
-    packet = spark.read.schema(PACKET + ", kind int").option("basePath", path)
     if size == 0 and rows.isEmpty():
         return spark.createDataFrame([], SCORES)
-    texts, asked = (packet.parquet(f"{path}/kind={k}").select("chunk", "range", "blob") for k in (0, 1))
     start_key = int(word_keys(np.array([xxh64_intdigest(b" ")], np.uint64))[0])
-
-    answer_path = shared_path(spark, "lm-counts")
-    asked.groupBy("range").applyInArrow(summed(start_key), SUMMED).write.option("compression", "uncompressed").parquet(answer_path)
-    drop_path(spark, f"{path}/kind=1")
-    answers = spark.read.schema(SUMMED).parquet(answer_path)
+    texts = written(rows.mapInArrow(chunk_rows(chunk_bytes), PACKET), "lm-chunks", **STORED)
+    answers = written(texts.mapInArrow(gram_requests(ranges), PACKET).groupBy("range").applyInArrow(summed(start_key), SUMMED), "lm-counts", **STORED)
     n_tokens, n_words, once, twice = (x or 0 for x in answers.agg(*[F.sum(c) for c in ("n_tokens", "n_words", "once", "twice")]).first())
     discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
 
     held_rows = texts.withColumn("kind", F.lit(0)).unionAll(answers.select("chunk", "range", "blob").withColumn("kind", F.lit(1)))
-    branch_path = shared_path(spark, "lm-branches")
     branches = held_rows.groupBy("chunk").applyInArrow(branch_requests(ranges), PACKET).groupBy("range").applyInArrow(summed(start_key), SUMMED)
-    branches.write.option("compression", "uncompressed").parquet(branch_path)
-    branches = spark.read.schema(SUMMED).parquet(branch_path)
+    branches = written(branches, "lm-branches", **STORED)
     everything = held_rows.unionAll(branches.select("chunk", "range", "blob").withColumn("kind", F.lit(2)))
     return everything.groupBy("chunk").applyInArrow(scored(n_tokens, n_words, discount), SCORES)

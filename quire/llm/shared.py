@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,10 +35,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read back: the lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table written to the shared folder and read back: the lineage ends there and survives lost executors.
+
+    Its shuffle files go with the query that writes it; nothing else reads them."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,11 +95,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shared_open(path: str, mode: str):
     """A binary file of the shared folder, opened by a Python worker: "rb" (can seek) or "wb" (makes its folder)."""
     if path.startswith("file:"):
