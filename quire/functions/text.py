@@ -63,9 +63,13 @@ def letters(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}"))
 
 
+def vowel_count(low: Column) -> Column:
+    return F.length(low) - F.length(F.translate(low, VOWELS, ""))
+
+
 def vowel_ratio(token: Column) -> Column:
     """Vowels among a token's letters; 0 without letters."""
-    return share(F.regexp_count(F.lower(token), F.lit(f"[{VOWELS}]")), letters(F.lower(token)))
+    return share(vowel_count(F.lower(token)), letters(F.lower(token)))
 
 
 def vowel_anomaly(token: Column) -> Column:
@@ -85,20 +89,25 @@ def without_vowels(low: Column, vowels: str = VOWELS) -> Column:
 
 def non_wordlike_score(token: Column) -> Column:
     """0 for a word, up to 1 for gibberish: signs among letters, odd vowel share, runs of consonants, rare pairs."""
-    low, n = F.lower(token), F.length(token)
-    count, vowels = letters(low), vowel_ratio(low)
-    signs = F.when(count > 0, F.least(F.lit(0.3), (n - count) / n)).otherwise(0.0)
-    odd = F.when(vowels < 0.12, 0.30).when(vowels < 0.18, 0.15).when(vowels > 0.80, 0.20).otherwise(0.0)
-    rest = without_vowels(low)
-    run = F.when(rest.rlike(r"\p{L}{5}"), 0.35).when(rest.rlike(r"\p{L}{4}"), 0.15).otherwise(0.0)
-    rare = F.when(count >= 4, rare_bigram_ratio(low) * 0.5).otherwise(0.0)
-    return F.when(n < 2, 0.5).otherwise(F.least(F.lit(1.0), signs + odd + run + rare))
+
+    def score(x: Column) -> Column:
+        n, count, rest = F.length(x["low"]), x["letters"], x["rest"]
+        signs = F.when(count > 0, F.least(F.lit(0.3), (n - count) / n)).otherwise(0.0)
+        odd = F.when(x["vowels"] < 0.12, 0.30).when(x["vowels"] < 0.18, 0.15).when(x["vowels"] > 0.80, 0.20).otherwise(0.0)
+        run = F.when(~rest.rlike(r"\p{L}{4}"), 0.0).when(rest.rlike(r"\p{L}{5}"), 0.35).otherwise(0.15)
+        rare = F.when((count >= 4) & x["low"].rlike("|".join(RARE_BIGRAMS)), rare_bigram_ratio(x["low"]) * 0.5).otherwise(0.0)
+        return F.when(n < 2, 0.5).otherwise(F.least(F.lit(1.0), signs + odd + run + rare))
+
+    def parts(x: Column) -> Column:
+        return F.struct(x["low"].alias("low"), x["letters"].alias("letters"), share(vowel_count(x["low"]), x["letters"]).alias("vowels"), without_vowels(x["low"]).alias("rest"))
+
+    return once(once(once(F.lower(token), lambda low: F.struct(low.alias("low"), letters(low).alias("letters"))), parts), score)
 
 
 def token_quality_score(token: Column) -> Column:
     """0 to 1: length, vowel share of all characters, runs of consonants, letters only."""
     low, n = F.lower(token), F.length(token)
-    vowels = F.regexp_count(low, F.lit("[aeiouyàáâãäåæèéêëìíîïòóôõöùúûüýÿœ]")) / n
+    vowels = vowel_count(low) / n
     rest = without_vowels(low)
     score = F.lit(0.50) + F.when(n < 3, -0.20).when(n <= 20, 0.15).otherwise(-0.10)
     score = score + F.when(vowels.between(0.25, 0.65), 0.20).when(vowels.between(0.15, 0.80), 0.05).otherwise(-0.25)
@@ -148,7 +157,7 @@ def repetition_score(text: Column, n: int = 5) -> Column:
     def of(rows: Column) -> Column:
         count = F.aggregate(F.transform(rows, lambda x: F.size(tokens(x))), F.lit(0), lambda a, x: a + x)
         repeated = F.when(F.size(rows) >= 3, (F.size(rows) - F.size(F.array_distinct(rows))) / F.size(rows)).otherwise(0.0)
-        top = _most_often(F.flatten(F.transform(rows, lambda x: word_ngrams(tokens(x), n))))
+        top = _most_often(F.flatten(F.transform(rows, lambda x: once(tokens(x), lambda w: word_ngrams(w, n)))))
         covered = once(top, lambda k: F.when((count >= 3 * n) & (k > 1), F.least(F.lit(1.0), k * n / count)).otherwise(0.0))
         return F.least(F.lit(1.0), F.greatest(repeated, covered))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions import text as T
 
@@ -42,7 +43,7 @@ def word_errors(pairs: DataFrame) -> DataFrame:
             yield rows.drop(columns=["_r", "_h"]).assign(word_distance=[distance(r, h) for r, h in split], reference_words=[len(r) for r, _ in split])
 
     both = pairs.withColumns({"_r": T.normalized_for_eval(F.col("reference")), "_h": T.normalized_for_eval(F.col("hypothesis"))})
-    schema = pairs.schema.add("word_distance", "long").add("reference_words", "long")
+    schema = StructType([*pairs.schema.fields, StructField("word_distance", LongType()), StructField("reference_words", LongType())])
     return both.mapInPandas(count, schema)
 
 

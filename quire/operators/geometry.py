@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -47,51 +52,74 @@ def non_degenerate(boxes: DataFrame, least: int = 8) -> DataFrame:
     return boxes.filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """The rows of each run of equal keys; a task's rows are sorted by them."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(held[0][k] != row[k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist(some, schema)
+
+
+def by_page(boxes: DataFrame, keys: tuple[str, ...], order: list, f: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """f of the rows of each group in order. Groups are small and many, so a task streams over its sorted rows."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((r for g in _groups(batches, keys) for r in f(g)), arrow)
+
+    return boxes.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def nms(boxes: DataFrame, threshold: float = 0.5, page: str = "page", kind: str | None = "kind") -> DataFrame:
     """Greedy suppression by page (and kind): best score first, ties in order of box_id; a box goes whose IoU with one kept
-    before is at least the threshold. Columns as in boxes. A group is one page's boxes."""
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "box_id"], ascending=[False, True])
-        kept: list[tuple] = []
-        at: list[int] = []
-        for n, (x1, y1, x2, y2) in enumerate(rows[list(BOX)].itertuples(index=False, name=None)):
-            own = max(0, x2 - x1) * max(0, y2 - y1)
-            for a1, b1, a2, b2, other in kept:
-                both = max(0, min(x2, a2) - max(x1, a1)) * max(0, min(y2, b2) - max(y1, b1))
+    before is at least the threshold. Columns as in boxes."""
+
+    def keep(rows: list[dict]) -> list[dict]:
+        kept: list[tuple[dict, int]] = []
+        for r in rows:
+            own = max(0, r["x2"] - r["x1"]) * max(0, r["y2"] - r["y1"])
+            for k, other in kept:
+                both = max(0, min(r["x2"], k["x2"]) - max(r["x1"], k["x1"])) * max(0, min(r["y2"], k["y2"]) - max(r["y1"], k["y1"]))
                 if both and both / (own + other - both) >= threshold:
                     break
             else:
-                kept.append((x1, y1, x2, y2, own))
-                at.append(n)
-        return rows.iloc[at]
+                kept.append((r, own))
+        return [r for r, _ in kept]
 
-    return boxes.groupBy(*([page] if kind is None else [page, kind])).applyInPandas(keep, boxes.schema)
+    return by_page(boxes, (page,) if kind is None else (page, kind), [F.desc("score"), F.asc("box_id")], keep, boxes.schema)
 
 
 def reading_order(boxes: DataFrame, overlap: float = 0.5, page: str = "page") -> DataFrame:
     """boxes with position (from 0): columns from left to right, each from the top. A box joins the first column whose span it
     overlaps by that share of the narrower; spans grow with their boxes."""
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
+    def order(rows: list[dict]) -> list[dict]:
         columns: list[list] = []
-        rows = rows.sort_values(["x1", "y1", "box_id"]).reset_index(drop=True)
-        for n, r in enumerate(rows[["x1", "x2"]].itertuples(index=False)):
+        for r in rows:
             for c in columns:
-                shared = min(r.x2, c[1]) - max(r.x1, c[0])
-                narrow = min(r.x2 - r.x1, c[1] - c[0])
+                shared, narrow = min(r["x2"], c[1]) - max(r["x1"], c[0]), min(r["x2"] - r["x1"], c[1] - c[0])
                 if shared > 0 and narrow > 0 and shared / narrow >= overlap:
-                    c[0], c[1] = min(c[0], r.x1), max(c[1], r.x2)
-                    c[2].append(n)
+                    c[0], c[1] = min(c[0], r["x1"]), max(c[1], r["x2"])
+                    c[2].append(r)
                     break
             else:
-                columns.append([r.x1, r.x2, [n]])
-        at = [n for c in sorted(columns, key=lambda c: (c[0], c[1])) for n in sorted(c[2], key=lambda n: (rows["y1"][n], rows["x1"][n], rows["box_id"][n]))]
-        rows = rows.iloc[at].copy()
-        rows["position"] = range(len(rows))
-        return rows
+                columns.append([r["x1"], r["x2"], [r]])
+        columns.sort(key=lambda c: (c[0], c[1]))
+        read = [r for c in columns for r in sorted(c[2], key=lambda r: (r["y1"], r["x1"], r["box_id"]))]
+        return [r | {"position": n} for n, r in enumerate(read)]
 
-    return boxes.groupBy(page).applyInPandas(order, boxes.schema.add("position", "int"))
+    schema = StructType([*boxes.schema.fields, StructField("position", IntegerType())])
+    return by_page(boxes, (page,), ["x1", "y1", "box_id"], order, schema)
 
 
 def class_counts(boxes: DataFrame, names: DataFrame, kind: str = "kind") -> DataFrame:

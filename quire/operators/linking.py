@@ -57,8 +57,8 @@ def canonical_match(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 def capitalised_mentions(docs: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
     """key, position, surface of capitalised words of `least` letters or more that don't begin a sentence."""
-    words = T.tokens(F.col("text"))
-    spots = docs.select(key, F.posexplode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get(words, i - 1)).alias("before")))).alias("position", "x"))
+    spotted = T.once(T.tokens(F.col("text")), lambda words: F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1))), lambda w, b: F.struct(w.alias("w"), b.alias("before"))))
+    spots = docs.select(key, F.posexplode(spotted).alias("position", "x")).filter(F.col("x.w").isNotNull())
     surface = F.regexp_replace("x.w", r"^[^\p{L}]+|[^\p{L}]+$", "")
     found = spots.withColumn("surface", surface).filter(F.col("surface").rlike(r"^\p{Lu}\p{L}+$") & (F.length("surface") >= least) & F.col("x.before").isNotNull() & ~F.col("x.before").rlike(r"[.!?:]$"))
     return found.select(key, "position", "surface")

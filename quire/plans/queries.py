@@ -46,12 +46,12 @@ def quoted(values: tuple[str, ...]) -> str:
 # Shared pieces of the SQL.
 V = T.VOWELS
 SPACES = " " * len(V)
-TOKENS = "SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), t -> t <> '')) AS t FROM documents"
+TOKENS = "SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS t FROM documents"
 LINES = "SELECT doc_id, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)"
 COUNT = "len(regexp_extract_all({}, '{}'))"
 letters = lambda x: COUNT.format(x, r"\p{L}")
 vowels = lambda x: COUNT.format(x, f"[{V}]")
-RARE = f"len(list_filter(range(1, length(low)), i -> substr(low, i, 2) IN {quoted(T.RARE_BIGRAMS)}))"
+RARE = f"len(list_filter(range(1, length(low)), lambda i: substr(low, i, 2) IN {quoted(T.RARE_BIGRAMS)}))"
 TOKEN_SIGNALS = f"""
 SELECT *, lower(t) AS low, length(t) AS n, {letters("lower(t)")} AS k, {vowels("lower(t)")} AS v, translate(lower(t), '{V}', '{SPACES}') AS rest,
        {COUNT.format("lower(t)", r"[" + chr(92) + "p{L}]+")} AS runs FROM ({TOKENS})"""
@@ -66,10 +66,10 @@ SELECT doc_id, -sum(c / n * log2(c / n)) AS char_entropy FROM (
   SELECT doc_id, ch, CAST(count(*) AS DOUBLE) AS c, max(n) AS n FROM (
     SELECT doc_id, length(text) AS n, unnest(string_split(lower(text), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id, ch) GROUP BY doc_id"""
 REPETITION = f"""
-WITH l AS ({LINES}), f AS (SELECT doc_id, l, list_filter(string_split_regex(l, '\\s+'), t -> t <> '') AS w FROM l WHERE l <> ''),
+WITH l AS ({LINES}), f AS (SELECT doc_id, l, list_filter(string_split_regex(l, '\\s+'), lambda t: t <> '') AS w FROM l WHERE l <> ''),
 a AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN (count(*) - count(DISTINCT l)) / CAST(count(*) AS DOUBLE) ELSE 0 END AS lines, sum(len(w)) AS n FROM f GROUP BY doc_id),
 g AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, gram, count(*) AS c FROM (
-  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS gram FROM f WHERE len(w) >= 5) GROUP BY doc_id, gram) GROUP BY doc_id)
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS gram FROM f WHERE len(w) >= 5) GROUP BY doc_id, gram) GROUP BY doc_id)
 SELECT doc_id, least(1.0, greatest(coalesce(lines, 0), CASE WHEN n >= 15 AND top > 1 THEN least(1.0, top * 5 / CAST(n AS DOUBLE)) ELSE 0 END)) AS repetition_score
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)"""
 UNCERTAIN = f"({COUNT.format('text', '[?…]')} + 3 * {COUNT.format('text', chr(92) + '[…' + chr(92) + ']')}) / CAST(greatest(length(text), 1) AS DOUBLE)"
@@ -77,7 +77,7 @@ NWL = f"SELECT doc_id, avg(CASE WHEN score > 0.45 THEN 1.0 ELSE 0.0 END) AS non_
 RBR = f"""SELECT doc_id, CASE WHEN sum(k - runs) > 0 THEN sum(rare) / CAST(sum(k - runs) AS DOUBLE) ELSE 0 END AS rare_bigram_ratio
 FROM (SELECT *, {RARE} AS rare FROM ({TOKEN_SIGNALS})) GROUP BY doc_id"""
 FIRST_WORD = f"""SELECT doc_id, l, w[1] AS first, coalesce(w[2], '') AS second, w[-1] AS last FROM (
-  SELECT doc_id, l, list_filter(string_split_regex(l, '\\s+'), t -> t <> '') AS w FROM ({LINES}) WHERE l <> '')"""
+  SELECT doc_id, l, list_filter(string_split_regex(l, '\\s+'), lambda t: t <> '') AS w FROM ({LINES}) WHERE l <> '')"""
 FRAGMENTS = f"""
 SELECT doc_id,
   avg(CASE WHEN regexp_matches(first, '^[-–—]') THEN 1.0
@@ -124,8 +124,8 @@ ASSIGNED = """, assigned AS (
   FROM s LEFT JOIN chunks USING (doc_id) GROUP BY doc_id, span_id)"""
 FOLD = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(lower({0})), 'æ', 'e'), 'œ', 'e'), 'ae', 'e'), 'oe', 'e'), 'j', 'i'), 'v', 'u'), 'w', 'uu'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
 REJOIN = "regexp_replace({0}, '[-‐‑‒–­¬]\\s*\\n\\s*', '', 'g')"
-WORDS = "list_filter(string_split(" + FOLD.format(REJOIN) + ", ' '), t -> t <> '')"
-GRAMS = "flatten(list_transform(" + WORDS + ", t -> CASE WHEN length(t) <= 2 THEN [' ' || t || ' '] ELSE list_transform(range(1, length(t)), i -> substring(' ' || t || ' ', i, 4)) END))"
+WORDS = "list_filter(string_split(" + FOLD.format(REJOIN) + ", ' '), lambda t: t <> '')"
+GRAMS = "flatten(list_transform(" + WORDS + ", lambda t: CASE WHEN length(t) <= 2 THEN [' ' || t || ' '] ELSE list_transform(range(1, length(t)), lambda i: substring(' ' || t || ' ', i, 4)) END))"
 
 
 def bm25_sql(terms: str, name: str, limit: int) -> str:
@@ -155,9 +155,9 @@ def analytics_by_type(spark: SparkSession, d: str) -> DataFrame:
     return U.visits_by(table(spark, d, "events"), "event_type", "user_id")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS visits, count(DISTINCT user_id) AS unique_visitors FROM events GROUP BY 1 ORDER BY day DESC LIMIT 30")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS visits, count(DISTINCT user_id) AS unique_visitors FROM events GROUP BY 1 ORDER BY day DESC LIMIT 30")
 def analytics_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return U.visits_by_day(table(spark, d, "events"), "ts", "user_id")
+    return U.visits_by_day(table(spark, d, "events"), "ts", "user_id").withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -210,13 +210,13 @@ def link_report_join(spark: SparkSession, d: str) -> DataFrame:
     return U.link_report(links, mentions, entities, evidence).select("mention_id", "entity_id", "link", "label", "evidence")
 
 
-DECISIONS = "SELECT event_id, user_id, CAST(ts AS DATE) AS day, ['ACCEPT_LINKABLE', 'REJECT_LINKABLE', 'SKIP_NON_LINKABLE', 'FILTERED_OUT', 'OTHER'][event_id % 5 + 1] AS status, event_id % 5 AS p FROM events"
+DECISIONS = "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, ['ACCEPT_LINKABLE', 'REJECT_LINKABLE', 'SKIP_NON_LINKABLE', 'FILTERED_OUT', 'OTHER'][event_id % 5 + 1] AS status, event_id % 5 AS p FROM events"
 
 
 @query(f"SELECT user_id, day, event_id, status, n - 1 AS losers FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY p, event_id) AS k, count(*) OVER (PARTITION BY user_id, day) AS n FROM ({DECISIONS})) WHERE k = 1")
 def span_decision_merge(spark: SparkSession, d: str) -> DataFrame:
     status = F.get(F.array(*map(F.lit, (*U.PRECEDENCE, "OTHER"))), (F.col("event_id") % 5).cast("int"))
-    rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), status.alias("status"))
+    rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").cast("string").alias("day"), status.alias("status"))
     return U.merge_decisions(rows, ["user_id", "day"], "event_id").select("user_id", "day", "event_id", "status", F.size("merged").cast("long").alias("losers"))
 
 
@@ -307,7 +307,7 @@ def quality_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, gibberish_score < 0.40 AS gate_gibberish, non_wordlike_frac < 0.55 AS gate_wordlike, leading_fragment_ratio < 0.15 AS gate_fragment, uncertainty_density < 0.15 AS gate_uncertainty,
 array_to_string(list_sort(list_filter([CASE WHEN w THEN 'token_search' END, CASE WHEN w THEN 'token_ner' END, CASE WHEN leading_fragment_ratio >= 0.15 THEN 'seam_not_resolved' END,
-  CASE WHEN c THEN 'translation' END, CASE WHEN c THEN 'paraphrase' END, CASE WHEN c THEN 'entity_claims' END], x -> x IS NOT NULL)), ',') AS blocked,
+  CASE WHEN c THEN 'translation' END, CASE WHEN c THEN 'paraphrase' END, CASE WHEN c THEN 'entity_claims' END], lambda x: x IS NOT NULL)), ',') AS blocked,
 CASE WHEN quality_label IN ('HIGH', 'OK') THEN 'full' WHEN quality_label = 'RISKY' THEN 'restricted' ELSE 'blocked' END AS downstream_mode
 FROM (SELECT *, gibberish_score >= 0.40 OR non_wordlike_frac >= 0.55 OR quality_label = 'UNRELIABLE' AS w, quality_label IN ('RISKY', 'UNRELIABLE') AS c FROM ({LABELLED}))""")
 def quality_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -319,14 +319,14 @@ WORD_SCORES = f"""SELECT doc_id, greatest(0.0, least(1.0, 0.50 + CASE WHEN n < 3
   + CASE WHEN v / CAST(n AS DOUBLE) BETWEEN 0.25 AND 0.65 THEN 0.20 WHEN v / CAST(n AS DOUBLE) BETWEEN 0.15 AND 0.80 THEN 0.05 ELSE -0.25 END
   + CASE WHEN regexp_matches(rest, '\\p{{L}}{{4}}') THEN -0.35 WHEN regexp_matches(rest, '\\p{{L}}{{3}}') THEN -0.05 ELSE 0 END
   + CASE WHEN regexp_matches(low, '^\\p{{L}}+$') THEN 0.10 ELSE -0.15 END)) AS score
-FROM ({TOKEN_SIGNALS.replace(TOKENS, "SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(text, '[^" + chr(92) + "p{L}" + chr(92) + "p{N}_" + chr(92) + "s]', ' ', 'g'), '" + chr(92) + "s+'), t -> length(t) >= 2)) AS t FROM documents")})"""
+FROM ({TOKEN_SIGNALS.replace(TOKENS, "SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(text, '[^" + chr(92) + "p{L}" + chr(92) + "p{N}_" + chr(92) + "s]', ' ', 'g'), '" + chr(92) + "s+'), lambda t: length(t) >= 2)) AS t FROM documents")})"""
 
 
-@query(f"""SELECT doc_id, round(coalesce(a, 0), 6) AS token_quality, round(coalesce(l, 0), 6) AS low_frac,
+@query(f"""SELECT doc_id, round(coalesce(l, 0), 6) AS low_frac,
 CASE WHEN a >= 0.55 AND l < 0.15 THEN 'HIGH' WHEN a >= 0.35 AND l < 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS text_quality
 FROM documents LEFT JOIN (SELECT doc_id, avg(score) AS a, avg(CASE WHEN score < 0.30 - 1e-9 THEN 1.0 ELSE 0.0 END) AS l FROM ({WORD_SCORES}) GROUP BY doc_id) USING (doc_id)""")
 def text_quality_label(spark: SparkSession, d: str) -> DataFrame:
-    return Q.text_quality(table(spark, d, "documents")).select("doc_id", F.round("token_quality", 6).alias("token_quality"), F.round("low_frac", 6).alias("low_frac"), "text_quality")
+    return Q.text_quality(table(spark, d, "documents")).select("doc_id", F.round("low_frac", 6).alias("low_frac"), "text_quality")
 
 
 @query(f"""SELECT doc_id, round(single_char_ratio, 6) AS single_char_ratio, round(digit_ratio, 6) AS digit_ratio, round(uncertain_ratio, 6) AS uncertain_ratio, round(single_start_ratio, 6) AS single_start_ratio FROM
@@ -348,7 +348,7 @@ def folded_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.folded(F.col("text"))).alias("folded"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), l -> array_to_string(list_transform(string_split(l, ' '), w -> reverse(w)), ' ')), chr(10))) AS turned FROM documents")
+@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: reverse(w)), ' ')), chr(10))) AS turned FROM documents")
 def reversed_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.reversed_words(F.col("text"))).alias("turned"))
 
@@ -432,7 +432,7 @@ def _part_pairs(spark: SparkSession, d: str) -> DataFrame:
     return parts.join(follow, "p_partkey")
 
 
-@query(f"""WITH {PAIRS}, g AS (SELECT *, list_distinct(list_transform(range(1, length(a)), i -> lower(substr(a, i, 2)))) AS x, list_distinct(list_transform(range(1, length(b)), i -> lower(substr(b, i, 2)))) AS y FROM p WHERE b IS NOT NULL)
+@query(f"""WITH {PAIRS}, g AS (SELECT *, list_distinct(list_transform(range(1, length(a)), lambda i: lower(substr(a, i, 2)))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: lower(substr(b, i, 2)))) AS y FROM p WHERE b IS NOT NULL)
 SELECT p_partkey, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) ELSE 0 END, 6) AS dice FROM g""")
 def bigram_dice(spark: SparkSession, d: str) -> DataFrame:
     return _part_pairs(spark, d).select("p_partkey", F.round(T.bigram_overlap(F.col("a"), F.col("b")), 6).alias("dice"))
@@ -464,7 +464,7 @@ def disambiguate(spark: SparkSession, d: str) -> DataFrame:
     return L.disambiguate(rows).withColumn("best_score", F.round("best_score", 6))
 
 
-@query("""WITH m AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS position, unnest(w) AS t, unnest(list_prepend(NULL, w[:-2])) AS before FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), t -> t <> '') AS w FROM documents)),
+@query("""WITH m AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS position, unnest(w) AS t, unnest(list_prepend(NULL, w[:-2])) AS before FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents)),
 s AS (SELECT doc_id, CAST(position AS INTEGER) AS position, regexp_replace(t, '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g') AS surface, before FROM m)
 SELECT doc_id, position, surface FROM s WHERE regexp_matches(surface, '^\\p{Lu}\\p{L}+$') AND length(surface) >= 5 AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?:]$')""")
 def high_recall_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -473,7 +473,7 @@ def high_recall_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT n_name AS name, n_nationkey AS position FROM nation), s AS (SELECT c_custkey, upper(left(n_name, 1)) || lower(substr(replace(n_name, 'A', CASE WHEN c_custkey % 4 = 0 THEN 'O' ELSE 'A' END), 2)) AS surface FROM customer JOIN nation ON c_nationkey = n_nationkey),
 g AS (SELECT c_custkey, name, position, lower(surface) AS x, lower(name) AS y FROM s, n),
-k AS (SELECT *, levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) AS nd, list_distinct(list_transform(range(1, length(x)), i -> substr(x, i, 2))) AS p, list_distinct(list_transform(range(1, length(y)), i -> substr(y, i, 2))) AS q FROM g),
+k AS (SELECT *, levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) AS nd, list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) AS p, list_distinct(list_transform(range(1, length(y)), lambda i: substr(y, i, 2))) AS q FROM g),
 b AS (SELECT c_custkey, min((nd, position, name)) AS best FROM k WHERE CASE WHEN length(x) < 5 THEN x = y ELSE nd <= 0.25 AND 2.0 * len(list_intersect(p, q)) / (len(p) + len(q)) >= 0.40 END GROUP BY c_custkey)
 SELECT c_custkey, best[3] AS canonical, round(best[1], 6) AS distance FROM s LEFT JOIN b USING (c_custkey)""")
 def canonical_match(spark: SparkSession, d: str) -> DataFrame:
@@ -491,28 +491,28 @@ def latest_user_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Geometry
-BOXES = "boxes AS (SELECT l_orderkey AS page, CAST(l_linenumber AS INTEGER) AS box_id, CAST(l_partkey % 300 AS INTEGER) AS x1, CAST(l_suppkey % 200 AS INTEGER) AS y1, CAST(l_partkey % 300 + 20 + l_quantity * 3 AS INTEGER) AS x2, CAST(l_suppkey % 200 + 10 + l_quantity * 2 AS INTEGER) AS y2, CAST(l_linenumber % 3 AS INTEGER) AS kind, CAST(l_discount AS DOUBLE) AS score FROM lineitem)"
+BOXES = "boxes AS (SELECT l_orderkey AS page, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS box_id, CAST(l_partkey % 300 AS INTEGER) AS x1, CAST(l_suppkey % 200 AS INTEGER) AS y1, CAST(l_partkey % 300 + 20 + l_quantity * 3 AS INTEGER) AS x2, CAST(l_suppkey % 200 + 10 + l_quantity * 2 AS INTEGER) AS y2, CAST(l_linenumber % 3 AS INTEGER) AS kind, CAST(l_discount AS DOUBLE) AS score FROM lineitem)"
 INTER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("l_partkey") % 300, F.col("l_suppkey") % 200
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("box_id"), x.cast("int").alias("x1"), y.cast("int").alias("y1"), (x + 20 + F.col("l_quantity") * 3).cast("int").alias("x2"),
+        F.col("l_orderkey").alias("page"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("box_id"), x.cast("int").alias("x1"), y.cast("int").alias("y1"), (x + 20 + F.col("l_quantity") * 3).cast("int").alias("x2"),
         (y + 10 + F.col("l_quantity") * 2).cast("int").alias("y2"), (F.col("l_linenumber") % 3).cast("int").alias("kind"), F.col("l_discount").cast("double").alias("score"),
     )
 
 
 @query(f"""WITH {BOXES}, p AS (SELECT page, a.box_id AS a_box_id, b.box_id AS b_box_id, {INTER} AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM boxes a JOIN boxes b USING (page) WHERE a.box_id < b.box_id)
-SELECT page, a_box_id, b_box_id, round(i / CAST(s - i AS DOUBLE), 6) AS iou FROM p WHERE i > 0""")
+SELECT page, a_box_id, b_box_id, i / CAST(s - i AS DOUBLE) AS iou FROM p WHERE i > 0""")
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.overlapping_pairs(_boxes(spark, d)).withColumn("iou", F.round("iou", 6))
+    return G.overlapping_pairs(_boxes(spark, d))
 
 
-@query(f"WITH {BOXES} SELECT a.page, a.box_id, round(coalesce(max({INTER} / CAST((a.x2 - a.x1) * (a.y2 - a.y1) AS DOUBLE)), 0), 6) AS inside FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND b.kind = 1 WHERE a.kind = 2 GROUP BY a.page, a.box_id")
+@query(f"WITH {BOXES} SELECT a.page, a.box_id, coalesce(max(CASE WHEN b.page IS NULL THEN 0 ELSE {INTER} / CAST((a.x2 - a.x1) * (a.y2 - a.y1) AS DOUBLE) END), 0) AS inside FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND b.kind = 1 WHERE a.kind = 2 GROUP BY a.page, a.box_id")
 def contained_fraction(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d)
-    return G.contained_fraction(boxes.filter("kind = 2"), boxes.filter("kind = 1")).select("page", "box_id", F.round("inside", 6).alias("inside"))
+    return G.contained_fraction(boxes.filter("kind = 2"), boxes.filter("kind = 1")).select("page", "box_id", "inside")
 
 
 @query(f"WITH {BOXES} SELECT CASE kind WHEN 0 THEN 'MainZone' WHEN 1 THEN 'MarginZone' ELSE 'cls_' || kind END AS name, CAST(count(*) AS BIGINT) AS boxes FROM boxes GROUP BY kind")
@@ -567,29 +567,31 @@ def precision_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Streaming, driven to the end over what there is
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def _drained(spark: SparkSession, stream: DataFrame, mode: str, timed: bool = False) -> DataFrame:
+    """timed: a stream with processing-time timeouts never runs out of batches, so it takes all in a single one."""
     import uuid
 
     name = f"drained_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**({"once": True} if timed else {"availableNow": True})).start()
     running.awaitTermination()
     return spark.table(name)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, S.window_counts(_event_stream(spark, d), "ts", "event_type"), "complete")
+    return _drained(spark, S.window_counts(_event_stream(spark, d), "ts", "event_type"), "complete").withColumn("start", F.to_date("start").cast("string"))
 
 
 @query("SELECT user_id AS run_id, max_by(event_type, event_id) AS stage, count(*) AS events FROM events GROUP BY user_id")
 def stream_snapshots(spark: SparkSession, d: str) -> DataFrame:
     events = _event_stream(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"))
-    return _drained(spark, S.trace_snapshots(events), "append")
+    return _drained(spark, S.trace_snapshots(events), "append", timed=True)
 
 
 @query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

@@ -18,7 +18,7 @@ def window_counts(events: DataFrame, ts: str, key: str, size: str = "1 day", lat
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def trace_snapshots(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
+def trace_snapshots(events: DataFrame, timeout_s: int = 3600) -> DataFrame:
     """A snapshot of a run (run_id, stage, events so far) whenever its stage or number of events has changed. State goes with a
     terminal stage, or after the timeout. events: run_id long, seq long, stage string."""
 
@@ -38,7 +38,7 @@ def trace_snapshots(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
                 state.remove()
         else:
             state.update((stage, count, last))
-            state.setTimeoutDuration(timeout)
+            state.setTimeoutDuration(timeout_s * 1000)
         if (stage, count) != before:
             yield pd.DataFrame({"run_id": [key[0]], "stage": [stage], "events": [count]})
 
