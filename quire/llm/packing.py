@@ -12,7 +12,7 @@ import os
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,17 @@ STEP = 1000  # texts tokenized together
 WORDS = 700_000  # distinct words whose ids a worker remembers
 
 
+class _Learnt(dict):
+    """Values that are made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordIds:
     """Token ids of texts by a tokenizer that drops white space and whose pretokens don't see each other: the library
     tokenizes each distinct pretoken once, and texts are put together from these. Ids are bytes, four for each,
@@ -49,25 +60,29 @@ class WordIds:
         self.model = self.library.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary shows as they are
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.word: dict[str, bytes] = {}  # between white space
-        self.pretoken: dict[str, bytes] = {}
+        self.word = _Learnt(self.of_word)  # between white space
+        self.pretoken = _Learnt(self.of_pretoken)
 
     def whole(self, text: str) -> bytes:
         """The library's own way, for texts with odd strings."""
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        parts = [(w, self.find(w)) for w in words]
-        new = list({p for _, ps in parts for p in ps if p not in self.pretoken})
-        tokenize = self.library.model.tokenize
-        for p in new:
+    def of_word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.pretoken[word]
+        stem, last = word[:-1], word[-1]
+        if last in ".,;:!?" and stem.isalpha():  # as the pattern parts them, too
+            return self.pretoken[stem] + self.pretoken[last]
+        return b"".join([self.pretoken[p] for p in self.find(word)])
+
+    def of_pretoken(self, p: str) -> bytes:
+        if not p.isascii():
             if not p.isprintable():  # controls, and what the library's Unicode may know as something else
-                self.pretoken[p] = self.whole(p)
-                continue
-            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.shown)
-            self.pretoken[p] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-        for w, ps in parts:
-            self.word[w] = b"".join([self.pretoken[p] for p in ps])
+                return self.whole(p)
+            p = p.encode().decode("latin-1").translate(self.shown)
+        elif not p.isprintable():
+            return self.whole(p)
+        return array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
 
     def plain(self, text: str) -> bool:
         if "<|" in text or not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
@@ -76,11 +91,10 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.word) > WORDS or len(self.pretoken) > WORDS:
-            self.word, self.pretoken = {}, {}
-        words = [t.lower().split() if self.plain(t) else None for t in texts]
-        self.learn(set().union(*(w for w in words if w is not None)).difference(self.word))
+            self.word.clear()
+            self.pretoken.clear()
         get = self.word.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self.whole(t) for t, w in zip(texts, words, strict=True)]
+        return [b"".join(map(get, t.lower().split())) if self.plain(t) else self.whole(t) for t in texts]
 
 
 _ENCODERS: dict[str, WordIds] = {}
