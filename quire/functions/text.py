@@ -296,3 +296,15 @@ def repeat_signature(text: Column) -> Column:
 
 def reversed_words(text: Column) -> Column:
     return F.array_join(F.transform(lines(text), lambda x: F.array_join(F.transform(F.split(x, " "), F.reverse), " ")), "\n")
+
+
+def langid_text(text: Column, least: int = 50) -> Column:
+    """What a language detector reads: lower-case letters, without tokens that are mostly signs or, from four letters on, have
+    few vowels; empty under `least` letters."""
+    words = tokens(F.replace(F.lower(text_or_empty(text)), F.lit("&"), F.lit(" et ")))
+
+    def reads(t: Column) -> Column:
+        return once(letters(t), lambda n: (n * 2 >= F.length(t)) & ((n < 4) | (vowel_count(t) / F.greatest(n, F.lit(1)) >= 0.20)))
+
+    kept = F.array_join(F.filter(F.transform(F.filter(words, reads), lambda t: F.regexp_replace(t, r"[^\p{L}]+", "")), lambda t: t != ""), " ")
+    return once(kept, lambda t: F.when(letters(t) >= least, t).otherwise(""))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -139,3 +139,15 @@ def grid_tiles(pages: DataFrame, rows: int, columns: int, overlap: float) -> Dat
             "y1": clamp(F.col("tile_row") * h - overlap * h, F.col("height")), "y2": clamp((F.col("tile_row") + 1) * h + overlap * h, F.col("height")),
         }
     )
+
+
+def gaps(boxes: DataFrame, page: str = "page") -> DataFrame:
+    """boxes with gap: the distance to the next box of the page from left to right (negative: they overlap; null: the last)."""
+    place = Window.partitionBy(page).orderBy("x1", "y1", "box_id")
+    return boxes.withColumn("gap", F.lead("x1").over(place) - F.col("x2"))
+
+
+def of_classes(images: DataFrame, boxes: DataFrame, kinds: list[int], page: str = "page", kind: str = "kind") -> tuple[DataFrame, DataFrame]:
+    """Boxes of some classes, and the images that still have any."""
+    kept = boxes.filter(F.col(kind).isin(*kinds))
+    return images.join(kept, page, "left_semi"), kept

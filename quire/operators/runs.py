@@ -112,3 +112,57 @@ def index_freshness(chunks: DataFrame, indexed: DataFrame, key: str = "run_id",
 def expired(tasks: DataFrame, ts: str, now: str, ttl_hours: float) -> DataFrame:
     """Rows older than a time to live."""
     return tasks.filter(F.col(ts) < F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(int(ttl_hours))))
+
+
+def superseded(runs: DataFrame, page: str, created: str, run: str) -> DataFrame:
+    """Runs of which the page has a newer one. The newest of each page is an aggregate, met by an equi-join."""
+    newest = runs.groupBy(F.col(page).alias("_page")).agg(F.max(F.struct(created, run)).alias("_newest"))
+    both = runs.join(newest, F.col(page) == F.col("_page"))
+    return both.filter(F.struct(created, run) < F.col("_newest")).select(*[runs[c] for c in runs.columns])
+
+
+def weighted_confidence(tiles: DataFrame, key: str, confidence: str, weight: str) -> DataFrame:
+    """Mean confidence by key, weighted by lines (1 at least), within 0 and 1."""
+    w = F.greatest(F.lit(1), F.col(weight))
+    mean = F.sum(F.col(confidence) * w) / F.sum(w)
+    return tiles.groupBy(key).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("confidence"))
+
+
+def vote(rows: DataFrame, key: str, choice: str, weight: Column, position: str) -> DataFrame:
+    """The choice of the greatest summed weight by key; ties go to the one seen first."""
+    sums = rows.groupBy(key, choice).agg(F.sum(weight).alias("_w"), F.min(position).alias("_first"))
+    return sums.groupBy(key).agg(F.max_by(choice, F.struct("_w", -F.col("_first"))).alias(choice))
+
+
+def repeats(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """rows with seen_before: how many earlier rows have the same keys."""
+    place = Window.partitionBy(*keys).orderBy(position)
+    return rows.withColumn("seen_before", F.row_number().over(place) - 1)
+
+
+def classify_vectors(vectors: DataFrame, runs: DataFrame, searchable: DataFrame, approved: DataFrame) -> DataFrame:
+    """vectors (run_id) with state: searchable, superseded (approved, no longer searched), refused, or orphaned (of no run)."""
+    marked = lambda df, name: df.select("run_id").distinct().withColumn(name, F.lit(True))
+    out = vectors
+    for df, name in ((searchable, "_s"), (approved, "_a"), (runs, "_r")):
+        out = out.join(marked(df, name), "run_id", "left")
+    state = F.when(F.col("_s"), "searchable").when(F.col("_a"), "superseded").when(F.col("_r"), "refused").otherwise("orphaned")
+    return out.withColumn("state", state).drop("_s", "_a", "_r")
+
+
+def distinct_readings(rows: DataFrame, key: str, fields: list[str], least: int = 400) -> DataFrame:
+    """key, field, text of the texts of some columns, each once (white space folded): the first by key, then by field's order."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])
+    every = rows.select(key, F.explode(pairs).alias("x")).select(key, "x.*").filter(F.length("text") >= least)
+    folded = F.trim(F.regexp_replace("text", r"\s+", " "))
+    first = every.groupBy(F.sha2(folded, 256).alias("_fold")).agg(F.min(F.struct(key, "i", "field", "text")).alias("x"))
+    return first.select(f"x.{key}", "x.field", "x.text")
+
+
+def entity_index(rows: DataFrame, key: str, surface: str, score: str, most: int = 12) -> DataFrame:
+    """By key: the best score and the `most` best distinct surfaces, joined by a bar. Surfaces are reduced to one row each first."""
+    best = rows.groupBy(key, surface).agg(F.max(score).alias("_s"))
+    place = Window.partitionBy(key).orderBy(F.desc("_s"), surface)
+    top = best.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_n", surface)))
+    return top.groupBy(key).agg(F.max("_s").alias("best"), F.array_join(F.transform(listed, lambda x: x[surface]), "|").alias("surfaces"))

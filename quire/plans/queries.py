@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import names as N
 from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import evaluation as E
@@ -600,3 +601,73 @@ def stream_deltas(spark: SparkSession, d: str) -> DataFrame:
     upto = F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.struct(k.alias("seq"), F.array_join(F.transform(F.slice("t", 1, k), lambda x: x["text"]), "").alias("chunk")))
     chunks = rows.select(F.col("conv_id").alias("stream_id"), F.explode(upto).alias("c")).select("stream_id", "c.*")
     return S.joined_deltas(chunks)
+
+
+# More of the relational core
+@query(RUNS.rstrip() + " SELECT run_id, page_key, created_at FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY created_at DESC, run_id DESC) AS n FROM r) WHERE n > 1")
+def superseded_runs(spark: SparkSession, d: str) -> DataFrame:
+    runs, has_chunks, _ = _runs(spark, d)
+    keyed = runs.join(has_chunks, "run_id", "left_semi").select("run_id", U.page_key(F.col("asset_sha256"), F.col("asset_ref")).alias("page_key"), "created_at")
+    return U.superseded(keyed, "page_key", "created_at", "run_id")
+
+
+@query("SELECT l_orderkey, least(1.0, greatest(0.0, round(sum(l_discount * 10 * greatest(1, l_linenumber)) / sum(greatest(1, l_linenumber)), 6))) AS confidence FROM lineitem GROUP BY l_orderkey")
+def merged_confidence(spark: SparkSession, d: str) -> DataFrame:
+    tiles = table(spark, d, "lineitem").withColumn("c", F.col("l_discount") * 10)
+    return U.weighted_confidence(tiles, "l_orderkey", "c", "l_linenumber").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS k FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)) WHERE k = 1")
+def most_common_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return U.vote(table(spark, d, "events"), "user_id", "event_type", F.lit(1), "event_id")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS INTEGER) AS seen_before FROM events")
+def repeat_counts(spark: SparkSession, d: str) -> DataFrame:
+    return U.repeats(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("event_id", "seen_before")
+
+
+@query("SELECT doc_id AS run_id, CASE WHEN doc_id % 2 = 0 AND doc_id < 500 THEN 'searchable' WHEN doc_id % 3 = 0 THEN 'superseded' WHEN doc_id % 5 > 0 THEN 'refused' ELSE 'orphaned' END AS state FROM documents")
+def vector_audit(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"))
+    return U.classify_vectors(ids, ids.filter("run_id % 5 > 0"), ids.filter("run_id % 2 = 0 and run_id < 500"), ids.filter("run_id % 3 = 0"))
+
+
+@query("""SELECT doc_id, field, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') ORDER BY doc_id, i) AS n FROM (
+SELECT doc_id, 0 AS i, 'text' AS field, text FROM documents UNION ALL SELECT doc_id, 1, 'turned', reverse(text) FROM documents) WHERE length(text) >= 400) WHERE n = 1""")
+def distinct_readings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").withColumn("turned", F.reverse("text"))
+    return U.distinct_readings(rows, "doc_id", ["text", "turned"]).select("doc_id", "field", F.md5("text").alias("digest"))
+
+
+@query("""SELECT p_brand, max(s) AS best, string_agg(p_name, '|' ORDER BY n) AS surfaces FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_name) AS n FROM (
+SELECT p_brand, p_name, max(p_retailprice) AS s FROM part GROUP BY ALL)) WHERE n <= 12 GROUP BY p_brand""")
+def entity_index(spark: SparkSession, d: str) -> DataFrame:
+    return U.entity_index(table(spark, d, "part"), "p_brand", "p_name", "p_retailprice")
+
+
+@query(f"WITH {BOXES} SELECT box_id, page, CAST(lead(x1) OVER (PARTITION BY page ORDER BY x1, y1, box_id) - x2 AS INTEGER) AS gap FROM boxes")
+def box_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return G.gaps(_boxes(spark, d)).select("box_id", "page", "gap")
+
+
+@query(f"WITH {BOXES} SELECT o_orderkey AS page, o_custkey FROM orders WHERE o_orderkey IN (SELECT page FROM boxes WHERE kind = 2)")
+def coco_filter(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), "o_custkey")
+    return G.of_classes(images, _boxes(spark, d), [2])[0]
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN {letters("t")} >= 50 THEN t ELSE '' END) AS read FROM (SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(replace(lower(text), '&', ' et '), '\\s+'),
+lambda w: w <> '' AND {letters("w")} * 2 >= length(w) AND ({letters("w")} < 4 OR {vowels("w")} / CAST(greatest({letters("w")}, 1) AS DOUBLE) >= 0.20)), lambda w: regexp_replace(w, '[^\\p{{L}}]+', '', 'g')), lambda w: w <> ''), ' ') AS t FROM documents)""")
+def langid_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(T.langid_text(F.col("text"))).alias("read"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS normal FROM documents")
+def normal_form(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(N.normal_form(F.col("text"))).alias("normal"))
+
+
+@query()
+def name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _part_pairs(spark, d).select("p_partkey", N.jaro_winkler_similarity(F.col("a"), F.col("b")).alias("jaro_winkler"), N.string_similarity(F.col("a"), F.col("b")).alias("similarity"))

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import names as N
 from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import evaluation as E
@@ -145,3 +146,9 @@ def test_files(spark, tmp_path):
     files.write_csv(text, str(tmp_path / "out"))
     files.append_evidence(text, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 1
+
+
+def test_names():
+    assert N.jaro("MARTHA", "MARHTA") == pytest.approx(0.944444, abs=1e-6) and N.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.961111, abs=1e-6)
+    assert N.jaro("", "") == 1 and N.jaro("a", "") == 0 and N.jaro("DIXON", "DICKSONX") == pytest.approx(0.766667, abs=1e-6)
+    assert N.name_similarity("Roland", "roland") == 1
