@@ -220,11 +220,10 @@ def rejoined(text: Column) -> Column:
 def search_terms(text: Column, n: int = 4) -> Column:
     """Character n-grams of each folded token with a space on either side; shorter tokens stay whole."""
 
-    def grams(token: Column) -> Column:
-        padded = F.concat(F.lit(" "), token, F.lit(" "))
-        return F.when(F.length(padded) <= n, F.array(padded)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i: F.substring(padded, i, F.lit(n))))
+    def cut(padded: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i: F.substring(padded, i, F.lit(n)))
 
-    return F.flatten(F.transform(tokens(folded(rejoined(text))), grams))
+    return F.flatten(F.transform(F.transform(tokens(folded(rejoined(text))), lambda t: F.concat(F.lit(" "), t, F.lit(" "))), cut))
 
 
 def word_terms(text: Column) -> Column:

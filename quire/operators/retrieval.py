@@ -13,6 +13,7 @@ from quire.functions import text as T
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+MAX_BROADCAST_TERMS = 200_000  # of queries; more are joined by a shuffle
 BLOCK = 1024  # vectors of a block
 DIGITS = 6  # scores that differ less are ties
 
@@ -28,11 +29,12 @@ def bm25(texts: DataFrame, queries: DataFrame, keys: list[str], query_key: str,
 
     Only terms of queries are shuffled: a text's postings meet them before they are counted. The length of a text counts
     all of its terms, and the average is over all texts."""
-    sized = texts.select(*keys, "text", F.size(terms(F.col("text"))).alias("_len"))
+    sized = texts.select(*keys, terms(F.col("text")).alias("_terms")).withColumn("_len", F.size("_terms"))
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()
-    postings = sized.select(*keys, "_len", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    postings = sized.select(*keys, "_len", F.explode("_terms").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     postings = postings.groupBy(*keys, "_len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row

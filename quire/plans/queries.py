@@ -19,6 +19,7 @@ from quire.operators import linking as L
 from quire.operators import quality as Q
 from quire.operators import retrieval as R
 from quire.operators import runs as U
+from quire.session import spread
 from quire.streaming import trace as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def quoted(values: tuple[str, ...]) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -30,3 +30,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return reachable(spark)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its scan has fewer parts than that, as a small file of one row group has; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
