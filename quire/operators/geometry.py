@@ -143,7 +143,7 @@ def grid_tiles(pages: DataFrame, rows: int, columns: int, overlap: float) -> Dat
 
 def gaps(boxes: DataFrame, page: str = "page") -> DataFrame:
     """boxes with gap: the distance to the next box of the page from left to right (negative: they overlap; null: the last)."""
-    place = Window.partitionBy(page).orderBy("x1", "y1", "box_id")
+    place = Window.partitionBy(page).orderBy("x1", "y1", "box_id", "x2")
     return boxes.withColumn("gap", F.lead("x1").over(place) - F.col("x2"))
 
 

@@ -648,7 +648,7 @@ def entity_index(spark: SparkSession, d: str) -> DataFrame:
     return U.entity_index(table(spark, d, "part"), "p_brand", "p_name", "p_retailprice")
 
 
-@query(f"WITH {BOXES} SELECT box_id, page, CAST(lead(x1) OVER (PARTITION BY page ORDER BY x1, y1, box_id) - x2 AS INTEGER) AS gap FROM boxes")
+@query(f"WITH {BOXES} SELECT box_id, page, CAST(lead(x1) OVER (PARTITION BY page ORDER BY x1, y1, box_id, x2) - x2 AS INTEGER) AS gap FROM boxes")
 def box_gaps(spark: SparkSession, d: str) -> DataFrame:
     return G.gaps(_boxes(spark, d)).select("box_id", "page", "gap")
 
