@@ -26,22 +26,26 @@ BLOCKS = 4
 WIDTH = 64 // BLOCKS
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of every run of `shingle` words of a text, in order; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, 42)], "<u8")
-    else:
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0] + [e + 1 for e in ends]
-        hashes = np.array([xxh64_intdigest(joined[a:e], 42) for a, e in zip(starts, ends[shingle - 1 :], strict=False)], "<u8")
+        return np.array([xxh64_intdigest(joined, 42)], "<u8")
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0] + [e + 1 for e in ends]
+    return np.array([xxh64_intdigest(joined[a:e], 42) for a, e in zip(starts, ends[shingle - 1 :], strict=False)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingles(text, shingle)
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         total += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -158,11 +162,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return held.join(named, "print").select("doc_id", hexed, "component_id")
 
 
+def first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of named (doc_id, component_id), one if it repeats, and those
+    without doc_id. Columns as in docs."""
+    kept = named.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    one, again = fresh(docs, "_kept"), fresh(docs, "_again")
+    rows = docs.join(kept.withColumnRenamed("_kept", one), F.col("doc_id") == F.col(one), "left_semi")
+    rows = rows.withColumn(again, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter(F.col(again) == 1).drop(again)
+    return rows.unionAll(docs.filter(F.col("doc_id").isNull()))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id, one if it repeats.
     Rows without doc_id can't be told apart and stay. Columns as in docs."""
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    one, again = fresh(docs, "_kept"), fresh(docs, "_again")
-    named = docs.join(kept.withColumnRenamed("_kept", one), F.col("doc_id") == F.col(one), "left_semi")
-    named = named.withColumn(again, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter(F.col(again) == 1).drop(again)
-    return named.unionAll(docs.filter(F.col("doc_id").isNull()))
+    return first_rows(docs, near_duplicates(docs, shingle))

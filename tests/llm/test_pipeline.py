@@ -62,3 +62,36 @@ def test_mix_takes_half_as_much_again_at_most(kept):
 def test_every_document_is_packed_as_often_as_it_was_taken(kept):
     firsts = collections.Counter(r["doc_id"] for r in kept[4].collect() if r["piece"] == 0)
     assert firsts == collections.Counter(r["doc_id"] for r in kept[3].collect())
+
+
+def test_near_duplicates_reach_a_jaccard_of_0_8(spark):
+    from quire.llm import near_copies
+
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    rows += [(-1, None), (-2, ""), (None, "no id at all"), (-3, "no id at all"), (-4, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams, has, both = [], collections.defaultdict(list), collections.Counter()
+    for k, (_, text) in enumerate(rows):
+        words = (text or "").encode().lower().split()
+        grams.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+        for g in grams[-1]:
+            both.update((j, k) for j in has[g])
+            has[g].append(k)
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = [p for p, n in both.items() if n / (len(grams[p[0]]) + len(grams[p[1]]) - n) >= 0.8]
+    bare = [k for k, g in enumerate(grams) if not g]
+    for j, k in [*links, *zip(bare, bare[1:])]:
+        root[find(j)] = find(k)
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            first[find(k)] = min(i, first.get(find(k), i))
+    assert sorted(map(tuple, near_copies.near_copies(docs).collect()), key=repr) == sorted(((i, first[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([*first.values(), None], key=repr)
