@@ -33,6 +33,8 @@ _BREAKS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»
 
 
 STEMS = (4, 5, 6)  # letters of the word beginnings that count beside whole words
+#: Words whose beginnings don't count: a swap changes the weights of two whole words and nothing else.
+WHOLE = frozenset(t for group in IDENTITY_TERMS for t in group)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -40,9 +42,9 @@ def words_of(text: str | None) -> set[str]:
 
 
 def features_of(text: str | None) -> set[str]:
-    """The words of a text, and the beginnings of longer ones, marked with a *: inflected forms share them."""
+    """The words of a text, and the beginnings of longer ones but identity terms, marked with a *: inflected forms share them."""
     words = words_of(text)
-    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
+    return words.union(*({w[:k] + "*" for w in words - WHOLE if len(w) > k} for k in STEMS))
 
 
 @dataclass
@@ -59,7 +61,7 @@ class Classifier:
             found = [whole[w] for w in words & whole.keys()]
             for k, stem in zip(STEMS, stems, strict=True):
                 if stem:
-                    found += [stem[x] for x in {w[:k] for w in words if len(w) > k} & stem.keys()]
+                    found += [stem[x] for x in {w[:k] for w in words - WHOLE if len(w) > k} & stem.keys()]
             out.append(sum(sorted(found)))
         logit = np.array(out, float) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))

@@ -283,6 +283,25 @@ def test_toxicity_learns_and_keeps_rows(spark, docs, empty):
     assert toxicity.with_toxicity(empty, marks).count() == 0 and set(docs.columns) < set(toxicity.with_toxicity(docs, marks).columns)
 
 
+def test_swapped_texts_score_alike(spark):
+    rng = np.random.default_rng(4)
+    plain, bad = [f"w{k}" for k in range(300)], ["vile", "scum", "filth"]
+    rows = []
+    for i in range(3000):
+        words = list(rng.choice(plain, 40))
+        toxic = i % 10 == 0
+        words[3:5] = list(rng.choice(bad, 2)) if toxic else words[3:5]
+        if rng.random() < (0.5 if toxic else 0.1):
+            words[10] = rng.choice(["women", "muslims", "immigrants"])
+        rows.append((i, " ".join(words), int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert not {t[:k] + "*" for group in toxicity.IDENTITY_TERMS for t in group for k in toxicity.STEMS if len(t) > k} & model.weights.keys()
+    for group in toxicity.IDENTITY_TERMS:
+        for near in ("", "scum "):  # logits, which show gaps of weights that tiny scores hide
+            p = model.scores([f"{near}w1 w2 {t} w3" for t in group])
+            assert np.ptp(np.log(p / (1 - p))) < 0.1
+
+
 # op8
 def test_pieces_and_packing(docs, empty):
     from tokenizers import Tokenizer
