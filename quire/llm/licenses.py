@@ -7,6 +7,8 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,27 @@ EQUAL = (
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("organisations", "organizations"), ("authorised", "authorized"), ("unauthorised", "unauthorized"),
     ("judgement", "judgment"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("http", "https"), ("while", "whilst"), ("wilful", "willful"), ("fulfil", "fulfill"),
 )
-COPYRIGHT_LINE = r"(?im)^[ \t#*/;<>!-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: What follows "copyright" in the body of a license, where a wrapped line may begin with it; other capitalised words are holders.
+NOT_HOLDERS = (
+    "act", "and", "claim", "claims", "disclaimer", "for", "grant", "holder", "holders", "in", "infringement", "interest", "interests", "is", "law", "laws", "licence", "license", "licensed", "licenses",
+    "notice", "notices", "of", "on", "or", "owner", "owners", "patent", "protection", "right", "rights", "statement", "statements", "status", "to", "treaty",
+)
+
+
+def _other_word(words: set[str], first: bool = True) -> str:
+    """A pattern of the words, capitalised ones if first, that are none of words; without lookahead, which SQL engines lack."""
+    heads = {w[0] for w in words if w}
+    rest = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in heads)
+    letter = lambda c: f"(?-i:{c.upper()})" if first else c
+    ways = [letter(f"[{rest}]") + "[a-z]*"] + [letter(h) + _other_word({w[1:] for w in words if w[:1] == h}, False) for h in sorted(heads)]
+    return "(?:" + "|".join(ways + ([] if first or "" in words else [""])) + ")"
+
+
+#: Lines of copyright with a sign, a year or a holder, and of rights reserved.
+COPYRIGHT_LINE = (
+    r"(?im)^[ \t#*/;<>!-]*(copyright[ \t:,]*(\(c\)|©|&copy;|[12][0-9]{3})|copyright[ \t:,]+(by[ \t]+)?(" + _other_word(set(NOT_HOLDERS)) + r"\b|[^\x00-\x7F])"
+    r"|\(c\)[ \t]*(copyright|©|[12][0-9]{3})|\(c\)[ \t]+(?-i:[A-Z][a-z]+[ \t]+[A-Z])|©|all rights reserved)[^\n]*$"
+)
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”«»–—•©]+"
 
 _GRANT = (
@@ -53,12 +75,24 @@ _GPL = (
     "version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
     "more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
 )
+_NOT_NAMED = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+    "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    'software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"
+)
+#: Full texts, each a file named by its license.
+_FULL = tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 #: Known texts and the license that each stands for; a title line, where usual, is a text of its own.
 KNOWN = (
     ("MIT", _GRANT + _AS_IS), ("MIT", "MIT License\n\n" + _GRANT + _AS_IS), ("MIT", "The MIT License (MIT)\n\n" + _GRANT + _AS_IS), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("ISC", _MAY.format(", provided that the above copyright notice and this permission notice appear in all copies")), ("ISC", "ISC License\n\n" + _MAY.format(", provided that the above copyright notice and this permission notice appear in all copies")),
     ("0BSD", _MAY.format("")), ("BSD-2-Clause", _BSD.format("")),
-    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n")),
+    ("BSD-3-Clause", _BSD.format(_NOT_NAMED)), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD.format("")), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD.format(_NOT_NAMED)),
+    *_FULL, ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE.replace("https://unlicense.org", "https://unlicense.org/")),
     ("Apache-2.0", _APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0-or-later", _GPL),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 )

@@ -373,3 +373,24 @@ def test_licenses(spark, docs, empty):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["license_id"], r["matched"]) for r in got), key=repr) == sorted([(1, "MIT", True), (2, "MIT", True), (3, None, False), (4, None, False), (5, None, False), (None, "MIT", True), (1, "MIT", True)], key=repr)
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
+
+
+def test_licenses_match_however_they_are_wrapped(spark):
+    import textwrap
+
+    rows, want = [], []
+    for at, (name, text) in enumerate(licenses.KNOWN):
+        flat = [" ".join(line for line in part.split("\n")) for part in text.split("\n\n")]
+        for width in (40, 60, 72, 78, 80) if len(text) < 3000 else ():
+            body = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in flat)
+            rows.append((at * 100 + width, "Copyright (c) 2020 Jane Doe\nCopyright Jane Doe\n(c) 2021 Owners Ltd\n\n" + body))
+            want.append((rows[-1][0], name))
+    assert any(line.lower().startswith("copyright notice") for _, t in rows for line in t.split("\n"))
+    full = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    for at, (name, text) in enumerate(k for k in licenses.KNOWN if len(k[1]) > 3000):
+        full.discard(name)
+        rows.append((100_000 + at, "Copyright 2020 Jane Doe\n" + text.replace("\n", "\r\n")))
+        want.append((100_000 + at, name))
+    assert not full
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in got) == sorted(want)
