@@ -7,6 +7,8 @@ likened by Jaccard. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ ANCHORS = tuple(
     )
 )
 CHAIN = 2
-CELLS = 1 << 16  # of doc_id's range, for dealing documents out in order
+PER_PART = 64  # keys sampled for each bucket of documents in order
 
 
 def _bind(value: Column, f) -> Column:
@@ -72,45 +74,80 @@ def fingerprint(signatures: Column) -> Column:
     return F.md5(signatures.cast("string"))
 
 
-def in_turn(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and next: the text after it by descending doc_id, of the last row the first's (null: empty).
-
-    doc_id's range is cut into cells and runs of cells with about as many rows make the buckets; a bucket is sorted in
-    one task, and each bucket also holds a copy of the next one's first row, so texts are shuffled once. Rows without
-    doc_id come last, dealt by hash of their text; rows that share a doc_id are in order of that hash."""
-    spark = docs.sparkSession
+def _keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tie of every row: null text is empty, tie a hash of the text that orders rows of one doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    parts = max(1, shuffle_partitions(spark))
-    many = min(parts, max(1, nulls // 1000))  # buckets of rows without doc_id
-    after = F.lit(0)
-    if n:
-        span = max(1, -(-(high - low + 1) // CELLS))
-        cell = F.floor((F.lit(high) - F.col("doc_id")) / F.lit(span)).cast("int")
-        counts = dict(rows.filter("doc_id is not null").groupBy(cell.alias("cell")).count().collect())  # CELLS rows at most
-        bucket_of, seen = [], 0
-        for k in range((high - low) // span + 1):
-            bucket_of.append(seen * parts // n)
-            seen += counts.get(k, 0)
-        after = F.get(F.array(*map(F.lit, bucket_of)) if len(bucket_of) < 64 else F.from_json(F.lit(str(bucket_of)), "array<int>"), cell)
-    none = F.lit(parts) + F.pmod(F.xxhash64("text"), F.lit(many)).cast("int")
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), none).otherwise(after)).withColumn("tie", F.xxhash64("text"))
-    # the first row of each bucket goes to the one before, the very first to the last
-    place = F.struct((-F.col("doc_id")).alias("d"), "tie")
-    if n:
-        tops = rows.filter("doc_id is not null").groupBy("bucket").agg(F.max("doc_id").alias("top"))
-        found = rows.join(F.broadcast(tops.withColumnRenamed("bucket", "of")), (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("top")), "left_semi")
-        firsts = found.unionAll(rows.filter("doc_id is null")) if nulls else found
-    else:
-        firsts = rows
-    firsts = firsts.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "tie"), place).alias("row"))
-    firsts = written(firsts.select("bucket", "row.*"), "first-rows")  # one row for each bucket
-    used = sorted(r[0] for r in firsts.select("bucket").collect())
+    return rows.withColumn("tie", F.xxhash64("text"))
+
+
+def _bounds(keys: DataFrame, parts: int) -> tuple[list[tuple[int | None, int]], list[tuple[int | None, int]]]:
+    """Quantiles of (doc_id descending, nulls last; tie) that part keys into about `parts` runs of equal size, from a sample of
+    about PER_PART keys for each; and the keys that fill more than a run alone."""
+    n = keys.count()
+    share = min(1.0, PER_PART * parts / max(n, 1))
+    drawn = [tuple(r) for r in (keys.sample(share, 7) if share < 1 else keys).collect()]
+    drawn.sort(key=lambda k: (k[0] is None, -(k[0] or 0), k[1]))
+    cuts = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if drawn else []
+    seen = Counter(cuts)
+    return list(seen), [k for k, often in seen.items() if often > 1]
+
+
+def _bucket(bounds: list[tuple[int | None, int]], first: int = 0) -> str:
+    """SQL for the number of bounds at or before a row's key: a decision tree, as deep as the logarithm of their number."""
+    if not bounds:
+        return str(first)
+    half = len(bounds) // 2
+    d, t = bounds[half]
+    sooner = f"doc_id IS NOT NULL OR tie < {_long(t)}" if d is None else f"coalesce(doc_id > {_long(d)} OR doc_id = {_long(d)} AND tie < {_long(t)}, false)"
+    return f"IF({sooner}, {_bucket(bounds[:half], first)}, {_bucket(bounds[half + 1 :], first + half + 1)})"
+
+
+def _long(x: int) -> str:
+    return f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)"
+
+
+def in_turn(docs: DataFrame, chain: int = CHAIN) -> tuple[DataFrame, bool]:
+    """doc_id, text, s (its signatures), next and next_s: the text after it by descending doc_id, of the last row the first's
+    (null: empty), and its signatures; times: how many rows of docs it stands for, and whether any stands for several.
+
+    Rows are dealt into buckets at quantiles of (doc_id, hash of the text), so that neither outliers nor repeats of a
+    doc_id fill one; a bucket is sorted in one task and also holds a copy of the next one's first row, so texts are
+    shuffled once. Rows without doc_id come last; rows that share a doc_id are in order of that hash. Equal rows that
+    would fill a bucket alone are one row here, which is its own next but for the last of them."""
+    rows = _keys(docs)
+    keys = written(rows.select("doc_id", "tie"), "spotsigs-keys")
+    bounds, hot = _bounds(keys, max(1, shuffle_partitions(docs.sparkSession)))
+    rows = rows.withColumn("times", F.lit(1).cast("long"))
+    if hot:
+        # a bucket's share of all rows each: no more than there are buckets
+        table = docs.sparkSession.createDataFrame(hot, "of long, like long")
+        of_hot = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("like"))
+        heavy = rows.join(F.broadcast(table), of_hot, "left_semi").groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        heavy = written(heavy.select("doc_id", "text", "tie", "times"), "spotsigs-heavy")
+        rows = rows.join(F.broadcast(table), of_hot, "left_anti").unionByName(heavy)
+        keys = keys.distinct()
+    tree = F.expr(_bucket(bounds))
+    rows, keys = rows.withColumn("bucket", tree), keys.withColumn("bucket", tree)
+    place = F.struct(F.col("doc_id").isNull().alias("x"), F.bitwise_not("doc_id").alias("y"), F.col("tie").alias("z"))
+    # the first row of each bucket goes to the one before, the very first to the last; a row for each bucket
+    tops = written(keys.groupBy("bucket").agg(F.min(place).alias("top")), "spotsigs-tops")
+    used = sorted(r[0] for r in tops.select("bucket").collect())
     before = F.create_map(*[F.lit(x) for k, b in enumerate(used) for x in (b, used[k - 1])]) if used else F.create_map(F.lit(0), F.lit(0))
-    copies = firsts.select("doc_id", "text", F.element_at(before, F.col("bucket")).alias("bucket"), "tie", F.lit(1).alias("copy"))
-    every = rows.select("doc_id", "text", "bucket", "tie", F.lit(0).alias("copy")).unionAll(copies)
-    turn = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), "tie")
-    return every.withColumn("next", F.lead("text").over(turn)).filter("copy = 0").select("doc_id", "text", "next")
+    top = F.broadcast(tops.select(F.col("bucket").alias("of"), "top"))
+    firsts = rows.join(top, (F.col("bucket") == F.col("of")) & place.eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
+    firsts = written(firsts, "spotsigs-firsts")
+    copies = firsts.select("doc_id", "text", F.element_at(before, F.col("bucket")).alias("bucket"), "tie", F.lit(1).alias("copy"), F.lit(1).cast("long").alias("times"))
+    every = rows.select("doc_id", "text", "bucket", "tie", F.lit(0).alias("copy"), "times").unionAll(copies)
+    order = ["copy", F.desc_nulls_last("doc_id"), "tie"]
+    # sorted before signatures are made, so that the sort moves texts alone; a signature set serves its text and the one before
+    sets = every.repartition(F.col("bucket")).sortWithinPartitions("bucket", *order).withColumn("s", signatures(F.col("text"), chain))
+    turn = Window.partitionBy("bucket").orderBy(*order)
+    out = sets.withColumn("next", F.lead("text").over(turn)).withColumn("next_s", F.lead("s").over(turn)).filter("copy = 0").select("doc_id", "text", "s", "next", "next_s", "times")
+    if hot:
+        own = F.struct(F.col("text").alias("next"), F.col("s").alias("next_s"), (F.col("times") - 1).alias("times"))
+        follows = F.struct("next", "next_s", F.lit(1).cast("long").alias("times"))
+        out = out.select("doc_id", "text", "s", F.explode(F.when(F.col("times") > 1, F.array(own, follows)).otherwise(F.array(follows))).alias("x")).select("doc_id", "text", "s", "x.*")
+    return out, bool(hot)
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -119,14 +156,16 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many of the next document's first, or all
     of them if it is shorter; next by descending doc_id, after the last the first. docs has doc_id and text; other columns
-    are not read. Null text is empty; rows without doc_id come last in order; a table of one row is its own next; repeated
-    rows follow one another. Empty table: no rows."""
-    turn = in_turn(docs).withColumn("n_chars", F.length("text").cast("long"))
+    are not read. doc_id may be any long. Null text is empty; rows without doc_id come last in order; a table of one row is
+    its own next; repeated rows follow one another. Empty table: no rows."""
+    turn, several = in_turn(docs, chain)
+    turn = turn.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.col("next"), F.lit(1), cut))
-    sets = F.struct(signatures(F.col("text"), chain).alias("own"), signatures(F.col("edited"), chain).alias("edited"), signatures(F.col("next"), chain).alias("next"))
-    likened = _bind(sets, lambda s: F.struct(s["own"].alias("signatures"), fingerprint(s["own"]).alias("fingerprint"), fingerprint(s["edited"]).alias("edited_fingerprint"), likeness(s["own"], s["edited"]).alias("near_edited"), likeness(s["own"], s["next"]).alias("near_next")))
-    return turn.withColumn("edited", edited).select("doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), likened.alias("x")).select("doc_id", "n_chars", "edited", "edited_sha256", "x.*")
+    likened = _bind(signatures(F.col("edited"), chain), lambda e: F.struct(F.col("s").alias("signatures"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(e).alias("edited_fingerprint"), likeness(F.col("s"), e).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next")))
+    out = turn.withColumn("edited", edited).select("doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), likened.alias("x"), "times")
+    columns = ["doc_id", "n_chars", "edited", "edited_sha256", "x.*"]
+    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_copy")).drop("_copy") if several else out.select(*columns)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:

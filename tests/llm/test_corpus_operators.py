@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -148,6 +149,58 @@ def test_edited_texts_and_fingerprints(docs, empty):
     assert spotsigs.fingerprints(empty).count() == 0
 
 
+def brute_signatures(text, chain=2):
+    from xxhash import xxh64_intdigest
+
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    content, places = [w for w in words if w not in spotsigs.ANCHORS], [i for i, w in enumerate(words) if w in spotsigs.ANCHORS]
+    found = set()
+    for i in places or range(len(words)):
+        after = [w for w in words[i + 1 :] if not places or w not in spotsigs.ANCHORS][:chain]
+        h = 42
+        for w in [words[i], *after]:
+            h = xxh64_intdigest(w.encode(), h)
+        found.add(h - (h >> 63 << 64))
+    assert not places or len(content) < len(words)
+    if not found:
+        h = xxh64_intdigest(text.encode(), 42)
+        found.add(h - (h >> 63 << 64))
+    return sorted(found)
+
+
+def brute_prints(rows):
+    """Of (doc_id, text): what the query gives, in order of descending doc_id; ids are distinct but for equal rows."""
+    turn = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    digest = lambda s: hashlib.md5(str(s).encode()).hexdigest()
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    out = []
+    for k, (i, t) in enumerate(turn):
+        follow = turn[(k + 1) % len(turn)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + follow[:cut]
+        own, of_edited, of_next = map(brute_signatures, (t, edited, follow))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(of_edited), round(jaccard(own, of_edited), 12), round(jaccard(own, of_next), 12)))
+    return sorted(out, key=repr)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    got = lambda df: sorted(((*r[:5], round(r[5], 12), round(r[6], 12)) for r in spotsigs.fingerprints(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()), key=repr)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    odd = [(-(2**63), "the cat sat on the mat by the house"), (2**63 - 1, "A dog of the house"), (10**12, None), (10**12 + 1, ""), (10**12 + 2, "... !"), (10**12 + 3, "naïve 漢字 of the élan"), (-5, "the of and"), (None, "no id of the text")]
+    # one row stands for a third of all
+    for extra in ([], odd, [*odd, *[(-7, "the hot row of the table")] * 300], [(-7, "again the same")] * 500):
+        every = [*rows, *extra] if len(extra) < 500 else extra
+        assert got(spark.createDataFrame(every, "doc_id long, text string").repartition(5)) == brute_prints(every)
+
+
+def test_outliers_and_repeats_of_an_id_dont_fill_a_bucket(spark):
+    ids = [*range(4000), 10**12, -(2**63), 2**63 - 1, *[77] * 2000]
+    keys = spark.createDataFrame([(i, hash((k, "tie")) % 2**40) for k, i in enumerate(ids)], "doc_id long, tie long")
+    bounds, hot = spotsigs._bounds(keys, 10)
+    sizes = sorted(r["count"] for r in keys.groupBy(F.expr(spotsigs._bucket(bounds)).alias("b")).count().collect())
+    assert not hot and len(sizes) == 10 and sizes[-1] < 2 * sizes[5]
+
+
 def test_spotsigs_duplicates(docs, empty):
     got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(docs).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[8] == 8
