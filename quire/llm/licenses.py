@@ -84,6 +84,47 @@ _UNLICENSE = (
     "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
     "DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"
 )
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
+    '"Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n'
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative "
+    "works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE '
+    "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+    "SOFTWARE."
+)
+_WTFPL = (
+    "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and "
+    "changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."
+)
+_MIT_0 = _GRANT[: _GRANT.index(", subject to")] + ".\n\n" + _AS_IS
+_NCSA = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+    "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers.\n\n"
+    "* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution.\n\n"
+    "* Neither the names of the copyright holders, nor the names of its contributors may be used to endorse or promote products derived from this Software without specific prior written permission.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE '
+    "CONTRIBUTORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS WITH "
+    "THE SOFTWARE."
+)
+_POSTGRES = (
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the "
+    "following two paragraphs appear in all copies.\n\nIN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE "
+    "USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n\nTHE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    'TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, '
+    "ENHANCEMENTS, OR MODIFICATIONS."
+)
+_ADVERTISED = (
+    "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University of California, Berkeley and its contributors.\n\n"
+    "4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+)
 #: Full texts, each a file named by its license.
 _FULL = tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 #: Known texts and the license that each stands for; a title line, where usual, is a text of its own.
@@ -93,6 +134,8 @@ KNOWN = (
     ("0BSD", _MAY.format("")), ("BSD-2-Clause", _BSD.format("")),
     ("BSD-3-Clause", _BSD.format(_NOT_NAMED)), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD.format("")), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD.format(_NOT_NAMED)),
     *_FULL, ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE.replace("https://unlicense.org", "https://unlicense.org/")),
+    ("Zlib", _ZLIB), ("BSL-1.0", _BOOST), ("WTFPL", _WTFPL), ("MIT-0", _MIT_0), ("MIT-0", "MIT No Attribution\n\n" + _MIT_0), ("NCSA", _NCSA), ("PostgreSQL", _POSTGRES),
+    ("BSD-4-Clause", _BSD.format(_ADVERTISED)), ("BSD-1-Clause", _BSD.format("").replace("\n\n2. " + _BSD.split("2. ")[1].split("\n\n")[0], "")),
     ("Apache-2.0", _APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0-or-later", _GPL),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 )
@@ -102,10 +145,11 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; null text: empty."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(COPYRIGHT_LINE), F.lit(" "))
     out = F.translate(out, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" "))), F.lit(" "))
+    # two spaces between words, so that each has its own on both sides and neighbours are spelt anew alike
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit("  "))), F.lit(" "))
     for spelling, same in EQUAL:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {same} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -131,10 +175,10 @@ def _sql_canonical(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     out = f"regexp_replace(coalesce({text}, ''), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
     out = f"translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"' ' || trim(regexp_replace({out}, {quote(PUNCTUATION)}, ' ', 'g'), ' ') || ' '"
+    out = f"' ' || trim(regexp_replace({out}, {quote(PUNCTUATION)}, '  ', 'g'), ' ') || ' '"
     for spelling, same in EQUAL:
-        out = f"replace({out}, {quote(f' {spelling} ')}, {quote(f' {same} ')})"
-    return f"trim({out}, ' ')"
+        out = f"replace({out}, {quote(f' {spelling} '.replace(' ', '  ')[1:-1])}, {quote(f' {same} '.replace(' ', '  ')[1:-1])})"
+    return f"trim(replace({out}, '  ', ' '), ' ')"
 
 
 def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:

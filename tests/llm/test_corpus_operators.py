@@ -428,6 +428,38 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
 
 
+def canonical_words(text):
+    """The canonical form as a list of words, made another way: token by token, with a step for spellings of two words."""
+    text = re.sub(licenses.COPYRIGHT_LINE.replace("(?im)", ""), " ", text or "", flags=re.I | re.M)
+    words = re.sub(licenses.PUNCTUATION, " ", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split(" ")
+    words = [w for w in words if w]
+    for spelling, same in licenses.EQUAL:
+        old, new, out, k = spelling.split(" "), same.split(" "), [], 0
+        while k < len(words):
+            hit = words[k : k + len(old)] == old
+            out += new if hit else words[k : k + 1]
+            k += len(old) if hit else 1
+        words = out
+    return words
+
+
+def test_canonical_forms(spark):
+    import duckdb
+
+    texts = ["licence licence LICENCE", "license  license, license", "sub-licence sub licence sub license", "while while", "copyright owner copyright owner", " ", "", None, "The licence's organisation; unauthorised!"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(licenses.canonical(F.col("text"))).collect()]
+    assert got == [" ".join(canonical_words(t)) for t in texts] and got[0] == got[1] == "license license license" and got[2] == "sublicense sublicense sublicense"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    rows = [*enumerate(t for _, t in licenses.KNOWN), *enumerate(texts, 1000)]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(licenses.oracle_sql()).fetchall()
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["matched"] for r in got) >= len(licenses.KNOWN)
+    assert len({k for k, t in licenses.KNOWN if len(t) > 300}) >= 20
+
+
 def test_licenses_match_however_they_are_wrapped(spark):
     import textwrap
 
