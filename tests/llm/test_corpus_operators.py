@@ -235,6 +235,38 @@ def test_vectors_equal_brute_force(spark):
     assert flat_graph.near_vectors(frame.filter("vec_id > 1000")).count() == 7
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(9)
+    rows, at = [], 0
+    for dim, n in ((24, 2000), (8, 1700), (16, 40), (3, 2)):
+        x = rng.normal(size=(n, dim))
+        x[: n // 2] = x[n // 2 :] + 0.2 * rng.normal(size=(n // 2, dim))
+        rows += [(at + i, [float(v) for v in x[i]]) for i in range(n)]
+        at += n
+    rows += [(at, [1.0, 2.0, 3.0, 4.0]), (at + 1, [1.0, 2.0, 3.0, 4.0]), (at + 2, [1.0, 2.0, 3.0, 4.0, 0.0])]
+    got = {r["vec_id"]: r for r in flat_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links, base = {}, 0
+    for dim, n in ((24, 2000), (8, 1700), (16, 40), (3, 2)):
+        x = np.array([v for _, v in rows[base : base + n]])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links |= dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist(), base))
+        base += n
+    assert all(got[i]["n_links"] <= n for i, n in links.items()) and sum(got[i]["n_links"] for i in links) >= 0.98 * sum(links.values())
+    assert got[at]["n_links"] == got[at + 1]["n_links"] == 1 and got[at + 2]["n_links"] == 0 and got[at + 1]["component_id"] == at
+
+
+def test_clusters_in_two_levels(spark, monkeypatch):
+    for name, value in (("MAX_CLUSTERS", 4), ("SHARD", 100), ("PART", 150)):
+        monkeypatch.setattr(flat_graph, name, value)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1200, 16))
+    x[:600] = x[600:] + 0.25 * rng.normal(size=(600, 16))
+    got = {r["vec_id"]: r for r in flat_graph.near_vectors(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1200)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    assert len(got) == 1200 and all(got[i]["n_links"] <= near[i] for i in got) and sum(r["n_links"] for r in got.values()) >= 0.95 * near.sum()
+
+
 def test_blocks_of_a_large_shard(spark, monkeypatch):
     monkeypatch.setattr(flat_graph, "BLOCK", 150)
     rng = np.random.default_rng(6)
