@@ -7,6 +7,7 @@ or two for one, between underfull sequences wherever that raises the sum of squa
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import unicodedata
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import fresh, written
 
 LENGTH = 4096
 END_ID = 1
@@ -55,8 +56,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
-        # special strings, separators that only str.split takes for white space, a sigma whose lower case depends on its place
-        self.odd = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + "|[\x1c-\x1f\u03a3]")
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.model = self.library.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary shows as they are
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
@@ -85,9 +85,10 @@ class WordIds:
         return array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
 
     def plain(self, text: str) -> bool:
-        if "<|" in text or not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
-            return False  # special strings; a sigma whose lower case depends on its place; letters to be composed
-        return not any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to str.split alone
+        if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+            return False  # a sigma whose lower case depends on its place; letters to be composed
+        # special strings, and white space to str.split alone
+        return not any(c in text for c in (*self.special, "\x1c", "\x1d", "\x1e", "\x1f"))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.word) > WORDS or len(self.pretoken) > WORDS:
@@ -151,76 +152,95 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = 4) -> list[list[int]]:
+class Bin:
+    """Items of a sequence by their length: of equal lengths any will do."""
+
+    def __init__(self, items: list[int], lengths: list[int]) -> None:
+        self.of: dict[int, list[int]] = {}
+        self.fill = 0
+        for i in items:
+            self.add(lengths[i], i)
+
+    def add(self, n: int, item: int) -> None:
+        self.of.setdefault(n, []).append(item)
+        self.fill += n
+
+    def take(self, n: int) -> int:
+        item = self.of[n].pop()
+        if not self.of[n]:
+            del self.of[n]
+        self.fill -= n
+        return item
+
+
+def best_exchange(source: Bin, target: Bin, size: int) -> tuple[int, tuple[int, ...], int]:
+    """The most tokens that one move, one-for-one or two-for-one exchange takes from source to target, the lengths that
+    leave and the one that comes back (0: none). All lengths are tried; distinct ones are few, as they add up to a sequence."""
+    room, theirs = size - target.fill, sorted(target.of)
+    mine = sorted(source.of, reverse=True)
+    best = max(((n, (n,), 0) for n in mine if n <= room), default=(0, (), 0))
+    twos = ((a + b, (a, b)) for k, a in enumerate(mine) for b in mine[k:] if a != b or len(source.of[a]) > 1)
+    for gives, parts in (*((n, (n,)) for n in mine), *twos):
+        if best[0] == room:
+            break
+        k = bisect.bisect_left(theirs, gives - room)
+        if k < len(theirs) and gives - theirs[k] > best[0]:
+            best = gives - theirs[k], parts, theirs[k]
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int, patience: int = 20) -> list[list[int]]:
     """Empty underfull bins: the emptiest gives documents away, by moves, one-for-one and two-for-one exchanges, each of
-    which raises the sum of squared fills. Stops at the lower bound, or when no exchange helps."""
-    bins = [list(b) for b in bins if b]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // size)
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < size), key=lambda b: (fill[b], b))
-    alive = len(bins)
+    which raises the sum of squared fills. Stops at the lower bound, or after `patience` bins in a row that no exchange
+    empties."""
+    held = [Bin(b, lengths) for b in bins if b]
+    least = -(-sum(b.fill for b in held) // size)
+    open_ = sorted((b for b in held if b.fill < size), key=lambda b: b.fill)
+    alive, failed = len(held), 0
     for source in open_:
-        if alive <= least:
+        if alive <= least or failed == patience:
             break
-        others = [b for b in open_ if b != source and bins[b]]
-        for _ in range(rounds):
-            before = fill[source]
-            for b in others:
-                room = size - fill[b]
-                if not room or not bins[source] or not bins[b]:
+        if not source.fill or source.fill == size:
+            continue
+        moved = True
+        while moved and source.fill:
+            moved = False
+            for target in open_:
+                if target is source or not target.fill or target.fill == size:
                     continue
-                best = None  # tokens that leave the source, what it gives, what it takes
-                mine = sorted(bins[source], key=lambda i: -lengths[i])
-                for i in mine:  # a move
-                    if lengths[i] <= room:
-                        best = lengths[i], [i], []
+                gain, gives, takes = best_exchange(source, target, size)
+                if gain and target.fill + gain > source.fill:  # then the squares grow
+                    out = [source.take(n) for n in gives]
+                    back = target.take(takes) if takes else None
+                    for n, item in zip(gives, out, strict=True):
+                        target.add(n, item)
+                    if back is not None:
+                        source.add(takes, back)
+                    moved = True
+                    if not source.fill:
                         break
-                theirs = sorted(bins[b], key=lambda i: lengths[i])
-                for i in mine:  # one for one
-                    for j in theirs:
-                        gain = lengths[i] - lengths[j]
-                        if gain <= 0:
-                            break
-                        if gain <= room and (best is None or gain > best[0]):
-                            best = gain, [i], [j]
-                            break
-                for x in range(min(len(mine), 8)):  # two for one
-                    for y in range(x + 1, min(len(mine), 8)):
-                        two = lengths[mine[x]] + lengths[mine[y]]
-                        for j in theirs:
-                            gain = two - lengths[j]
-                            if gain <= 0:
-                                break
-                            if gain <= room and (best is None or gain > best[0]):
-                                best = gain, [mine[x], mine[y]], [j]
-                                break
-                if best is not None and fill[b] + best[0] > fill[source] - best[0] and (fill[b] + best[0]) ** 2 + (fill[source] - best[0]) ** 2 > fill[b] ** 2 + fill[source] ** 2:
-                    gain, gives, takes = best
-                    bins[source] = [i for i in bins[source] if i not in gives] + takes
-                    bins[b] = [i for i in bins[b] if i not in takes] + gives
-                    fill[source] -= gain
-                    fill[b] += gain
-                if not bins[source]:
-                    alive -= 1
-                    break
-            if not bins[source] or fill[source] == before:
-                break
-    return [b for b in bins if b]
+        alive -= not source.fill
+        failed = failed + 1 if source.fill else 0
+        open_ = [b for b in open_ if b.fill < size]
+    return [[i for items in b.of.values() for i in items] for b in held if b.fill]
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset added; pieces has doc_id, piece and length (1 to length), and may have more.
-
-    Pieces that fill a sequence go alone. The others are dealt by hash into groups; a group's sequence ids begin with
-    its number. Rows without doc_id and repeated rows are packed like any other. Empty table: no rows."""
-    taken = set(pieces.columns) & {"sequence_id", "offset", "_group"}
-    pieces = pieces.drop(*taken)
+    """pieces with sequence_id and offset added, or put in place of columns so named; pieces has doc_id, piece and length
+    (1 to length), and may have more.
+
+    Pieces are dealt by hash into groups of about `group`, and repeats of one that are more than an eighth of a group to
+    several of them; a piece that fills a sequence has it alone. A group's sequence ids begin with its number. Rows without
+    doc_id and repeated rows are packed like any other. Empty table: no rows."""
+    pieces = pieces.drop("sequence_id", "offset")
+    key, of, often = fresh(pieces, "_group"), fresh(pieces, "_salt"), fresh(pieces, "_often")
     n = max(1, -(-pieces.count() // group))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    ties = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in pieces.columns]
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["_group"].iloc[0])
-        rows = rows.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        number = int(rows[key].iloc[0])
+        rows = rows.sort_values(ties, kind="stable").reset_index(drop=True)
         lengths = rows["length"].astype("int64").tolist()
         bins = local_search(best_fit(lengths, length), lengths, length)
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
@@ -230,10 +250,19 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
                 sequence[i], offset[i] = (number << 32) + k, at
                 at += lengths[i]
         rows["sequence_id"], rows["offset"] = sequence, offset
-        return rows.drop(columns="_group")
-
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n)).alias("_group")
-    return pieces.select("*", dealt).groupBy("_group").applyInPandas(packed, schema)
+        return rows.drop(columns=key)
+
+    same = ["doc_id", "piece", "length"]
+    salted, salt = pieces, F.lit(0)
+    if n > 1:
+        most = max(1, group // 8)
+        hot = pieces.groupBy(*same).agg(F.count("*").alias(often)).filter(F.col(often) > most)
+        hot = hot.select(*[F.col(c).alias(f"{of}{c}") for c in same], F.ceil(F.col(often) / most).alias(often))
+        alike = [F.col(c).eqNullSafe(F.col(f"{of}{c}")) for c in same]
+        salted = pieces.join(hot, alike, "left").drop(*[f"{of}{c}" for c in same])
+        salt = F.when(F.col(often).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(often)))
+    dealt = salted.withColumn(key, F.pmod(F.xxhash64(*same, salt), F.lit(n))).drop(often)
+    return dealt.groupBy(key).applyInPandas(packed, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:

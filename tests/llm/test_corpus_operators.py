@@ -422,6 +422,36 @@ def test_local_search_empties_bins():
     assert len(bins) == 2
 
 
+def test_search_runs_where_best_fit_falls_short(spark):
+    # 400 sequences of three pieces that fit exactly, each a third or so
+    rng = np.random.default_rng(11)
+    rows = []
+    while len(rows) < 1200:
+        a, b = rng.integers(1030, 1700, 2).tolist()
+        if 1030 <= 4096 - a - b < 1700:
+            rows += [(len(rows) // 3, i, n, "g", "x") for i, n in enumerate((a, b, 4096 - a - b))]
+    lengths = [r[2] for r in rows]
+    alone = len(packing.best_fit(lengths, 4096))
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, length long, `_group` string, `_often` string")
+    got = packing.pack(frame).collect()
+    assert got[0].asDict().keys() == {"doc_id", "piece", "length", "_group", "_often", "sequence_id", "offset"}
+    fills = collections.Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(r[:3] for r in rows) and max(fills.values()) <= 4096
+    assert alone > 440 and 400 <= len(fills) <= 425
+    assert sum(f * f for f in fills.values()) > sum(sum(lengths[i] for i in b) ** 2 for b in packing.best_fit(lengths, 4096))
+
+
+def test_repeats_of_a_piece_are_dealt_to_several_groups(spark):
+    rows = [(i, 0, 100 + i % 50) for i in range(2000)] + [(7, 0, 107)] * 1999 + [(None, 0, 5)] * 1000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 4096, 200).collect()
+    assert len(got) == len(rows)
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    hot = collections.Counter(r["sequence_id"] >> 32 for r in got if r["doc_id"] == 7)
+    assert max(groups.values()) < 700 and max(hot.values()) < 500
+
+
 # op9
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>ä" * 60
