@@ -6,10 +6,11 @@ two tokens may stand side by side only if merging their joined bytes gives the s
 token for every prefix. Each transition carries the change in the number of tokens emitted. States are compiled when
 first reached, and a table that outgrows its bound is dropped and begun anew.
 
-Texts of a batch form one byte stream, cut into chunks of equal length whatever the texts. A chunk's state map is a
-constant from its first pretoken boundary on, since a boundary resets the transducer; only the bytes before that depend
-on the state in which the chunk is entered. All chunks run in lockstep, and the maps then compose from left to right:
-a map that is constant passes its exit state on at once, and chunks without a boundary take their neighbour's.
+Texts of a batch form one byte stream, cut into chunks of equal length whatever the texts, and all chunks run in
+lockstep. A chunk's map from the state in which it is entered to the state in which it is left is a constant if it holds
+a pretoken boundary, since a boundary resets the transducer; of other chunks the map is known for the states that they
+were run from. A parallel prefix scan composes the maps pairwise, in as many steps as the logarithm of their number, and
+gives every chunk its entry state; only the bytes before a chunk's first boundary are then run again.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 512  # bytes of a chunk
 SLICE = 8 << 20  # bytes that run together
-MAX_STATES = 160_000  # rows of the compiled table; a row takes 5 bytes for each byte value seen
+MAX_STATES = 320_000  # rows of the compiled table at most; a row takes 5 bytes for each byte value seen
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 _WHITE = (9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -52,6 +53,13 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+START = ((0, -1, 0),)  # the state at the beginning of a pretoken
+
+
+class Full(Exception):
+    """The compiled table holds as many states as it may."""
+
+
 class Transducer:
     """Counts tokens of a byte-level BPE; compiled from a tokenizer's JSON file."""
 
@@ -87,7 +95,7 @@ class Transducer:
 
     def reset(self) -> None:
         """Forget what was compiled; state 0 is the start of a pretoken."""
-        self.states: list[tuple[tuple[int, int, int], ...]] = [((0, -1, 0),)]
+        self.states: list[tuple[tuple[int, int, int], ...]] = [START]
         self.number = {self.states[0]: 0}
         self.column = np.zeros(256, np.int64)  # 0: a byte not seen yet
         self.columns, self.width = 1, 64
@@ -122,6 +130,15 @@ class Transducer:
             known = self.beside[last, token] = ids == ([last, token] if last >= 0 else [token])
         return known
 
+    def state_of(self, what: tuple) -> int:
+        n = self.number.get(what)
+        if n is None:
+            if len(self.states) >= self.max_states:
+                raise Full
+            n = self.number[what] = len(self.states)
+            self.states.append(what)
+        return n
+
     def compile(self, state: int, byte: int) -> None:
         kept, found = [], None
         for node, last, count in self.states[state]:
@@ -135,10 +152,7 @@ class Transducer:
                 kept.append((to, last, count))
         token, change = found
         new = (*((node, last, count - change) for node, last, count in kept), (0, token, 0))
-        n = self.number.get(new)
-        if n is None:
-            n = self.number[new] = len(self.states)
-            self.states.append(new)
+        n = self.state_of(new)
         if self.column[byte] == 0:
             self.column[byte] = self.columns
             self.columns += 1
@@ -201,34 +215,105 @@ class Transducer:
         out[lead[flag]] = True
         return out
 
-    def changes(self, data: np.ndarray, flag: np.ndarray) -> np.ndarray:
-        """The change in the number of tokens at every byte."""
+    def changes(self, data: np.ndarray, flag: np.ndarray, entry: tuple = START) -> tuple[np.ndarray, tuple]:
+        """The change in the number of tokens at every byte, and the state at the end; entry: the state at the beginning.
+        Bytes that need more states than the table may hold are halved, and the table is begun anew for each half."""
+        try:
+            return self._changes(data, flag, self.state_of(entry))
+        except Full:
+            if len(data) <= CHUNK:
+                raise
+        half = -(-len(data) // (2 * CHUNK)) * CHUNK
+        self.reset()
+        left, entry = self.changes(data[:half], flag[:half], entry)
+        self.reset()
+        right, entry = self.changes(data[half:], flag[half:], entry)
+        return np.concatenate([left, right]), entry
+
+    def _changes(self, data: np.ndarray, flag: np.ndarray, entry: int) -> tuple[np.ndarray, tuple]:
         n = -(-len(data) // CHUNK)
         pad = n * CHUNK - len(data)
         lanes = np.ascontiguousarray(np.concatenate([data, np.full(pad, 32, np.uint8)]).reshape(n, CHUNK).T)
         resets = np.ascontiguousarray(np.concatenate([flag, np.ones(pad, bool)]).reshape(n, CHUNK).T)
         out = np.zeros((CHUNK, n), np.int8)
-        # the constant part of every map: from the first boundary on
+        ends = np.full(n, CHUNK)
+        ends[-1] -= pad
+        # the constant part of every map: from the first boundary on; a chunk without one is mapped from its neighbour's guess
         first = np.where(resets.any(0), resets.argmax(0), CHUNK)
-        state = np.zeros(n, np.int64)
+        first[-1] = min(first[-1], ends[-1])
+        free = first == ends
+        state, last = np.zeros(n, np.int64), 0
+        state[0] = entry
         for i in range(CHUNK):
             state = np.where(resets[i], 0, state)
             state, out[i] = self.step(state, lanes[i])
-        # composition: heads run from the exit states to their left
-        pending, known = first > 0, first < CHUNK  # known: the state in which the chunk is left
-        while pending.any():
-            ready = lane = np.flatnonzero(pending & np.concatenate([[True], known[:-1]]))
-            now = np.where(ready > 0, state[ready - 1], 0)
-            for i in range(int(first[ready].max())):
-                live = first[lane] > i
-                if not live.all():
-                    lane, now = lane[live], now[live]
-                now, out[i, lane] = self.step(now, lanes[i, lane])
-            whole = lane[first[lane] == CHUNK]
-            state[whole] = now[first[lane] == CHUNK]
-            known[whole] = True
-            pending[ready] = False
-        return out.T.reshape(-1)[: len(data)]
+            if i == ends[-1] - 1:
+                last = int(state[-1])  # before the padding
+        state[-1] = last
+        ran = np.zeros(n, np.int64)  # the state in which each chunk was entered last
+        ran[0] = entry
+        enter = self.entered(state, free, entry, ran, lambda lane, now: self.heads(lanes, out, first, lane, now))
+        todo = np.flatnonzero((first > 0) & (enter != np.where(free, ran, -1)))
+        whole = self.heads(lanes, out, first, todo, enter[todo])
+        state[todo[free[todo]]] = whole[free[todo]]
+        return out.T.reshape(-1)[: len(data)], self.states[state[-1]]
+
+    def heads(self, lanes: np.ndarray, out: np.ndarray, first: np.ndarray, lane: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Run chunks up to their first boundary from the given states; the states reached there."""
+        order = np.argsort(-first[lane], kind="stable")
+        lane, now = lane[order], now[order]
+        size = first[lane]
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for i, k in enumerate(live.tolist()):
+            now[:k], out[i, lane[:k]] = self.step(now[:k], lanes[i, lane[:k]])
+        reached = np.empty_like(now)
+        reached[order] = now
+        return reached
+
+    @staticmethod
+    def entered(state: np.ndarray, free: np.ndarray, entry: int, ran: np.ndarray, run) -> np.ndarray:
+        """The state in which every chunk is entered, by a parallel prefix scan over the chunks' maps.
+
+        A chunk with a boundary maps every entry state to state[k]. A free chunk's map is known for the states that it has
+        been run from: pairs of entry and exit, one more with each round. Maps compose pairwise, with twice the reach in
+        every step; a free chunk whose entry state its map doesn't know is run from its left neighbour's last exit, all
+        such chunks at once. Exits meet again soon whatever the entry, so that two rounds are the rule."""
+        n = len(state)
+        starts, exits = [ran.copy()], [state.copy()]
+        enter = np.concatenate([[entry], state[:-1]])
+        while True:
+            begin, to = np.stack(starts), np.stack(exits)
+            many = len(starts)
+            nodes = many * n  # (column, chunk), and one more for what isn't known
+            # from a chunk entered in its m-th state: the column of the next chunk that this leads to
+            follow = np.full((many, n), nodes)
+            for m in range(many):
+                same = begin[:, 1:] == to[m, :-1]
+                follow[m, :-1] = np.where(free[1:] & same.any(0), same.argmax(0) * n + np.arange(1, n), nodes)
+            jump = np.append(follow.reshape(-1), nodes)
+            real = np.zeros(nodes + 1, bool)
+            # where the entry is known: after a chunk that maps to a constant, and at the beginning
+            sure = np.flatnonzero(free & np.concatenate([[True], ~free[:-1]]))
+            hit = begin[:, sure] == enter[sure]
+            real[hit.argmax(0)[hit.any(0)] * n + sure[hit.any(0)]] = True
+            for _ in range(n.bit_length()):
+                real[jump[real]] = True
+                real[nodes] = False
+                jump = jump[jump]
+            found = real[:-1].reshape(many, n)
+            known = found.any(0) | ~free
+            column = found.argmax(0)
+            out = np.where(free, to[column, np.arange(n)], state)
+            guess = np.where(known, out, to[-1])  # what each chunk is left in, or may be
+            enter[1:] = guess[:-1]
+            if known.all():
+                return enter
+            again = np.flatnonzero(~known)
+            starts.append(np.full(n, -1))
+            exits.append(exits[-1].copy())
+            starts[-1][again] = enter[again]
+            exits[-1][again] = run(again, enter[again])
+            ran[again] = enter[again]
 
     def counts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each text; data: their bytes joined, ends: where each ends."""
@@ -236,8 +321,8 @@ class Transducer:
         out = np.zeros(len(ends), np.int64)
         if not len(data):
             return out
-        if len(self.states) > self.max_states:
-            self.reset()
+        if 2 * len(self.states) > self.max_states:
+            self.reset()  # rather than in the middle
         cuts, marked = [starts], []
         raw = data.tobytes()
         for special in self.special:
@@ -251,7 +336,7 @@ class Transducer:
                     p = raw.find(special, p + 1)
         cuts.append(np.array([x for pair in marked for x in pair], np.int64))
         begin = np.unique(np.concatenate(cuts))
-        change = self.changes(data, self.boundaries(data, begin)).astype(np.int64)
+        change = self.changes(data, self.boundaries(data, begin))[0].astype(np.int64)
         for a, b in marked:
             change[a:b] = 0
             change[a] = 1
@@ -295,7 +380,7 @@ def with_token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) added, or put in place of columns so named.
 
     Every row stays as it is otherwise: rows without doc_id, repeated rows and further columns included. Null text
-    counts as empty: 0 bytes, 0 tokens. A text of any length is counted whole."""
+    counts as empty: 0 bytes, 0 tokens. A text of any length is counted whole. Empty table: no rows."""
     whole = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": token_count(F.col("text"), path)})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -61,6 +61,38 @@ def test_token_counts_across_chunks():
     assert token_counts.count_batch(BYTE_BPE, pa.array(texts)).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_long_runs_and_small_tables():
+    """Runs without a boundary: the scan gives entry states over many chunks, within whatever bound the table has."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rng = np.random.default_rng(12)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(of), n))
+    texts = [letters(40_000), "x" * 60_000, "ab" * 20_000, letters(30_000, "acgt"), "漢字仮名" * 6000, " " * 30_000 + "a", "=" * 20_000, letters(5000) + " end", "a " + letters(2000), "", "plain words in a row " * 300]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    machine = token_counts.Transducer(BYTE_BPE)
+    assert machine.counts(data, ends).tolist() == want
+    small = token_counts.Transducer(BYTE_BPE, 6000)
+    assert small.counts(data, ends).tolist() == want and len(small.states) <= 6000
+
+
+def test_entry_states_by_prefix_scan():
+    """Against one chunk after the other, with maps that never agree on a state."""
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 7, 64, 200):
+        maps, free = rng.integers(0, 50, (n, 50)), rng.random(n) < 0.9
+        state, want = np.where(free, maps[:, 0], rng.integers(0, 50, n)), [3]
+        if free[0]:
+            state[0] = maps[0, 3]
+        for k in range(n - 1):
+            want.append(int(maps[k, want[-1]]) if free[k] else int(state[k]))
+        ran = np.zeros(n, np.int64)
+        ran[0] = 3
+        assert token_counts.Transducer.entered(state, free, 3, ran, lambda lane, now: maps[lane, now]).tolist() == want
+
+
 # op2
 def brute_fingerprint(text, shingle=3):
     from xxhash import xxh64_intdigest
