@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import WORD, compacted, fresh, written
+from quire.llm.shared import WORD, fresh, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # the mix takes 3/2 of all tokens
@@ -49,11 +49,12 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
     """doc_id, source, size, source_size, target and taken (tokens the mix takes) of every row of docs.
 
     docs has doc_id, source and text; other columns are not read. Null text has size 0 and is taken 0 times; a null
-    source is a source of its own, last in order; rows that share a doc_id, or have none, queue as separate documents
-    of equal hash. Empty table: no rows. Reruns agree, as the order depends on doc_id alone."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumn("key", F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16))
-    sized = written(compacted(sized.withColumn("bucket", F.substring("key", 1, 3))), "mix-sizes")
+    source is a source of its own, last in order; rows that share a doc_id queue as separate documents of equal hash, and
+    rows without one by a hash of their text. Empty table: no rows. Reruns agree, as the order depends on hashes alone."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.substring(F.md5(F.concat(named, F.lit(f":{seed}"))), 1, 16).alias("key")
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key)
+    sized = written(sized.withColumn("bucket", F.substring("key", 1, 3)), "mix-sizes")
 
     # tokens of a source before each of its 4096 buckets
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -110,21 +111,25 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it; columns as in docs.
 
-    Rows that share a doc_id are told apart by their size; rows without doc_id, like those without words, aren't taken."""
-    turn, times, size = fresh(docs, "_turn"), fresh(docs, "_times"), fresh(docs, "_size")
-    same = Window.partitionBy("doc_id")
-    plan = fair_mix(docs, **how).withColumn("turn", F.row_number().over(same.orderBy("size", "source"))).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("turn").alias("_nth"), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    own = own.withColumn(turn, F.row_number().over(same.orderBy(size, "source")))
-    both = own.join(plan, (own["doc_id"] == plan["_id"]) & (own[turn] == plan["_nth"]))
-    return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
+    Rows that share doc_id (or have none), source and size are alike to the mix, and what it takes of them is dealt out
+    evenly, in the order of a hash of their texts. Rows without words aren't taken. Empty table: no rows."""
+    nth, many, times, size = (fresh(docs, c) for c in ("_nth", "_many", "_times", "_size"))
+    # what is taken of each class of rows that are alike
+    plan = fair_mix(docs, **how).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(times))
+    plan = plan.select(F.col("doc_id").alias("_of"), F.col("source").alias("_from"), F.col("size").alias("_words"), times)
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    alike = Window.partitionBy("doc_id", "source", size)
+    own = own.withColumn(nth, F.row_number().over(alike.orderBy(F.xxhash64("text")))).withColumn(many, F.count("*").over(alike))
+    both = own.join(plan, own["doc_id"].eqNullSafe(plan["_of"]) & own["source"].eqNullSafe(plan["_from"]) & (own[size] == plan["_words"]))
+    whole = F.floor(F.col(times) / F.col(many))
+    turns = (whole + F.when(F.col(nth) <= F.col(times) - whole * F.col(many), 1).otherwise(0)).cast("int")
+    return both.withColumn(nth, F.explode(F.when(turns > 0, F.sequence(F.lit(1), turns)))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 16) AS key
+         substring(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':mix'), 1, 16) AS key
   FROM {documents}),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),

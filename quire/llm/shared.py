@@ -17,9 +17,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on
+    one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(root)
@@ -49,11 +52,6 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compacted(df: DataFrame, by: int = 4) -> DataFrame:
-    """df with several scan splits to a task: what a few narrow columns of wide rows write would else be tiny files."""
-    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // by)))
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

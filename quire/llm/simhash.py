@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected
-from quire.llm.shared import compacted, fresh, written
+from quire.llm.shared import fresh, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -138,8 +138,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def print_links(prints: DataFrame) -> DataFrame:
-    """a, b: links within RADIUS bits that connect what is connected among the distinct fingerprints of column print."""
-    variants = prints.select("print").distinct().mapInArrow(_variants, "variant long, print long")
+    """a, b: links within RADIUS bits that connect what is connected among the distinct fingerprints of column print.
+
+    Repeats of a fingerprint and a null one count as one and as none; other columns aren't read. Empty table: no rows. A
+    variant's run holds at most 49 * 2^16 fingerprints, those that differ in the block left out and in one other bit."""
+    variants = prints.select("print").dropna().distinct().mapInArrow(_variants, "variant long, print long")
     met = variants.repartition(F.col("variant")).sortWithinPartitions("variant")
     return met.mapInArrow(_verify, "a long, b long").distinct()
 
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     docs has doc_id and text; other columns are not read. Copies share a fingerprint, so they are one node of the search.
     Null text and texts without words have fingerprint 0 and link like any other; rows without doc_id are fingerprinted
     and linked, but name no component (one of such rows alone: null). Empty table: no rows."""
-    held = written(compacted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash(F.col("text"), shingle).alias("print"))), "simhash")
+    held = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash(F.col("text"), shingle).alias("print")), "simhash")
     prints = held.groupBy("print").agg(F.min("doc_id").alias("first"))
     links = written(print_links(prints), "simhash-links")
     roots = connected(links)

@@ -1,8 +1,8 @@
 """Toxicity scores by a counterfactually regularised classifier.
 
-A logistic regression over the words, and beginnings of words, that a text holds. It is fitted on labelled texts, and on the same texts with
-identity terms swapped for others: a change of score between a text and its swapped form is penalised, so that neutral
-mentions of groups don't raise a score. Which words count is decided by a test of their share of toxic texts.
+A logistic regression over the words, and beginnings of words, that a text holds. It is fitted on labelled texts, and on
+the same texts with identity terms swapped for others: a change of score between a text and its swapped form is
+penalised, so that neutral mentions of groups don't raise a score. Which words count is decided by a test of their share of toxic texts.
 """
 
 from __future__ import annotations
@@ -93,15 +93,17 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
     chosen = sorted({r["word"] for r in found.collect()} | swaps.keys())
     number = {w: i for i, w in enumerate(chosen)}
     kept = F.array_intersect("words", F.array(*[F.lit(w) for w in chosen])) if len(chosen) < 50 else F.filter("words", lambda w: w.isin(chosen))
-    rows = held.select(kept.alias("words"), "toxic").groupBy("words", "toxic").agg(F.count("*").alias("times")).limit(max_train).toPandas()
+    rows = held.select(kept.alias("words"), "toxic").groupBy("words", "toxic").agg(F.count("*").alias("times"))
+    rows = rows.orderBy(F.xxhash64("words", "toxic"), "words", "toxic").limit(max_train).toPandas()
     docs = [[number[w] for w in ws] for ws in rows["words"]]
     y, times = rows["toxic"].to_numpy(float), rows["times"].to_numpy(float)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     col = np.array([i for d in docs for i in d], np.int64)
-    # swapped forms differ from their text in two words; each pair adds (w_a - w_b)^2 as often as the term occurs
-    pairs = [(number[a], number[b], t) for ws, t in zip(rows["words"], times, strict=True) for a in ws if a in swaps for b in swaps[a]]
+    # a swapped form lacks a term and has another, unless that stands in the text as well; nothing else changes, so each
+    # pair adds the square of w_a - w_b, or of w_a, as often as the text occurs
+    pairs = [(number[a], number[b], t, b not in ws) for ws, t in zip(map(set, rows["words"]), times, strict=True) for a in sorted(ws & swaps.keys()) for b in swaps[a]]
     a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    often = np.array([p[2] for p in pairs], float) / n
+    often, new = np.array([p[2] for p in pairs], float) / n, np.array([p[3] for p in pairs], float)
     w, moment, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     w[-1] = bias
     for step in range(1, 1501):
@@ -109,8 +111,8 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
         error = times * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / n
         grad = np.append(np.bincount(col, error[row], len(chosen)) + ridge * w[:-1], error.sum())
         if len(pairs):
-            gap = 2 * swap_penalty * often * (w[a] - w[b])
-            grad[:-1] += np.bincount(a, gap, len(chosen)) - np.bincount(b, gap, len(chosen))
+            gap = 2 * swap_penalty * often * (w[a] - new * w[b])
+            grad[:-1] += np.bincount(a, gap, len(chosen)) - np.bincount(b, new * gap, len(chosen))
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         w -= 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
@@ -123,7 +125,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, fold:
     from quire.llm.shared import crc_mod
 
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held_out))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # no task sorts more than a little over max_train rows: hashes above the share asked for can't be among the first
+    place, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1.2 * max_train / max(chosen.count(), 1)
+    chosen = chosen.filter(place < F.lit(int(min(share, 1.0) * (1 << 40)))) if share < 1 and max_train > 1000 else chosen
+    chosen = chosen.orderBy(place, "doc_id").limit(max_train)
     # max_train rows of two numbers: small whatever the input
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

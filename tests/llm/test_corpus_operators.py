@@ -322,6 +322,21 @@ def test_mix_shares(docs, empty):
     assert by_text(mixing.fair_mix(docs), "doc_id", "taken") == by_text(mixing.fair_mix(docs.repartition(5)), "doc_id", "taken")
 
 
+def test_mixed_takes_what_the_mix_takes(docs, spark):
+    """Rows without doc_id and rows that repeat one included."""
+    rows = [tuple(r) for r in docs.collect()] + [(None, f"words of no id {k} " * (k % 5 + 1), "a", "g", "f", "s") for k in range(20)] + [(7, "one", "a", "g", "f", "s")] * 3
+    every = spark.createDataFrame(rows, DOCS).repartition(3)
+    words = lambda t: len((t or "").encode().split())
+    taken, got = collections.Counter(), collections.Counter()
+    for r in mixing.fair_mix(every).collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    out = mixing.mixed(every)
+    for r in out.collect():
+        got[r["doc_id"], r["source"], words(r["text"])] += words(r["text"])
+    assert got == +taken and any(k[0] is None for k in got) and out.columns == every.columns
+    assert all(n <= 2 * rows.count(r) for r, n in collections.Counter(tuple(r) for r in out.collect()).items() for rows in [[tuple(x) for x in rows]])
+
+
 def test_mix_comes_near_targets(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(n), f"s{min(int(s), 6)}") for i, (n, s) in enumerate(zip(rng.integers(1, 60, 3000), rng.exponential(2, 3000), strict=True))]
