@@ -334,7 +334,8 @@ def test_mixed_takes_what_the_mix_takes(docs, spark):
     for r in out.collect():
         got[r["doc_id"], r["source"], words(r["text"])] += words(r["text"])
     assert got == +taken and any(k[0] is None for k in got) and out.columns == every.columns
-    assert all(n <= 2 * rows.count(r) for r, n in collections.Counter(tuple(r) for r in out.collect()).items() for rows in [[tuple(x) for x in rows]])
+    stands = collections.Counter(map(tuple, rows))
+    assert all(n <= 2 * stands[tuple(r)] for r, n in collections.Counter(out.collect()).items())
 
 
 def test_mix_comes_near_targets(spark):
