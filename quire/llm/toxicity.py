@@ -94,7 +94,9 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WO
     number = {w: i for i, w in enumerate(chosen)}
     kept = F.array_intersect("words", F.array(*[F.lit(w) for w in chosen])) if len(chosen) < 50 else F.filter("words", lambda w: w.isin(chosen))
     rows = held.select(kept.alias("words"), "toxic").groupBy("words", "toxic").agg(F.count("*").alias("times"))
-    rows = rows.orderBy(F.xxhash64("words", "toxic"), "words", "toxic").limit(max_train).toPandas()
+    if n > max_train:  # doc_ids that repeat in the documents
+        rows = rows.orderBy(F.xxhash64("words", "toxic"), "words", "toxic").limit(max_train)
+    rows = rows.toPandas()
     docs = [[number[w] for w in ws] for ws in rows["words"]]
     y, times = rows["toxic"].to_numpy(float), rows["times"].to_numpy(float)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
