@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans.queries import ORACLES, QUERIES
+from quire.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
