@@ -24,6 +24,7 @@ FUNCTION_WORDS = (
 SCRIPTS = (("latin", r"\p{IsLatin}"), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}"), ("arabic", r"\p{IsArabic}"), ("hebrew", r"\p{IsHebrew}"))
 
 #: Letters that decompose into a Latin letter and marks, with that letter; from Unicode, up to Latin Extended-B.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 ACCENTED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c)}
 
 
@@ -174,19 +175,30 @@ def trailing_fragment_ratio(text: Column) -> Column:
     return once(full_lines(text), lambda rows: share(F.size(F.filter(rows, broken)), F.size(rows)))
 
 
-def leading_fragment_ratio(text: Column) -> Column:
-    """Lines that begin with a piece of a word: a dash, a single consonant, or two lower-case letters that are no function
+def begins_broken(line: Column) -> Column:
+    """Whether a line begins with a piece of a word: a dash, a single consonant, or two lower-case letters that are no function
     word; a capital set apart before a lower-case word is none."""
+    words = tokens(line)
+    first, second = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    apart = first.rlike(r"^\p{Lu}$") & second.rlike(r"^\p{Ll}")
+    alone = first.rlike(r"^\p{L}$") & ~F.lower(first).rlike(f"[{VOWELS}]")
+    pair = first.rlike(r"^\p{L}{2}$") & ~first.rlike(r"^\p{Lu}")
+    return F.when(first.rlike("^[-–—]"), True).when(F.lower(first).isin(*FUNCTION_WORDS) | apart, False).otherwise(alone | pair)
 
-    def broken(x: Column) -> Column:
-        words = tokens(x)
-        first, second = F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
-        apart = first.rlike(r"^\p{Lu}$") & second.rlike(r"^\p{Ll}")
-        alone = first.rlike(r"^\p{L}$") & ~F.lower(first).rlike(f"[{VOWELS}]")
-        pair = first.rlike(r"^\p{L}{2}$") & ~first.rlike(r"^\p{Lu}")
-        return F.when(first.rlike("^[-–—]"), True).when(F.lower(first).isin(*FUNCTION_WORDS) | apart, False).otherwise(alone | pair)
 
-    return once(full_lines(text), lambda rows: share(F.size(F.filter(rows, broken)), F.size(rows)))
+def leading_fragment_ratio(text: Column) -> Column:
+    """Lines that begin broken, of those that aren't blank."""
+    return once(full_lines(text), lambda rows: share(F.size(F.filter(rows, begins_broken)), F.size(rows)))
+
+
+def seam_fragment_ratio(text: Column, seams: Column | None = None) -> Column:
+    """Lines that begin broken, or end with a hyphen or a single letter, of those at a seam or next to one that aren't blank
+    (without seams: of all). seams: an array of line numbers from 0."""
+    numbered = F.transform(lines(text), lambda x, i: F.struct(stripped(x).alias("x"), i.alias("i")))
+    near = (lambda r: F.exists(seams, lambda s: F.abs(r["i"] - s) <= 1) | (F.size(seams) == 0)) if seams is not None else (lambda r: F.lit(True))
+    ends = lambda x: x.endswith("-") | F.element_at(tokens(x), -1).rlike(r"^\p{L}$")
+    checked = F.filter(numbered, lambda r: (r["x"] != "") & near(r))
+    return once(checked, lambda rows: share(F.size(F.filter(rows, lambda r: begins_broken(r["x"]) | ends(r["x"]))), F.size(rows)))
 
 
 def script_family(text: Column) -> Column:
@@ -204,12 +216,14 @@ def script_family(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Orthography folded for search: lower case, no accents, ae and oe as e, j as i, v as u, w as uu; letters and digits
-    stay in tokens, anything else parts them."""
-    out = F.translate(F.lower(text_or_empty(text)), "".join(ACCENTED), "".join(ACCENTED.values()))
-    for old, new in (("æ", "e"), ("œ", "e"), ("ae", "e"), ("oe", "e"), ("j", "i"), ("v", "u"), ("w", "uu")):
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    """Orthography folded for search: lower case, ae and oe as e, no accents, j as i, v as u, w as uu; letters and digits stay
+    in tokens, anything else parts them."""
+    out = F.lower(text_or_empty(text))
+    for old in ("æ", "œ", "ae", "oe"):
+        out = F.replace(out, F.lit(old), F.lit("e"))
+    # marks have no counterpart, so they go
+    out = F.translate(out, "jv" + "".join(ACCENTED) + MARKS, "iu" + "".join(ACCENTED.values()).translate(str.maketrans("jv", "iu")))
+    return F.trim(F.regexp_replace(F.replace(out, F.lit("w"), F.lit("uu")), r"[^\p{L}\p{N}]+", " "))
 
 
 def rejoined(text: Column) -> Column:
@@ -217,13 +231,21 @@ def rejoined(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), "[-‐‑‒–­¬]\\s*\\n\\s*", "")
 
 
-def search_terms(text: Column, n: int = 4) -> Column:
-    """Character n-grams of each folded token with a space on either side; shorter tokens stay whole."""
+def search_terms(text: Column) -> Column:
+    """Character 4-grams of each folded token with a space on either side; shorter tokens stay whole. One scan of the text:
+    tokens stand two spaces apart, so that a gram has none inside."""
+    apart = F.concat(F.lit(" "), F.replace(folded(rejoined(text)), F.lit(" "), F.lit("  ")), F.lit(" "))
+    return F.regexp_extract_all(apart, F.lit("(?=(.[^ ]{2}.| [^ ] ))"), F.lit(1))
+
+
+def search_size(text: Column) -> Column:
+    """How many terms search_terms gives, without making them: a token of n letters has n - 1, one of a letter has 1."""
+    low = folded(rejoined(text))
+    return once(low, lambda t: F.regexp_count(t, F.lit("[^ ]")) - F.regexp_count(t, F.lit("[^ ]+")) + F.regexp_count(t, F.lit("(?<![^ ])[^ ](?![^ ])")))
 
-    def cut(padded: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i: F.substring(padded, i, F.lit(n)))
 
-    return F.flatten(F.transform(F.transform(tokens(folded(rejoined(text))), lambda t: F.concat(F.lit(" "), t, F.lit(" "))), cut))
+def word_size(text: Column) -> Column:
+    return F.regexp_count(folded(rejoined(text)), F.lit("[^ ]+"))
 
 
 def word_terms(text: Column) -> Column:

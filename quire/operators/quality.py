@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import lexicon as X
 from quire.functions import text as T
 
 # Limits and weights.
@@ -42,8 +43,8 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def gibberish() -> Column:
-    """The composite of a row's signals where no language is known."""
+def gibberish(weights: dict[str, float] | None = None, lexical: Column | None = None) -> Column:
+    """The composite of a row's signals; by default the one where no language is known."""
     entropy = F.when(F.col("char_entropy") < ENTROPY_LOW, 0.3).when(F.col("char_entropy") > ENTROPY_HIGH, 0.2).otherwise(0.0)
     parts = {
         "repetition_score": F.col("repetition_score"),
@@ -53,8 +54,8 @@ def gibberish() -> Column:
         "uncertainty": F.least(F.lit(1.0), F.col("uncertainty_density") * 5),
     }
     score = F.lit(0.0)
-    for name, weight in WEIGHTS.items():
-        score = score + parts[name] * weight
+    for name, weight in (weights or WEIGHTS).items():
+        score = score + (lexical if name == "lexical" else parts[name]) * weight
     return F.least(F.lit(1.0), score)
 
 
@@ -98,6 +99,36 @@ def gates(reported: DataFrame) -> DataFrame:
     return out.withColumn("blocked", F.array_sort(F.array_distinct(blocked))).withColumn("downstream_mode", mode)
 
 
+WEIGHTS_WITH_LANGUAGE = {"lexical": 0.45, "repetition_score": 0.20, "non_wordlike_frac": 0.15, "entropy": 0.07, "rare_bigram": 0.07, "uncertainty": 0.06}
+
+
+def full_report(docs: DataFrame, text: str = "text", language: str = "language", tiled: bool = False) -> DataFrame:
+    """docs with the whole report: signals, lexical_contrast (-1: too short to tell), lexical_plausibility (best fit; 0.5 for a
+    language without profile), gibberish_score with its lexical part where the contrast is known, quality_label, blocked and
+    downstream_mode. The contrast's shuffles run in an Arrow function, the rest is one projection."""
+    out = signals(docs, text).withColumn("_c", X.contrasts(F.col(text)))
+    out = out.withColumns({"lexical_contrast": F.coalesce(X.lexical_contrast(F.col("_c")), F.lit(-1.0)), "lexical_plausibility": X.best_fit_plausibility(X.fits(F.col(text)), F.col(language))}).drop("_c")
+    blank, c, p = T.stripped(T.text_or_empty(F.col(text))) == "", F.col("lexical_contrast"), F.col("lexical_plausibility")
+    score = F.when(c < 0, gibberish()).otherwise(gibberish(WEIGHTS_WITH_LANGUAGE, X.implausibility(c)))
+    out = out.withColumn("gibberish_score", F.when(blank, 0.0).otherwise(F.round(score, 4)))
+    plain = label(tiled)
+    told = F.when((plain == "UNRELIABLE") | ((c >= 0) & (c < X.CONTRAST_BAD)), "UNRELIABLE").when((plain == "RISKY") | ((c >= 0) & (c < X.CONTRAST_RISKY)) | (p < X.PLAUSIBILITY_FLOOR), "RISKY")
+    out = out.withColumn("quality_label", told.when((plain == "HIGH") & (c >= 0) & (c < X.CONTRAST_CLEAN), "OK").otherwise(plain))
+    gated = gates(out)
+    weak = (p < X.PLAUSIBILITY_FLOOR) | ((c >= 0) & (c < X.CONTRAST_BAD))
+    words = F.when(weak, F.array(F.lit("token_search"), F.lit("token_ner"))).otherwise(F.array().cast("array<string>"))
+    return gated.withColumn("blocked", F.array_sort(F.array_distinct(F.concat("blocked", words))))
+
+
+def agreement(readings: DataFrame, page: str, reading: str, text: str = "text") -> DataFrame:
+    """page and agreement: the mean Jaccard of the trigram sets of every two readings of a page; 1 for a single one, and for two
+    without trigrams. A page has a handful of readings."""
+    sets = readings.select(page, F.col(reading).alias("_r"), X.trigram_set(F.col(text)).alias("_s"))
+    other = sets.select(F.col(page).alias("_page"), F.col("_r").alias("_q"), F.col("_s").alias("_t"))
+    pairs = sets.join(other, (F.col(page) == F.col("_page")) & (F.col("_r") < F.col("_q"))).groupBy(page).agg(F.avg(T.jaccard(F.col("_s"), F.col("_t"), 1.0)).alias("agreement"))
+    return sets.select(page).distinct().join(pairs, page, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+
+
 def text_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the mean token quality, the share of low tokens and HIGH, MEDIUM or LOW."""
     words = F.filter(F.split(F.regexp_replace(T.text_or_empty(F.col(text)), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: F.length(t) >= 2)

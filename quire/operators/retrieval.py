@@ -16,6 +16,7 @@ RRF_K = 60
 MAX_BROADCAST_TERMS = 200_000  # of queries; more are joined by a shuffle
 BLOCK = 1024  # vectors of a block
 DIGITS = 6  # scores that differ less are ties
+SIZES = {T.search_terms: T.search_size, T.word_terms: T.word_size}
 
 
 def term_counts(texts: DataFrame, terms: Callable[[Column], Column], keys: list[str]) -> DataFrame:
@@ -28,8 +29,9 @@ def bm25(texts: DataFrame, queries: DataFrame, keys: list[str], query_key: str,
     digits) in order of keys.
 
     Only terms of queries are shuffled: a text's postings meet them before they are counted. The length of a text counts
-    all of its terms, and the average is over all texts."""
-    sized = texts.select(*keys, terms(F.col("text")).alias("_terms")).withColumn("_len", F.size("_terms"))
+    all of its terms, and the average is over all texts; terms whose number is known without them aren't made for it."""
+    count = SIZES.get(terms)
+    sized = texts.select(*keys, (count(F.col("text")) if count else F.size(terms(F.col("text")))).alias("_len"), terms(F.col("text")).alias("_terms"))
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()

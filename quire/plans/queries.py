@@ -125,7 +125,7 @@ SPANS = "s AS (SELECT doc_id, span_id, CAST(floor(length(text) * span_id / 7.0)
 ASSIGNED = """, assigned AS (
   SELECT doc_id, span_id, min(idx) FILTER (WHERE a >= start_offset AND b <= end_offset) AS inside, min(idx) FILTER (WHERE a < end_offset AND b > start_offset) AS touching
   FROM s LEFT JOIN chunks USING (doc_id) GROUP BY doc_id, span_id)"""
-FOLD = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(lower({0})), 'æ', 'e'), 'œ', 'e'), 'ae', 'e'), 'oe', 'e'), 'j', 'i'), 'v', 'u'), 'w', 'uu'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+FOLD = "trim(regexp_replace(replace(replace(replace(strip_accents(replace(replace(replace(replace(lower({0}), 'æ', 'e'), 'œ', 'e'), 'ae', 'e'), 'oe', 'e')), 'j', 'i'), 'v', 'u'), 'w', 'uu'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
 REJOIN = "regexp_replace({0}, '[-‐‑‒–­¬]\\s*\\n\\s*', '', 'g')"
 WORDS = "list_filter(string_split(" + FOLD.format(REJOIN) + ", ' '), lambda t: t <> '')"
 GRAMS = "flatten(list_transform(" + WORDS + ", lambda t: CASE WHEN length(t) <= 2 THEN [' ' || t || ' '] ELSE list_transform(range(1, length(t)), lambda i: substring(' ' || t || ' ', i, 4)) END))"
