@@ -43,16 +43,19 @@ def canonical_match(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """mentions (mention_id, surface) with the name nearest to each: equal if under 5 characters, else at a distance of 0.25 or
     less of the longer length and a bigram overlap of 0.40 or more; ties in order of position. names: name, position.
 
-    names is a lexicon of fixed size. Distinct surfaces meet it once, under its size check."""
-    size = names.count()
-    if size > 10_000:
-        raise ValueError(f"a lexicon of {size} names is too large to meet every surface")
+    Distinct surfaces meet the names that share a pair of letters with them, so the lexicon may be of any size."""
     surfaces = mentions.select(F.lower("surface").alias("_surface")).distinct()
-    met = surfaces.crossJoin(F.broadcast(names.select(F.lower("name").alias("_name"), "name", "position")))
+    known = names.select(F.lower("name").alias("_name"), "name", "position")
+    best = lambda nd: F.min(F.struct(nd.alias("nd"), F.col("position"), F.col("name")))
+    equal = surfaces.filter(F.length("_surface") < 5).join(known, F.col("_surface") == F.col("_name")).groupBy("_surface").agg(best(F.lit(0.0)).alias("_best"))
+    pairs = lambda c: F.explode(T.bigram_set(F.col(c))).alias("_pair")
+    x = surfaces.filter(F.length("_surface") >= 5).select("_surface", F.size(T.bigram_set(F.col("_surface"))).alias("_n"), pairs("_surface"))
+    y = known.select("_name", "name", "position", F.size(T.bigram_set(F.col("_name"))).alias("_m"), pairs("_name"))
+    met = x.join(y, "_pair").groupBy("_surface", "_name", "name", "position", "_n", "_m").agg(F.count("*").alias("_both"))
     far = T.edit_distance_ratio(F.col("_surface"), F.col("_name"))
-    close = F.when(F.length("_surface") < 5, F.col("_surface") == F.col("_name")).otherwise((far <= 0.25) & (T.bigram_overlap(F.col("_surface"), F.col("_name")) >= 0.40))
-    best = met.filter(close).groupBy("_surface").agg(F.min(F.struct(far.alias("nd"), F.col("position"), F.col("name"))).alias("_best"))
-    return mentions.join(best, F.lower("surface") == F.col("_surface"), "left").select(*[mentions[c] for c in mentions.columns], F.col("_best.name").alias("canonical"), F.col("_best.nd").alias("distance"))
+    close = met.filter(2 * F.col("_both") / (F.col("_n") + F.col("_m")) >= 0.40).withColumn("_nd", far).filter("_nd <= 0.25")
+    found = equal.unionAll(close.groupBy("_surface").agg(best(F.col("_nd")).alias("_best")))
+    return mentions.join(found, F.lower("surface") == F.col("_surface"), "left").select(*[mentions[c] for c in mentions.columns], F.col("_best.name").alias("canonical"), F.col("_best.nd").alias("distance"))
 
 
 def capitalised_mentions(docs: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
