@@ -96,7 +96,7 @@ def nms(boxes: DataFrame, threshold: float = 0.5, page: str = "page", kind: str
                 kept.append((r, own))
         return [r for r, _ in kept]
 
-    return by_page(boxes, (page,) if kind is None else (page, kind), [F.desc("score"), F.asc("box_id")], keep, boxes.schema)
+    return by_page(boxes, (page,) if kind is None else (page, kind), [F.desc("score"), *map(F.asc, ("box_id", *BOX))], keep, boxes.schema)
 
 
 def reading_order(boxes: DataFrame, overlap: float = 0.5, page: str = "page") -> DataFrame:
@@ -115,11 +115,11 @@ def reading_order(boxes: DataFrame, overlap: float = 0.5, page: str = "page") ->
             else:
                 columns.append([r["x1"], r["x2"], [r]])
         columns.sort(key=lambda c: (c[0], c[1]))
-        read = [r for c in columns for r in sorted(c[2], key=lambda r: (r["y1"], r["x1"], r["box_id"]))]
+        read = [r for c in columns for r in sorted(c[2], key=lambda r: (r["y1"], r["x1"], r["box_id"], r["x2"], r["y2"]))]
         return [r | {"position": n} for n, r in enumerate(read)]
 
     schema = StructType([*boxes.schema.fields, StructField("position", IntegerType())])
-    return by_page(boxes, (page,), ["x1", "y1", "box_id"], order, schema)
+    return by_page(boxes, (page,), ["x1", "y1", "box_id", "x2", "y2"], order, schema)
 
 
 def class_counts(boxes: DataFrame, names: DataFrame, kind: str = "kind") -> DataFrame:

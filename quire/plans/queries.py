@@ -531,12 +531,27 @@ def grid_tiles(spark: SparkSession, d: str) -> DataFrame:
     return G.grid_tiles(pages, 2, 3, 0.15).drop("width", "height")
 
 
-@query()
+# greedy choices, one box after the other: the state is what is kept so far
+NMS = """r AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY score DESC, box_id, x1, y1, x2, y2) AS n FROM boxes),
+s AS (SELECT page, kind, n, true AS kept_now, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM r WHERE n = 1
+  UNION ALL SELECT page, kind, n, free, CASE WHEN free THEN list_append(kept, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE kept END FROM (
+    SELECT r.*, s.kept, len(list_filter(s.kept, lambda k: greatest(least(r.x2, k.x2) - greatest(r.x1, k.x1), 0) * greatest(least(r.y2, k.y2) - greatest(r.y1, k.y1), 0)
+      >= 0.3 * ((r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - greatest(least(r.x2, k.x2) - greatest(r.x1, k.x1), 0) * greatest(least(r.y2, k.y2) - greatest(r.y1, k.y1), 0)))) = 0 AS free
+    FROM s JOIN r ON r.page = s.page AND r.kind = s.kind AND r.n = s.n + 1))"""
+ORDER = """r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x1, y1, box_id, x2, y2) AS n FROM boxes),
+s AS (SELECT page, n, 1 AS col, [{'a': x1, 'b': x2}] AS cols FROM r WHERE n = 1
+  UNION ALL SELECT page, n, CASE WHEN spot > 0 THEN spot ELSE len(cols) + 1 END, CASE WHEN spot > 0 THEN list_transform(cols, lambda c, i: CASE WHEN i = spot THEN {'a': least(c.a, x1), 'b': greatest(c.b, x2)} ELSE c END) ELSE list_append(cols, {'a': x1, 'b': x2}) END FROM (
+    SELECT r.*, s.cols, coalesce(list_position(list_transform(s.cols, lambda c: least(r.x2, c.b) - greatest(r.x1, c.a) > 0 AND least(r.x2 - r.x1, c.b - c.a) > 0 AND least(r.x2, c.b) - greatest(r.x1, c.a) >= 0.5 * least(r.x2 - r.x1, c.b - c.a)), true), 0) AS spot
+    FROM s JOIN r ON r.page = s.page AND r.n = s.n + 1)),
+l AS (SELECT page, arg_max(cols, n) AS cols FROM s GROUP BY page)"""
+
+
+@query(f"WITH RECURSIVE {BOXES}, {NMS} SELECT r.page, box_id, x1, y1, x2, y2, r.kind, score FROM r JOIN s ON r.page = s.page AND r.kind = s.kind AND r.n = s.n WHERE kept_now")
 def nms(spark: SparkSession, d: str) -> DataFrame:
     return G.nms(_boxes(spark, d), 0.3)
 
 
-@query()
+@query(f"WITH RECURSIVE {BOXES}, {ORDER} SELECT r.page, box_id, x1, y1, x2, y2, kind, score, CAST(row_number() OVER (PARTITION BY r.page ORDER BY l.cols[s.col].a, l.cols[s.col].b, s.col, y1, x1, box_id, x2, y2) - 1 AS INTEGER) AS position FROM r JOIN s ON r.page = s.page AND r.n = s.n JOIN l ON l.page = r.page")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return G.reading_order(_boxes(spark, d))
 
