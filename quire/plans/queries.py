@@ -558,22 +558,56 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 # Evaluation
 def _page_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("page_id"), F.col("text").alias("reference"), F.regexp_replace("text", "[aeq]([a-z])", "$1").alias("hypothesis"))
+    # the SQL engine's distance counts bytes
+    plain = table(spark, d, "benchmark").select(F.col("item_id").alias("page_id"), F.regexp_replace("text", r"[^\x00-\x7F]", "e").alias("reference"))
+    return plain.withColumn("hypothesis", F.regexp_replace("reference", "[aeq]([a-z])", "$1"))
 
 
-@query()
+PAIRED = r"""pairs AS (SELECT page_id, trim(regexp_replace(regexp_replace(lower(reference), '\p{P}', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS r, trim(regexp_replace(regexp_replace(lower(regexp_replace(reference, '[aeq]([a-z])', '\1', 'g')), '\p{P}', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS h
+FROM (SELECT item_id AS page_id, regexp_replace(text, '[^\x00-\x7F]', 'e', 'g') AS reference FROM benchmark)), rates AS (SELECT page_id, levenshtein(r, h) AS d, length(r) AS n, CASE WHEN length(r) > 0 THEN levenshtein(r, h) / CAST(length(r) AS DOUBLE) WHEN length(h) > 0 THEN 'inf'::DOUBLE ELSE 0 END AS rate FROM pairs)"""
+
+
+@query(f"WITH {PAIRED} SELECT count(*) AS pages, sum(d) / CAST(sum(n) AS DOUBLE) AS micro_cer, round(avg(rate) FILTER (WHERE rate < 'inf'::DOUBLE), 9) AS macro_cer, max(rate) AS worst_cer FROM rates")
 def cer_corpus(spark: SparkSession, d: str) -> DataFrame:
     return E.corpus_report(_page_pairs(spark, d))
 
 
+@query(f"WITH {PAIRED} SELECT page_id, rate AS cer FROM rates ORDER BY rate DESC, page_id LIMIT 5")
+def worst_pages(spark: SparkSession, d: str) -> DataFrame:
+    return E.worst_pages(_page_pairs(spark, d))
+
+
+@query(f"WITH {PAIRED} SELECT page_id, d AS distance, n, length(r) - length(h) AS deletions_over_insertions FROM rates JOIN pairs USING (page_id)")
+def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    out = E.error_breakdown(_page_pairs(spark, d))
+    return out.select("page_id", "distance", "n", (F.col("deletions") - F.col("insertions")).alias("deletions_over_insertions"))
+
+
+@query()
+def corpus_report_with_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return E.full_corpus_report(_page_pairs(spark, d))
+
+
 @query()
 def wer_pages(spark: SparkSession, d: str) -> DataFrame:
     return E.word_errors(_page_pairs(spark, d)).select("page_id", "word_distance", "reference_words")
 
 
+@query()
+def projected_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = _page_pairs(spark, d).withColumn("start", F.explode(F.array(F.lit(0), F.lit(10), F.lit(40)))).withColumn("end", F.col("start") + 12)
+    return E.projected_spans(spans).select("page_id", "start", "end", "hyp_start", "hyp_end")
+
+
 @query()
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap_interval(table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey", resamples=200)
+    return E.bootstrap_interval(table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey")
+
+
+@query()
+def clustered_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").withColumn("base", F.col("p_retailprice") - F.col("p_size"))
+    return E.clustered_interval(rows, "p_brand", "p_size", "p_retailprice", "p_partkey", "base")
 
 
 @query("""WITH c AS (SELECT l_returnflag AS kind, count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.05) AS tp, count(*) FILTER (WHERE l_quantity > 25 AND l_discount <= 0.05) AS fp, count(*) FILTER (WHERE l_quantity <= 25 AND l_discount > 0.05) AS fn FROM lineitem GROUP BY 1)
