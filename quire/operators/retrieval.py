@@ -118,3 +118,51 @@ def retrieval_scores(ranked: DataFrame, relevant: DataFrame, query_key: str, key
         F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"),
         F.round(F.when(best > 0, dcg / best).otherwise(0.0), 6).alias("ndcg"),
     )
+
+
+POOL = 50
+MAX_LEXICAL = 5_000  # chunks of a scope that words are ranked in
+
+
+def fused_hits(lexical: DataFrame | None, dense: DataFrame | None, chunks: DataFrame, query_key: str, key: str, limit: int = 5, k: int = RRF_K, lexical_weight: float = 1.0) -> DataFrame:
+    """query_key, key, mode, rank, dense_rank, lexical_rank, lexical_score, similarity, fusion_score: the `limit` best of a lexical
+    ranking (score, rank) and a dense one (similarity, rank), each a pool deeper than that.
+
+    Vectors whose chunk is gone from `chunks` are orphans: they go, and the ranks close up. Both rankings: hybrid, by reciprocal
+    rank; one alone: dense or lexical, in its own order, without a fusion score. Neither is an error."""
+    if lexical is None and dense is None:
+        raise ValueError("neither a lexical nor a dense ranking")
+    place = lambda *order: Window.partitionBy(query_key).orderBy(*order)
+    if dense is not None and lexical is not None:
+        known = dense.join(chunks.select(key), key, "left_semi").withColumn("rank", F.row_number().over(place("rank")))
+        fused = reciprocal_rank_fusion([known.select(query_key, key, "rank"), lexical.select(query_key, key, "rank")], query_key, [key], k, [1.0, lexical_weight])
+        top = fused.filter(F.col("rank") <= limit).withColumnRenamed("score", "fusion_score")
+        with_dense = top.join(known.select(query_key, key, F.col("rank").alias("dense_rank"), "similarity"), [query_key, key], "left")
+        out = with_dense.join(lexical.select(query_key, key, F.col("rank").alias("lexical_rank"), F.round("score", 4).alias("lexical_score")), [query_key, key], "left")
+        return out.select(query_key, key, F.lit("hybrid").alias("mode"), "rank", "dense_rank", "lexical_rank", "lexical_score", "similarity", F.round("fusion_score", 6).alias("fusion_score"))
+    none = lambda t: F.lit(None).cast(t)
+    if dense is not None:
+        return dense.filter(F.col("rank") <= limit).select(query_key, key, F.lit("dense").alias("mode"), "rank", F.col("rank").alias("dense_rank"), none("int").alias("lexical_rank"), none("double").alias("lexical_score"), "similarity", none("double").alias("fusion_score"))
+    return lexical.filter(F.col("rank") <= limit).select(query_key, key, F.lit("lexical").alias("mode"), "rank", none("int").alias("dense_rank"), F.col("rank").alias("lexical_rank"), F.round("score", 4).alias("lexical_score"), none("double").alias("similarity"), none("double").alias("fusion_score"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, vectors: DataFrame | None, query_key: str, key: str, limit: int = 5, fusion: bool = True, pool: int = POOL, max_lexical: int = MAX_LEXICAL, **how: object) -> tuple[DataFrame | None, list[str]]:
+    """The fused hits of queries (query_key, text) among chunks (key, text), and notes on what was left out. Vectors: key, vector;
+    None where no embedder answers. Without fusion dense alone ranks, and a scope of more than max_lexical chunks isn't ranked
+    by words. Nothing to rank by: None."""
+    notes: list[str] = []
+    depth = max(limit, pool) if fusion else limit
+    dense = lexical = None
+    if vectors is None or query_vectors is None:
+        notes.append("dense ranking unavailable")
+    else:
+        found = dense_topk(query_vectors.select(F.col(query_key).alias(key), "vector"), vectors, key, "vector", limit=depth, itself=True)
+        dense = found.withColumnRenamed("query_id", query_key)
+    if fusion:
+        if chunks.limit(max_lexical + 1).count() > max_lexical:
+            notes.append(f"lexical ranking skipped: more than {max_lexical} chunks in scope")
+        else:
+            lexical = bm25(chunks, queries, [key], query_key, limit=depth)
+    if dense is None and lexical is None:
+        return None, notes
+    return fused_hits(lexical, dense, chunks, query_key, key, limit, **how), notes
