@@ -16,7 +16,7 @@ DEFAULT_BATCH, SMALL_BATCH = "67108864b", str(8 << 20)
 def reachable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (on a cluster: ship it with --py-files), and keep
     Arrow batches of long texts small: each is held several times over, by the executor and by its worker."""
-    if spark.conf.get(BATCH, None) == DEFAULT_BATCH:
+    if spark.conf.get(BATCH) == DEFAULT_BATCH:
         spark.conf.set(BATCH, SMALL_BATCH)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
