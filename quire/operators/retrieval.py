@@ -13,7 +13,7 @@ from quire.functions import text as T
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-MAX_BROADCAST_TERMS = 200_000  # of queries; more are joined by a shuffle
+MAX_BROADCAST_TERMS = 200_000  # of queries; more are joined by a shuffle, and so are their pairs with queries
 BLOCK = 1024  # vectors of a block
 DIGITS = 6  # scores that differ less are ties
 SIZES = {T.search_terms: T.search_size, T.word_terms: T.word_size}
@@ -28,22 +28,27 @@ def bm25(texts: DataFrame, queries: DataFrame, keys: list[str], query_key: str,
     """query_key, keys, score, rank: for each query the `limit` texts that share a term with it, best first; ties (to six
     digits) in order of keys.
 
-    Only terms of queries are shuffled: a text's postings meet them before they are counted. The length of a text counts
-    all of its terms, and the average is over all texts; terms whose number is known without them aren't made for it."""
+    Texts are dealt by their keys once; a text's terms meet those of the queries, are counted and summed where it lies, and
+    only each task's best of a query are shuffled again. The length of a text counts all of its terms, and the average is over
+    all texts; terms whose number is known without them aren't made for it."""
     count = SIZES.get(terms)
-    sized = texts.select(*keys, (count(F.col("text")) if count else F.size(terms(F.col("text")))).alias("_len"), terms(F.col("text")).alias("_terms"))
-    stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
+    size = count(F.col("text")) if count else F.size(terms(F.col("text")))
+    n, mean = texts.agg(F.count("*"), F.avg(size)).first()
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()
     small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    postings = sized.select(*keys, "_len", F.explode("_terms").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    # a stated number of parts, as texts are small beside their terms; sizes before explode, which would compute them for every term
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
+    dealt = texts.select(*keys, "text").repartition(parts, *[F.col(k) for k in keys]).select(*keys, size.alias("_len"), terms(F.col("text")).alias("_terms"))
+    postings = dealt.select(*keys, "_len", F.explode("_terms").alias("term")).join(held(wanted), "term", "left_semi")
     postings = postings.groupBy(*keys, "_len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
-    norm = F.when(F.col("_avg") > 0, K1 * (1 - B + B * F.col("_len") / F.col("_avg"))).otherwise(K1)
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = scored.select(*keys, "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("_w"))
-    found = asked.join(scored, "term").groupBy(query_key, *keys).agg(F.round(F.sum("_w"), DIGITS).alias("score"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").select(query_key, "term", idf.alias("_idf"))
+    norm = K1 * (1 - B + B * F.col("_len") / mean) if mean else F.lit(K1)
+    score = F.round(F.sum(F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), DIGITS).alias("score")
+    found = postings.join(held(weighted), "term").groupBy(query_key, *keys).agg(score)
     place = Window.partitionBy(query_key).orderBy(F.desc("score"), *keys)
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
 
