@@ -5,6 +5,8 @@ Documents stand for transcribed pages (runs), events for visits and log entries,
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -245,10 +247,12 @@ def optional_predicates(spark: SparkSession, d: str) -> DataFrame:
     return U.optional_filter(table(spark, d, "events"), user_id=7, event_type="click", value=None).select("event_id", "user_id")
 
 
-@query("SELECT source, count(doc_id) AS chunks, count(*) FILTER (WHERE i IS NULL) AS missing, count(*) FILTER (WHERE doc_id IS NULL) AS orphaned FROM (SELECT coalesce(d.source, x.source) AS source, d.doc_id, x.doc_id AS i FROM (SELECT source, doc_id FROM documents WHERE doc_id % 4 < 3) d FULL JOIN (SELECT source, doc_id FROM documents WHERE doc_id % 5 < 4) x ON d.doc_id = x.doc_id AND d.source = x.source) GROUP BY source")
+@query("SELECT source, count(doc_id) AS chunks, count(*) FILTER (WHERE i IS NULL) AS missing, count(*) FILTER (WHERE doc_id IS NULL) AS orphaned FROM (SELECT coalesce(d.source, x.source) AS source, d.doc_id, x.doc_id AS i FROM (SELECT source, doc_id FROM documents WHERE n_chars > 300 OR lang = 'en') d FULL JOIN (SELECT source, doc_id FROM documents WHERE n_chars <= 5000 OR lang <> 'en') x ON d.doc_id = x.doc_id AND d.source = x.source) GROUP BY source")
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "doc_id")
-    return U.index_freshness(docs.filter("doc_id % 4 < 3"), docs.filter("doc_id % 5 < 4"), "source", "doc_id")
+    # short texts of other languages are indexed but have no chunks any more, long English ones are still to be indexed
+    docs = table(spark, d, "documents")
+    of = lambda rows: docs.filter(rows).select("source", "doc_id")
+    return U.index_freshness(of("n_chars > 300 or lang = 'en'"), of("n_chars <= 5000 or lang <> 'en'"), "source", "doc_id")
 
 
 @query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 72 HOUR")
@@ -267,9 +271,9 @@ def char_entropy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(T.char_entropy(F.col("text")), 6).alias("char_entropy"))
 
 
-@query(f"SELECT doc_id, round(avg(length(t)), 6) AS mean_len, round(stddev_pop(length(t)), 6) AS std_len, round(avg(CASE WHEN length(t) < 3 THEN 1.0 ELSE 0.0 END), 6) AS short_frac, round(avg(CASE WHEN length(t) > 15 THEN 1.0 ELSE 0.0 END), 6) AS long_frac FROM ({TOKENS}) GROUP BY doc_id")
+@query(f"SELECT doc_id, round(coalesce(avg(length(t)), 0), 6) AS mean_len, round(coalesce(stddev_pop(length(t)), 0), 6) AS std_len, round(coalesce(avg(CASE WHEN length(t) < 3 THEN 1.0 WHEN t IS NOT NULL THEN 0.0 END), 1), 6) AS short_frac, round(coalesce(avg(CASE WHEN length(t) > 15 THEN 1.0 WHEN t IS NOT NULL THEN 0.0 END), 0), 6) AS long_frac FROM documents LEFT JOIN ({TOKENS}) USING (doc_id) GROUP BY doc_id")
 def token_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = Q.token_lengths(table(spark, d, "documents").filter(F.size(T.tokens(F.col("text"))) > 0))
+    out = Q.token_lengths(table(spark, d, "documents"))
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("mean_len", "std_len", "short_frac", "long_frac")])
 
 
@@ -332,11 +336,11 @@ def text_quality_label(spark: SparkSession, d: str) -> DataFrame:
     return Q.text_quality(table(spark, d, "documents")).select("doc_id", F.round("low_frac", 6).alias("low_frac"), "text_quality")
 
 
-@query(f"""SELECT doc_id, round(single_char_ratio, 6) AS single_char_ratio, round(digit_ratio, 6) AS digit_ratio, round(uncertain_ratio, 6) AS uncertain_ratio, round(single_start_ratio, 6) AS single_start_ratio FROM
-(SELECT doc_id, avg(CASE WHEN length(t) = 1 THEN 1.0 ELSE 0.0 END) AS single_char_ratio, avg(CASE WHEN regexp_matches(t, '[0-9]') THEN 1.0 ELSE 0.0 END) AS digit_ratio, avg(CASE WHEN t LIKE '%?%' OR t = '[…]' THEN 1.0 ELSE 0.0 END) AS uncertain_ratio FROM ({TOKENS}) GROUP BY doc_id)
-JOIN (SELECT doc_id, avg(CASE WHEN length(first) = 1 THEN 1.0 ELSE 0.0 END) AS single_start_ratio FROM ({FIRST_WORD}) GROUP BY doc_id) USING (doc_id)""")
+@query(f"""SELECT doc_id, round(coalesce(single_char_ratio, 0), 6) AS single_char_ratio, round(coalesce(digit_ratio, 0), 6) AS digit_ratio, round(coalesce(uncertain_ratio, 0), 6) AS uncertain_ratio, round(coalesce(single_start_ratio, 0), 6) AS single_start_ratio FROM documents LEFT JOIN
+(SELECT doc_id, avg(CASE WHEN length(t) = 1 THEN 1.0 ELSE 0.0 END) AS single_char_ratio, avg(CASE WHEN regexp_matches(t, '[0-9]') THEN 1.0 ELSE 0.0 END) AS digit_ratio, avg(CASE WHEN t LIKE '%?%' OR t = '[…]' THEN 1.0 ELSE 0.0 END) AS uncertain_ratio FROM ({TOKENS}) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, avg(CASE WHEN length(first) = 1 THEN 1.0 ELSE 0.0 END) AS single_start_ratio FROM ({FIRST_WORD}) GROUP BY doc_id) USING (doc_id)""")
 def sanity_metrics(spark: SparkSession, d: str) -> DataFrame:
-    out = Q.sanity(table(spark, d, "documents").filter(F.size(T.tokens(F.col("text"))) > 0))
+    out = Q.sanity(table(spark, d, "documents"))
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("single_char_ratio", "digit_ratio", "uncertain_ratio", "single_start_ratio")])
 
 
@@ -620,13 +624,17 @@ def precision_recall(spark: SparkSession, d: str) -> DataFrame:
 
 # Streaming, driven to the end over what there is
 def _drained(spark: SparkSession, stream: DataFrame, mode: str, timed: bool = False) -> DataFrame:
-    """timed: a stream with processing-time timeouts never runs out of batches, so it takes all in a single one."""
-    import uuid
+    """What a stream gives over the rows there are, written batch by batch as Parquet (in complete mode each batch stands for all)
+    beside its checkpoint. timed: a stream with processing-time timeouts never runs out of batches, so it takes all in one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-streams-")
+    at = f"{root.rstrip('/')}/quire-streams/{uuid.uuid4().hex}"
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows/" + ("all" if mode == "complete" else f"batch={batch}"))
 
-    name = f"drained_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**({"once": True} if timed else {"availableNow": True})).start()
+    running = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(**({"once": True} if timed else {"availableNow": True})).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows")
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -678,10 +686,11 @@ def repeat_counts(spark: SparkSession, d: str) -> DataFrame:
     return U.repeats(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("event_id", "seen_before")
 
 
-@query("SELECT doc_id AS run_id, CASE WHEN doc_id % 2 = 0 AND doc_id < 500 THEN 'searchable' WHEN doc_id % 3 = 0 THEN 'superseded' WHEN doc_id % 5 > 0 THEN 'refused' ELSE 'orphaned' END AS state FROM documents")
+@query("SELECT doc_id AS run_id, CASE WHEN lang = 'en' AND n_chars > 500 THEN 'searchable' WHEN quality = 1 THEN 'superseded' WHEN lang <> 'es' THEN 'refused' ELSE 'orphaned' END AS state FROM documents LEFT JOIN labels USING (doc_id)")
 def vector_audit(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"))
-    return U.classify_vectors(ids, ids.filter("run_id % 5 > 0"), ids.filter("run_id % 2 = 0 and run_id < 500"), ids.filter("run_id % 3 = 0"))
+    docs = table(spark, d, "documents")
+    of = lambda rows: rows.select(F.col("doc_id").alias("run_id"))
+    return U.classify_vectors(of(docs), of(docs.filter("lang <> 'es'")), of(docs.filter("lang = 'en' and n_chars > 500")), of(table(spark, d, "labels").filter("quality = 1")))
 
 
 @query("""SELECT doc_id, field, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') ORDER BY doc_id, i) AS n FROM (
