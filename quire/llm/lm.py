@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import shuffle_partitions, written
 
-CHUNK_BYTES = 14 << 20  # of text; a longer document is a chunk of its own
+CHUNK_BYTES = 9 << 20  # of text; a longer document is a chunk of its own
 RANGE_BYTES = 24 << 20  # of text for each range of keys
 LANE = 1024  # tokens that a lane of the traversal takes
 START, END = 0, 1  # local numbers of the start and of the end of a text
