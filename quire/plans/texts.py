@@ -50,12 +50,13 @@ def dense_only_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, fusion=False).select("item_id", "doc_id", "mode", "rank", "similarity")
 
 
-@query(f"WITH {DENSE_POOL} SELECT item_id, label, round(max(similarity), 4) AS similarity FROM dense JOIN embeddings ON vec_id = doc_id WHERE rank <= 20 GROUP BY item_id, label")
+@query(f"WITH {DENSE_POOL} SELECT item_id, label, round(max(similarity) + 1e-9, 4) AS similarity FROM dense JOIN embeddings ON vec_id = doc_id WHERE rank <= 20 GROUP BY item_id, label")
 def best_entity_similarity(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     asked = vectors.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    # six digits that end in 50 would be rounded either way
     hits = R.dense_topk(asked, vectors, "vec_id", "embedding", limit=20, itself=True).join(vectors.select("vec_id", "label"), "vec_id")
-    return N.best_hits(hits.select(F.col("query_id").alias("item_id"), "label", (1 - F.col("similarity")).alias("distance")), "item_id", "label")
+    return N.best_hits(hits.select(F.col("query_id").alias("item_id"), "label", (1 - F.col("similarity") - 1e-9).alias("distance")), "item_id", "label")
 
 
 # Replies
