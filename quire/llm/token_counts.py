@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 512  # bytes of a chunk
 SLICE = 8 << 20  # bytes that run together
-MAX_STATES = 320_000  # rows of the compiled table at most; a row takes 5 bytes for each byte value seen
+MAX_STATES = 180_000  # rows of the compiled table at most; a row takes 5 bytes for each byte value seen
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 _WHITE = (9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
