@@ -1,36 +1,48 @@
-"""Near copies by the Jaccard of their sets of word shingles.
-
-Balls of fingerprints don't reach a Jaccard of 0.8: there SimHashes differ in about 10 of 64 bits. Candidates come from
-min-wise hashes in bands instead: two sets of Jaccard s share a band with probability 1 - (1 - s^ROWS)^BANDS, which is
-0.99999 at 0.8. Every link is verified on the whole shingle sets. Sets that share a band first meet its smallest one;
-what that leaves in different components then meets inside its band, where no pair of components goes uncompared but
-those that the min-wise hashes rule out, and only links are written.
+"""Near copies by the Jaccard of their sets of word shingles, found by SimHash with ball hashing.
+
+At a Jaccard of 0.8 SimHashes differ in about 0.15 of their bits, some 10 of 64, which op2's balls don't reach. So a set
+gets a longer SimHash, of BLOCKS blocks of 24 bits, and a ball in each: as in op2 balls meet in the middle, every
+fingerprint emits the 25 variants of a block within one bit, and two that differ in at most two bits of a block share a
+variant. Of what shares a variant 96 further bits of the SimHash are compared. A pair at 0.8 is found with a computed
+probability of 0.99998 or more (0.15 of differing bits: 0.999997; 0.161, the most of sets of 6 shingles or more:
+0.99998; sets of 4 and 5 shingles, which differ in 0.1875, have twice the blocks: 0.99999).
+
+Every link is verified on the whole shingle sets. Sets that meet are first compared with the smallest ones they meet;
+what that leaves in different components is then compared inside its group, where no pair of components goes uncompared
+but those that the SimHashes rule out, and only links are written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.components import connected
-from quire.llm.shared import written
+from quire.llm.components import connected, local_roots
+from quire.llm.shared import shuffle_partitions, written
 from quire.llm.simhash import first_rows, shingles
 from quire.llm.spotsigs import likeness
 
 THRESHOLD = 0.8
 SHINGLE = 5
-BANDS = 28
-ROWS = 5
-#: Equal bytes of BANDS * ROWS from which a pair is compared: 0.8 of them are expected at the threshold, 5 deviations fewer are asked for.
-PLAUSIBLE = int(BANDS * ROWS * THRESHOLD - 5 * (BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
-STEP = 256  # shingles hashed at once
+BLOCKS = 44  # of 3 bytes
+CHECK = 12  # bytes that travel with a variant
+PRINT = 3 * BLOCKS + CHECK  # bytes of a SimHash
+TINY = 5  # sets of so many shingles or fewer have BLOCKS more blocks, after PRINT
+ROUND = 11  # blocks whose variants are shuffled at once
+#: Differing bits of CHECK up to which two sets that share a variant meet: in the blocks of all sets, and in those of tiny ones.
+NEAR, NEAR_TINY = 32, 36
+#: Differing bits of PRINT up to which a pair is compared: 0.1875 of them are expected at most at the threshold, 5 deviations more are allowed.
+FAR = int(8 * PRINT * 0.1875 + 5 * (8 * PRINT * 0.1875 * 0.8125) ** 0.5)
+STEP = 255  # shingles hashed at once; their votes fit a byte
+FEW = 64  # rows of a variant that are compared by pairs; more are compared by a spanning forest
+LEADERS = 8  # smallest sets met that a set is verified with before groups are
 FAN = 64  # pairs of one set that a task verifies
-_SEEDS = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * ROWS), np.uint64)
-_XOR, _TIMES = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
+_FLIPS = np.array([0, *(1 << i for i in range(24))], np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -44,31 +56,64 @@ def node_of(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.tobytes(), 42)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS min-wise hashes of a set."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's output function."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half of what the shingles' hashes expand to. PRINT bytes,
+    3 * BLOCKS more of tiny sets, none of the empty set."""
+    if not len(hashes):
+        return b""
+    size = PRINT + 3 * BLOCKS * (len(hashes) <= TINY)
+    add = np.arange(1, -(-size // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * len(add), np.int64)
     for at in range(0, len(hashes), STEP):
-        mixed = hashes[at : at + STEP] ^ _XOR[:, None]
-        mixed *= _TIMES[:, None]
-        np.minimum(least, mixed.min(1), out=least)
-    return least
+        bits = np.unpackbits(_mixed(hashes[at : at + STEP, None] + add).view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()[:size]
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, bands, bytes_ = [], [], []
+        nodes, prints = [], []
         for text in batch["text"]:
             hashes = shingle_set(text.as_py())
             nodes.append(node_of(hashes))
-            least = minima(hashes)
-            key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            for row in least.reshape(BANDS, ROWS).T:
-                key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            bands.append(key.view(np.int64) if len(hashes) else key[:0].view(np.int64))
-            bytes_.append((least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes())
-        columns = [batch["doc_id"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bands", "bytes"])
+            prints.append(fingerprint(hashes))
+        columns = [batch["doc_id"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "print"])
+
+
+def _balls(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Variants of the blocks from `first` on, ROUND of them: key has the block and the variant in its upper half and 32 bits
+    to check in its lower, check has 64 more."""
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = range(first, min(first + ROUND, BLOCKS))
+        for batch in batches:
+            node, every = batch["node"].to_numpy(), batch["print"].to_pylist()
+            sizes = np.array([len(p) for p in every])
+            for size, of in ((PRINT, blocks), (PRINT + 3 * BLOCKS, [*blocks, *(b + BLOCKS for b in blocks)])):
+                rows = np.flatnonzero(sizes == size)
+                for at in range(0, len(rows), 200):
+                    own = rows[at : at + 200]
+                    prints = np.frombuffer(b"".join(every[i] for i in own), np.uint8).reshape(-1, size)
+                    check = prints[:, PRINT - CHECK : PRINT]
+                    low, high = check[:, :4].copy().view("<u4").astype(np.uint64), check[:, 4:].copy().view("<i8")
+                    keys = []
+                    for b in of:
+                        x = prints[:, 3 * b + CHECK * (b >= BLOCKS) :][:, :3].astype(np.uint64)
+                        block = x[:, 0] | x[:, 1] << np.uint64(8) | x[:, 2] << np.uint64(16) | np.uint64(b << 24)
+                        keys.append((block[:, None] ^ _FLIPS) << np.uint64(32) | low)
+                    keys = np.concatenate(keys, axis=1)
+                    columns = [keys.reshape(-1).view(np.int64), np.repeat(node[own], keys.shape[1]), np.repeat(high, keys.shape[1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "check"])
+
+    return balls
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,15 +124,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole runs of equal keys; the rows of a task are sorted by key."""
+def _runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of whole runs of equal keys, without their lowest `shift` bits; the rows of a task are sorted by key."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        key = batch["key"].to_numpy()
+        key = batch["key"].to_numpy() >> shift
         cut = int(np.searchsorted(key, key[-1], "left"))
-        if cut or (held and held[-1]["key"][0].as_py() != key[0]):
+        if cut or (held and held[-1]["key"][0].as_py() >> shift != key[0]):
             yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
             held = []
         held.append(batch.slice(cut))
@@ -95,46 +140,87 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another row has."""
-    for batch in _runs(batches):
-        key = batch["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        yield batch.filter(pa.array(np.append(same, False) | np.insert(same, 0, False)))
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets that meet: of the rows of a variant those that its checks connect are a group, and key is named by the
+    group's sets, so that a group that meets again is the same one."""
+    for batch in _runs(batches, 32):
+        key, node, high = (batch[c].to_numpy().view(np.uint64) for c in ("key", "node", "check"))
+        run, low = key >> np.uint64(32), key & np.uint64(2**32 - 1)
+        bound = np.where(run >> np.uint64(24) < BLOCKS, NEAR, NEAR_TINY)
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        sizes = np.diff(np.append(starts, len(run)))
+        few, a, b = np.repeat(sizes <= FEW, sizes), [], []
+        for s in range(1, min(FEW, int(sizes.max()))):
+            i = np.flatnonzero((run[s:] == run[:-s]) & few[s:])
+            i = i[np.bitwise_count(high[i] ^ high[i + s]) + np.bitwise_count(low[i] ^ low[i + s]) <= bound[i]]
+            a.append(i)
+            b.append(i + s)
+        for begin, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            rest = np.arange(begin, begin + n)
+            while len(rest) > 1:
+                front, rest = [rest[0]], rest[1:]
+                while front and len(rest):
+                    at = front.pop()
+                    near = np.bitwise_count(high[rest] ^ high[at]) + np.bitwise_count(low[rest] ^ low[at]) <= bound[at]
+                    a.append(np.full(near.sum(), at))
+                    b.append(rest[near])
+                    front += rest[near].tolist()
+                    rest = rest[~near]
+        if not sum(map(len, a)):
+            continue
+        rows, root = local_roots(np.concatenate(a), np.concatenate(b))
+        _, of = np.unique(root, return_inverse=True)
+        named = np.zeros(int(of.max()) + 1, np.uint64)
+        np.add.at(named, of, _mixed(node[rows]))
+        once = np.zeros(len(named), bool)
+        once[np.unique(named, return_index=True)[1]] = True
+        rows, of = rows[once[of]], of[once[of]]
+        yield pa.RecordBatch.from_arrays([pa.array(named[of].view(np.int64)), pa.array(node[rows].view(np.int64))], names=["key", "node"])
+
+
+def _bits(prints: pa.Array) -> np.ndarray:
+    """The first PRINT bytes of SimHashes, as rows of words."""
+    return np.frombuffer(b"".join(p[:PRINT] for p in prints.to_pylist()), np.uint64).reshape(-1, PRINT // 8)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        far = np.bitwise_count(_bits(batch["print_a"]) ^ _bits(batch["print_b"])).sum(1)
+        yield batch.select(["a", "b"]).filter(pa.array(far <= FAR))
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that look alike by their min-wise hashes to a row of another component that shares their band."""
+    """The rows that look alike by their SimHashes to a row of another component in their group."""
     for batch in _runs(batches):
         key, root = batch["key"].to_numpy(), batch["root"].to_numpy()
-        prints = np.frombuffer(b"".join(batch["bytes"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        prints = _bits(batch["print"])
         found = np.zeros(len(key), bool)
-        for _, order, rest in _bands(key, root):
+        for order, rest in _groups(key, root):
             p, r = prints[order], root[order]
             for i in range(rest):
-                alike = i + 1 + np.flatnonzero((r[i + 1 :] != r[i]) & ((p[i + 1 :] == p[i]).sum(1) >= PLAUSIBLE))
+                alike = i + 1 + np.flatnonzero((r[i + 1 :] != r[i]) & (np.bitwise_count(p[i + 1 :] ^ p[i]).sum(1) <= FAR))
                 found[order[alike]] = True
                 found[order[i]] |= len(alike) > 0
         yield batch.select(["key", "node", "root"]).filter(pa.array(found))
 
 
-def _bands(key: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """Of each band with several components its start, its rows with the largest component last, and how many come before:
-    only those need to be met with what follows."""
+def _groups(key: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Of each group with several components its rows with the largest component last, and how many come before: only those
+    need to be met with what follows."""
     begin = 0
     for end in np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)).tolist():
         _, of, sizes = np.unique(root[begin:end], return_inverse=True, return_counts=True)
         if len(sizes) > 1:
-            yield begin, begin + np.argsort(of == sizes.argmax(), kind="stable"), end - begin - int(sizes.max())
+            yield begin + np.argsort(of == sizes.argmax(), kind="stable"), end - begin - int(sizes.max())
         begin = end
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of THRESHOLD or more that connect what such links connect between the components of a band: every pair of
+    """Links of THRESHOLD or more that connect what such links connect between the components of a group: every pair of
     sets of components that aren't connected yet is compared in whole."""
     for batch in _runs(batches):
         key, node, root = (batch[c].to_numpy() for c in ("key", "node", "root"))
-        for _, order, rest in _bands(key, root):
+        for order, rest in _groups(key, root):
             n, r = node[order], root[order].copy()
             sets = batch["s"].take(pa.array(order))
             sizes, of = np.diff(sets.offsets.to_numpy()), np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
@@ -178,6 +264,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(met.filter(likeness(F.col("s_a"), F.col("s_b")) >= THRESHOLD).select("a", "b"), "near-links")
 
 
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key and node: the groups (key) of sets whose SimHashes meet, of two nodes or more each.
+
+    nodes has node and print (as of fingerprint); a node occurs once. Variants are shuffled ROUND blocks at a time, so that
+    their files never are more than that. Empty table: no rows."""
+    met = []
+    for first in range(0, BLOCKS, ROUND):
+        variants = nodes.select("node", "print").mapInArrow(_balls(first), "key long, node long, check long")
+        runs = variants.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+        met.append(written(runs.mapInArrow(_met, "key long, node long").distinct(), "near-met"))
+    return written(reduce(DataFrame.unionAll, met).distinct(), "near-groups")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach) of every row of docs; texts link whose sets of
     SHINGLE-word shingles have a Jaccard of THRESHOLD or more.
@@ -186,17 +285,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     words (null included) have equal sets. Rows without doc_id link like any other, but name no component. Empty table:
     no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = written(rows.mapInArrow(_prints, "doc_id long, node long, bands array<long>, bytes binary"), "near-prints")
-    nodes = written(held.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "near-nodes")
-    banded = nodes.select(F.explode("bands").alias("key"), "node").repartition(F.col("key")).sortWithinPartitions("key")
-    shared = written(banded.mapInArrow(_shared, "key long, node long"), "near-bands")
+    held = written(rows.mapInArrow(_prints, "doc_id long, node long, print binary"), "near-prints")
+    nodes = held.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("print").alias("print"))
+    nodes = written(nodes.repartition(shuffle_partitions(docs.sparkSession), F.col("node")), "near-nodes")
+    shared = meetings(nodes)
     least = shared.groupBy("key").agg(F.min("node").alias("a"))
-    stars = shared.join(least, "key").filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    stars = shared.join(least, "key").filter("a != node").groupBy(F.col("node").alias("b")).agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a"))
+    stars = stars.select(F.explode("a").alias("a"), "b")
+    for end in ("a", "b"):
+        stars = stars.join(nodes.select(F.col("node").alias(end), F.col("print").alias("print_" + end)), end)
+    stars = stars.select("a", "b", "print_a", "print_b").mapInArrow(_close, "a long, b long")
     links = _verified(written(stars, "near-pairs"), nodes, docs)
     roots = connected(links)
     rooted = shared.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    rest = rooted.join(split, "key", "left_semi").join(nodes.select("node", "bytes"), "node").select("key", "node", "root", "bytes")
+    rest = rooted.join(split, "key", "left_semi").join(nodes.select("node", "print"), "node").select("key", "node", "root", "print")
     alike = written(rest.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_plausible, "key long, node long, root long"), "near-alike")
     sets = _sets_of(alike.select("node"), nodes, docs).select("node", "s")
     whole = alike.join(sets, "node").select("key", "node", "root", "s").repartition(F.col("key")).sortWithinPartitions("key")

@@ -98,3 +98,34 @@ def test_near_duplicates_reach_a_jaccard_of_0_8(spark):
     assert sorted(map(tuple, near_copies.near_copies(docs).collect()), key=repr) == sorted(((i, first[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept, key=repr) == sorted([*first.values(), None], key=repr)
+
+
+def test_near_duplicates_meet_by_their_simhashes(spark):
+    """The stage's candidates: SimHashes as by plain Python, whose balls find every pair made at a Jaccard of 0.8."""
+    import numpy as np
+
+    from quire.llm import near_copies
+
+    def bit(h, k):
+        x, top = (h + (k // 64 + 1) * 0x9E3779B97F4A7C15) % 2**64, 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % top
+        return (x ^ x >> 31) >> k % 64 & 1
+
+    rng = np.random.default_rng(7)
+    sets, pairs = [], []
+    for size in (5, 10, 15, 30, 300):
+        for _ in range(60):
+            x = rng.integers(0, 2**63, size, np.uint64)
+            split = int(rng.integers(0, size // 5 + 1))
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [np.sort(x[split:]), np.sort(np.append(x[:split], x[size // 5 :]))]
+    prints = [near_copies.fingerprint(s) for s in sets]
+    for s, p in list(zip(sets, prints, strict=True))[:2] + list(zip(sets, prints, strict=True))[-2:]:
+        votes = [2 * sum(bit(int(h), k) for h in s) > len(s) for k in range(8 * len(p))]
+        assert votes == np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little").astype(bool).tolist()
+    nodes = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(prints)], "node long, print binary")
+    groups = collections.defaultdict(set)
+    for r in near_copies.meetings(nodes).collect():
+        groups[r["node"]].add(r["key"])
+    assert all(groups[a] & groups[b] for a, b in pairs)
