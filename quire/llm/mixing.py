@@ -113,14 +113,17 @@ def mixed(docs: DataFrame, **how: object) -> DataFrame:
 
     Rows that share doc_id (or have none), source and size are alike to the mix, and what it takes of them is dealt out
     evenly, in the order of a hash of their texts. Rows without words aren't taken. Empty table: no rows."""
-    nth, many, times, size = (fresh(docs, c) for c in ("_nth", "_many", "_times", "_size"))
+    nth, many, times, size, alike = (fresh(docs, c) for c in ("_nth", "_many", "_times", "_size", "_alike"))
     # what is taken of each class of rows that are alike
-    plan = fair_mix(docs, **how).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(times))
-    plan = plan.select(F.col("doc_id").alias("_of"), F.col("source").alias("_from"), F.col("size").alias("_words"), times)
+    plan = fair_mix(docs, **how).filter("taken > 0")
+    plan = plan.select(F.struct("doc_id", "source", F.coalesce("size", F.lit(0).cast("long")).alias("size")).alias("_of"), (F.col("taken") / F.col("size")).alias(times))
+    plan = plan.groupBy("_of").agg(F.sum(times).cast("long").alias(times))
     own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    alike = Window.partitionBy("doc_id", "source", size)
-    own = own.withColumn(nth, F.row_number().over(alike.orderBy(F.xxhash64("text")))).withColumn(many, F.count("*").over(alike))
-    both = own.join(plan, own["doc_id"].eqNullSafe(plan["_of"]) & own["source"].eqNullSafe(plan["_from"]) & (own[size] == plan["_words"]))
+    # a struct of nulls equals its like, so that rows are numbered and joined by one key and their texts are shuffled once
+    own = own.withColumn(alike, F.struct("doc_id", "source", F.col(size).alias("size"))).drop(size)
+    rows = Window.partitionBy(alike)
+    own = own.withColumn(nth, F.row_number().over(rows.orderBy(F.xxhash64("text")))).withColumn(many, F.count("*").over(rows))
+    both = own.join(plan, own[alike] == plan["_of"])
     whole = F.floor(F.col(times) / F.col(many))
     turns = (whole + F.when(F.col(nth) <= F.col(times) - whole * F.col(many), 1).otherwise(0)).cast("int")
     return both.withColumn(nth, F.explode(F.when(turns > 0, F.sequence(F.lit(1), turns)))).select(*[docs[c] for c in docs.columns])

@@ -1,11 +1,15 @@
 """Near copies by the Jaccard of their sets of word shingles, found by SimHash with ball hashing.
 
 At a Jaccard of 0.8 SimHashes differ in about 0.15 of their bits, some 10 of 64, which op2's balls don't reach. So a set
-gets a longer SimHash, of BLOCKS blocks of 24 bits, and a ball in each: as in op2 balls meet in the middle, every
-fingerprint emits the 25 variants of a block within one bit, and two that differ in at most two bits of a block share a
-variant. Of what shares a variant 96 further bits of the SimHash are compared. A pair at 0.8 is found with a computed
-probability of 0.99998 or more (0.15 of differing bits: 0.999997; 0.161, the most of sets of 6 shingles or more:
-0.99998; sets of 4 and 5 shingles, which differ in 0.1875, have twice the blocks: 0.99999).
+gets a longer SimHash, of BLOCKS blocks of 24 bits, and a ball in each: as in op2 balls meet in the middle, a block has
+variants within one bit, and two that differ in at most two bits share a variant. Such blocks also have one of their
+three bytes in common, so a block is dealt by each of its bytes, in 3 rows, and the variants of the other 16 bits are made
+where they meet. Of what shares a variant TRAVEL * 8 further bits of the SimHash are compared. A pair at 0.8 is found with
+a computed probability of 0.99999 or more (0.15 of differing bits: 0.9999994; 0.161, the most of sets of 6 shingles or
+more: 0.99999; sets of 4 and 5 shingles, which differ in 0.1875, have twice the blocks: 0.99999).
+
+Sets that meet, directly or by others, are a group; a set is in one group at most. ROUND blocks are met at a time, and
+what a round puts in a group counts as one afterwards, so that groups don't meet again in every block.
 
 Every link is verified on the whole shingle sets. Sets that meet are first compared with the smallest ones they meet;
 what that leaves in different components is then compared inside its group, where no pair of components goes uncompared
@@ -23,26 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected, local_roots
-from quire.llm.shared import shuffle_partitions, written
+from quire.llm.shared import drop_written, shuffle_partitions, written
 from quire.llm.simhash import first_rows, shingles
 from quire.llm.spotsigs import likeness
 
 THRESHOLD = 0.8
 SHINGLE = 5
 BLOCKS = 44  # of 3 bytes
-CHECK = 12  # bytes that travel with a variant
+CHECK = 28  # bytes besides
+TRAVEL = 24  # of those, what travels with a block
 PRINT = 3 * BLOCKS + CHECK  # bytes of a SimHash
 TINY = 5  # sets of so many shingles or fewer have BLOCKS more blocks, after PRINT
-ROUND = 11  # blocks whose variants are shuffled at once
-#: Differing bits of CHECK up to which two sets that share a variant meet: in the blocks of all sets, and in those of tiny ones.
-NEAR, NEAR_TINY = 32, 36
+ROUND = 11  # blocks that are shuffled at once
+#: Differing bits of TRAVEL up to which two sets that share a variant meet: in the blocks of all sets, and in those of tiny ones.
+NEAR, NEAR_TINY = 58, 66
 #: Differing bits of PRINT up to which a pair is compared: 0.1875 of them are expected at most at the threshold, 5 deviations more are allowed.
 FAR = int(8 * PRINT * 0.1875 + 5 * (8 * PRINT * 0.1875 * 0.8125) ** 0.5)
 STEP = 255  # shingles hashed at once; their votes fit a byte
 FEW = 64  # rows of a variant that are compared by pairs; more are compared by a spanning forest
 LEADERS = 8  # smallest sets met that a set is verified with before groups are
 FAN = 64  # pairs of one set that a task verifies
-_FLIPS = np.array([0, *(1 << i for i in range(24))], np.uint64)
+VARIANTS = 1 << 22  # made at once
+_FLIPS = np.array([0, *(1 << i for i in range(16))], np.uint64)
+_PIECES = "key long, node long, check0 long, check1 long, check2 long"
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -88,32 +95,28 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "print"])
 
 
-def _balls(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Variants of the blocks from `first` on, ROUND of them: key has the block and the variant in its upper half and 32 bits
-    to check in its lower, check has 64 more."""
+def _pieces(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks from `first` on, ROUND of them, by each of their bytes: key has the block, which byte, the byte and in its
+    lowest 16 bits the other two. Rows are in the order of the blocks, not of the sets."""
 
-    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = range(first, min(first + ROUND, BLOCKS))
         for batch in batches:
             node, every = batch["node"].to_numpy(), batch["print"].to_pylist()
             sizes = np.array([len(p) for p in every])
             for size, of in ((PRINT, blocks), (PRINT + 3 * BLOCKS, [*blocks, *(b + BLOCKS for b in blocks)])):
-                rows = np.flatnonzero(sizes == size)
-                for at in range(0, len(rows), 200):
-                    own = rows[at : at + 200]
-                    prints = np.frombuffer(b"".join(every[i] for i in own), np.uint8).reshape(-1, size)
-                    check = prints[:, PRINT - CHECK : PRINT]
-                    low, high = check[:, :4].copy().view("<u4").astype(np.uint64), check[:, 4:].copy().view("<i8")
-                    keys = []
-                    for b in of:
-                        x = prints[:, 3 * b + CHECK * (b >= BLOCKS) :][:, :3].astype(np.uint64)
-                        block = x[:, 0] | x[:, 1] << np.uint64(8) | x[:, 2] << np.uint64(16) | np.uint64(b << 24)
-                        keys.append((block[:, None] ^ _FLIPS) << np.uint64(32) | low)
-                    keys = np.concatenate(keys, axis=1)
-                    columns = [keys.reshape(-1).view(np.int64), np.repeat(node[own], keys.shape[1]), np.repeat(high, keys.shape[1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "check"])
-
-    return balls
+                own = np.flatnonzero(sizes == size)
+                if not len(own):
+                    continue
+                prints = np.frombuffer(b"".join(every[i] for i in own), np.uint8).reshape(-1, size)
+                check = np.tile(prints[:, PRINT - CHECK :][:, :TRAVEL].copy().view("<i8"), (3, 1))
+                for b in of:
+                    x = prints[:, 3 * b + CHECK * (b >= BLOCKS) :][:, :3].astype(np.int64)
+                    keys = [3 * b + k << 24 | x[:, k] << 16 | x[:, (k + 1) % 3] << 8 | x[:, (k + 2) % 3] for k in range(3)]
+                    columns = [np.concatenate(keys), np.tile(node[own], 3), *check.T.copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "check0", "check1", "check2"])
+
+    return pieces
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,42 +143,60 @@ def _runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[pa.Reco
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _variants(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The variants that several rows share, and those rows: of the rows that have a byte of a block in common (key, sorted)
+    the variants of the other 16 bits within one bit. About VARIANTS are held at once."""
+    other, shift = key & np.uint64(0xFFFF), np.uint64(len(key).bit_length())
+    group = np.cumsum(np.append(False, key[1:] >> np.uint64(16) != key[:-1] >> np.uint64(16))).astype(np.uint64) << np.uint64(16)
+    parts = np.uint64(-(-len(key) * len(_FLIPS) // VARIANTS))
+    for part in range(int(parts)):
+        made = []
+        for flip in _FLIPS:
+            variant = other ^ flip
+            rows = np.flatnonzero(variant * parts >> np.uint64(16) == part)
+            made.append((group[rows] | variant[rows]) << shift | rows.astype(np.uint64))
+        made = np.sort(np.concatenate(made))
+        run = made >> shift
+        same = run[1:] == run[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        yield run[shared], (made[shared] & (np.uint64(1) << shift) - np.uint64(1)).astype(np.int64)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets that meet: of the rows of a variant those that its checks connect are a group, and key is named by the
-    group's sets, so that a group that meets again is the same one."""
-    for batch in _runs(batches, 32):
-        key, node, high = (batch[c].to_numpy().view(np.uint64) for c in ("key", "node", "check"))
-        run, low = key >> np.uint64(32), key & np.uint64(2**32 - 1)
-        bound = np.where(run >> np.uint64(24) < BLOCKS, NEAR, NEAR_TINY)
-        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        sizes = np.diff(np.append(starts, len(run)))
-        few, a, b = np.repeat(sizes <= FEW, sizes), [], []
-        for s in range(1, min(FEW, int(sizes.max()))):
-            i = np.flatnonzero((run[s:] == run[:-s]) & few[s:])
-            i = i[np.bitwise_count(high[i] ^ high[i + s]) + np.bitwise_count(low[i] ^ low[i + s]) <= bound[i]]
-            a.append(i)
-            b.append(i + s)
-        for begin, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            rest = np.arange(begin, begin + n)
-            while len(rest) > 1:
-                front, rest = [rest[0]], rest[1:]
-                while front and len(rest):
-                    at = front.pop()
-                    near = np.bitwise_count(high[rest] ^ high[at]) + np.bitwise_count(low[rest] ^ low[at]) <= bound[at]
-                    a.append(np.full(near.sum(), at))
-                    b.append(rest[near])
-                    front += rest[near].tolist()
-                    rest = rest[~near]
+    """Links a, b from the smallest to each of the nodes that the variants and checks of a batch connect."""
+    for batch in _runs(batches, 16):
+        key, node = batch["key"].to_numpy().view(np.uint64), batch["node"].to_numpy()
+        check = np.stack([batch[f"check{i}"].to_numpy() for i in range(TRAVEL // 8)], 1).view(np.uint64)
+        bound, a, b = np.where(key >> np.uint64(24) < 3 * BLOCKS, NEAR, NEAR_TINY), [], []
+        for run, row in _variants(key):
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(run)))
+            ends = np.repeat(starts + sizes, sizes)
+            i = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+            for s in range(1, FEW):
+                i = i[i + s < ends[i]]
+                if not len(i):
+                    break
+                x, y = row[i], row[i + s]
+                near = (node[x] != node[y]) & (np.bitwise_count(check[x] ^ check[y]).sum(1) <= bound[x])
+                a.append(node[x[near]])
+                b.append(node[y[near]])
+            for begin, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                rest = row[begin : begin + n]
+                while len(rest) > 1:
+                    front, rest = [rest[0]], rest[1:]
+                    while front and len(rest):
+                        at = front.pop()
+                        near = (node[rest] == node[at]) | (np.bitwise_count(check[rest] ^ check[at]).sum(1) <= bound[at])
+                        a.append(np.full(near.sum(), node[at]))
+                        b.append(node[rest[near]])
+                        front += rest[near].tolist()
+                        rest = rest[~near]
         if not sum(map(len, a)):
             continue
-        rows, root = local_roots(np.concatenate(a), np.concatenate(b))
-        _, of = np.unique(root, return_inverse=True)
-        named = np.zeros(int(of.max()) + 1, np.uint64)
-        np.add.at(named, of, _mixed(node[rows]))
-        once = np.zeros(len(named), bool)
-        once[np.unique(named, return_index=True)[1]] = True
-        rows, of = rows[once[of]], of[once[of]]
-        yield pa.RecordBatch.from_arrays([pa.array(named[of].view(np.int64)), pa.array(node[rows].view(np.int64))], names=["key", "node"])
+        nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
+        linked = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(roots[linked]), pa.array(nodes[linked])], names=["a", "b"])
 
 
 def _bits(prints: pa.Array) -> np.ndarray:
@@ -264,17 +285,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(met.filter(likeness(F.col("s_a"), F.col("s_b")) >= THRESHOLD).select("a", "b"), "near-links")
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """key and node: the groups (key) of sets whose SimHashes meet, of two nodes or more each.
+def met(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node and key of every node: key is the smallest node that its SimHash meets, directly or by others. And a, b: the
+    meetings that make this so.
 
-    nodes has node and print (as of fingerprint); a node occurs once. Variants are shuffled ROUND blocks at a time, so that
-    their files never are more than that. Empty table: no rows."""
-    met = []
+    nodes has node and print (as of fingerprint); a node occurs once. Blocks are shuffled ROUND at a time, so that their files
+    never are more than that; what has met is one node in the rounds that follow. Empty table: no rows."""
+    keys, links = nodes.select("node", F.col("node").alias("key")), []
     for first in range(0, BLOCKS, ROUND):
-        variants = nodes.select("node", "print").mapInArrow(_balls(first), "key long, node long, check long")
-        runs = variants.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-        met.append(written(runs.mapInArrow(_met, "key long, node long").distinct(), "near-met"))
-    return written(reduce(DataFrame.unionAll, met).distinct(), "near-groups")
+        named = nodes.select("node", "print").join(keys, "node") if links else nodes.withColumn("key", F.col("node"))
+        pieces = named.select(F.col("key").alias("node"), "print").mapInArrow(_pieces(first), _PIECES)
+        runs = pieces.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
+        links.append(written(runs.mapInArrow(_met, "a long, b long").distinct(), "near-met"))
+        roots = connected(links[-1]).withColumnRenamed("node", "of")
+        before, keys = keys, written(keys.join(roots, F.col("key") == F.col("of"), "left").select("node", F.coalesce("root", "key").alias("key")), "near-keys")
+        if first:
+            drop_written(before)
+    return keys, reduce(DataFrame.unionAll, links)
+
+
+def groups(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) of keys whose key another node has too."""
+    return keys.join(keys.filter("node != key").select("key").distinct(), "key", "left_semi").select("key", "node")
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key and node: the groups (key) of sets whose SimHashes meet, of two nodes or more each; a node is in one at most."""
+    return groups(met(nodes)[0])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -288,9 +325,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     held = written(rows.mapInArrow(_prints, "doc_id long, node long, print binary"), "near-prints")
     nodes = held.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("print").alias("print"))
     nodes = written(nodes.repartition(shuffle_partitions(docs.sparkSession), F.col("node")), "near-nodes")
-    shared = meetings(nodes)
-    least = shared.groupBy("key").agg(F.min("node").alias("a"))
-    stars = shared.join(least, "key").filter("a != node").groupBy(F.col("node").alias("b")).agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a"))
+    keys, meet = met(nodes)
+    shared = groups(keys)
+    stars = meet.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, LEADERS).alias("a"))
     stars = stars.select(F.explode("a").alias("a"), "b")
     for end in ("a", "b"):
         stars = stars.join(nodes.select(F.col("node").alias(end), F.col("print").alias("print_" + end)), end)

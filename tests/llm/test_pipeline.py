@@ -129,3 +129,62 @@ def test_near_duplicates_meet_by_their_simhashes(spark):
     for r in near_copies.meetings(nodes).collect():
         groups[r["node"]].add(r["key"])
     assert all(groups[a] & groups[b] for a, b in pairs)
+
+
+def test_sets_that_meet_are_one_group(spark, monkeypatch):
+    """Groups as by comparing all pairs of SimHashes, with one row for a set, however many blocks it shares."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quire.llm import near_copies
+
+    rng = np.random.default_rng(11)
+    base, other = rng.integers(0, 2**63, 60, np.uint64), rng.integers(0, 2**63, 60, np.uint64)
+    sets = [np.append(base[: 60 - k % 6], rng.integers(0, 2**63, k % 6, np.uint64)) for k in range(150)]
+    sets += [np.append(other[: 60 - k % 20], rng.integers(0, 2**63, k % 20, np.uint64)) for k in range(40)]
+    sets += [rng.integers(0, 2**63, n, np.uint64) for n in (1, 4, 5, 6, 30) for _ in range(20)]
+    tiny = rng.integers(0, 2**63, 6, np.uint64)
+    sets += [tiny[:4], tiny[:5], tiny]
+    prints = [near_copies.fingerprint(np.sort(s)) for s in sets]
+    nodes = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(prints)], "node long, print binary")
+    root = list(range(len(prints)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    at = 3 * near_copies.BLOCKS
+    for j, p in enumerate(prints):
+        for k, q in enumerate(prints[:j]):
+            bits = [(x ^ y).bit_count() for x, y in zip(p, q)]
+            check = sum(bits[at : at + near_copies.TRAVEL])
+            for first, most in ((0, near_copies.NEAR), (at + near_copies.CHECK, near_copies.NEAR_TINY)):
+                blocks = bits[first : first + at]
+                if check <= most and any(sum(blocks[i : i + 3]) <= 2 for i in range(0, len(blocks), 3)):
+                    root[max(find(j), find(k))] = min(find(j), find(k))
+    expected = collections.Counter(map(find, range(len(prints))))
+    expected = sorted((find(k), k) for k in range(len(prints)) if expected[find(k)] > 1)
+    assert len(expected) >= 190
+    assert sorted((r["key"], r["node"]) for r in near_copies.meetings(nodes).collect()) == expected
+    # in parts, as groups of many rows
+    rows = nodes.select("node", "print").toArrow().to_batches()
+    task = pa.Table.from_batches(near_copies._pieces(0)(iter(rows))).sort_by("key").combine_chunks().to_batches()
+    whole = [b.to_pydict() for b in near_copies._met(iter(task))]
+    monkeypatch.setattr(near_copies, "VARIANTS", 1000)
+    assert [b.to_pydict() for b in near_copies._met(iter(task))] == whole
+
+
+def test_the_mix_shuffles_texts_once(spark):
+    from quire.llm import mixing
+
+    docs = table(spark, DATA, "documents")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(mixing.mixed(docs)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    steps = [s.strip() for s in plan.split("\n\n")]
+    shuffles = [s for s in steps if s.split("\n")[0].endswith(") Exchange")]
+    assert len(shuffles) > 1 and sum("text#" in s for s in shuffles) == 1
