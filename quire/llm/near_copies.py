@@ -9,7 +9,7 @@ a computed probability of 0.99999 or more (0.15 of differing bits: 0.9999994; 0.
 more: 0.99999; sets of 4 and 5 shingles, which differ in 0.1875, have twice the blocks: 0.99999).
 
 Sets that meet, directly or by others, are a group; a set is in one group at most. ROUND blocks are met at a time, and
-what a round puts in a group counts as one afterwards, so that groups don't meet again in every block.
+what the first round puts in a group counts as one afterwards, so that groups don't meet again in every block.
 
 Every link is verified on the whole shingle sets. Sets that meet are first compared with the smallest ones they meet;
 what that leaves in different components is then compared inside its group, where no pair of components goes uncompared
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected, local_roots
-from quire.llm.shared import drop_written, shuffle_partitions, written
+from quire.llm.shared import shuffle_partitions, written
 from quire.llm.simhash import first_rows, shingles
 from quire.llm.spotsigs import likeness
 
@@ -290,18 +290,23 @@ def met(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     meetings that make this so.
 
     nodes has node and print (as of fingerprint); a node occurs once. Blocks are shuffled ROUND at a time, so that their files
-    never are more than that; what has met is one node in the rounds that follow. Empty table: no rows."""
-    keys, links = nodes.select("node", F.col("node").alias("key")), []
-    for first in range(0, BLOCKS, ROUND):
-        named = nodes.select("node", "print").join(keys, "node") if links else nodes.withColumn("key", F.col("node"))
+    never are more than that; what has met in the first round is one node in those that follow. Empty table: no rows."""
+
+    def round_of(first: int, named: DataFrame) -> DataFrame:
         pieces = named.select(F.col("key").alias("node"), "print").mapInArrow(_pieces(first), _PIECES)
         runs = pieces.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
-        links.append(written(runs.mapInArrow(_met, "a long, b long").distinct(), "near-met"))
-        roots = connected(links[-1]).withColumnRenamed("node", "of")
-        before, keys = keys, written(keys.join(roots, F.col("key") == F.col("of"), "left").select("node", F.coalesce("root", "key").alias("key")), "near-keys")
-        if first:
-            drop_written(before)
-    return keys, reduce(DataFrame.unionAll, links)
+        return written(runs.mapInArrow(_met, "a long, b long").distinct(), "near-met")
+
+    def renamed(keys: DataFrame, links: DataFrame) -> DataFrame:
+        roots = connected(links).withColumnRenamed("node", "of")
+        return written(keys.join(roots, F.col("key") == F.col("of"), "left").select("node", F.coalesce("root", "key").alias("key")), "near-keys")
+
+    keys = nodes.select("node", F.col("node").alias("key"))
+    one = round_of(0, nodes.withColumn("key", F.col("node")))
+    keys = renamed(keys, one)
+    named = nodes.select("node", "print").join(keys, "node")
+    more = reduce(DataFrame.unionAll, [round_of(first, named) for first in range(ROUND, BLOCKS, ROUND)])
+    return renamed(keys, more), one.unionAll(more)
 
 
 def groups(keys: DataFrame) -> DataFrame:
