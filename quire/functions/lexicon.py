@@ -1,19 +1,23 @@
 """How much a text reads like a language: its letter trigrams against those of language profiles.
 
-Profiles meet a text in one scan by a regular expression of their trigrams. The contrast with shuffled letters needs
-seeded shuffles, which no built-in gives; it is an Arrow function over a text's key words.
+Profiles meet the words of a text once for each distinct one. The contrast with shuffled letters needs seeded shuffles, which
+no built-in gives. Both are Arrow functions.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import rows as W
 from quire.functions import text as T
 
 # Trigrams of languages, limits, weights.
@@ -59,54 +63,49 @@ def _fold(trigram: str) -> str:
 PROFILES = {name: sorted({f for f in map(_fold, words.split()) if len(f) == 3}) for name, words in (("latin", LATIN), ("old_french", OLD_FRENCH), ("middle_french", MIDDLE_FRENCH), ("french", FRENCH))}
 
 
-def _pattern(trigrams: list[str]) -> str:
-    """A pattern that matches, without taking anything, wherever one of the trigrams begins; branches by the first two letters."""
-    tree: dict[str, dict[str, str]] = {}
-    for a, b, c in trigrams:
-        tree.setdefault(a, {}).setdefault(b, "")
-        tree[a][b] += c
-    return "(?=" + "|".join(a + "(?:" + "|".join(f"{b}[{cs}]" for b, cs in bs.items()) + ")" for a, bs in tree.items()) + ")"
-
-
 def key_words(text: Column) -> Column:
     """The words of a text's search key that have three letters or more, all of them a to z, as one string."""
     return F.array_join(F.regexp_extract_all(T.folded(T.rejoined(text)), F.lit("(?<![^ ])[a-z]{3,}(?![^ ])"), F.lit(0)), " ")
 
 
-def n_trigrams(words: Column) -> Column:
-    return F.regexp_count(words, F.lit("[a-z]")) - 2 * F.regexp_count(words, F.lit("[a-z]+"))
-
-
-def hits(words: Column, profile: str) -> Column:
-    return F.regexp_count(words, F.lit(_pattern(PROFILES[profile])))
-
-
 def profile_of(language: Column) -> Column:
     """The profile of a language, itself or under another name; null if there is none."""
     names = {**{p: p for p in PROFILES}, **ALIASES}
     return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.coalesce(language, F.lit("")))
 
 
-def _scaled(count: Column, total: Column) -> Column:
-    return F.when(total > 0, F.least(F.lit(1.0), count / total / FULL_HIT_RATE)).otherwise(NEUTRAL)
+_TRIGRAMS = W.Memo(W.trigrams_in(PROFILES))
+
+
+def _fit_of(text: str | None) -> tuple[float, ...]:
+    """The share of a text's trigrams that each profile has, by the share that good texts have."""
+    counts = [0] * (1 + len(PROFILES))
+    for t, c in Counter(W.key_words(text)).items():
+        for k, n in enumerate(_TRIGRAMS[t]):
+            counts[k] += n * c
+    total, *found = counts
+    return tuple(min(1.0, n / total / FULL_HIT_RATE) if total else NEUTRAL for n in found)
+
+
+def _fit_rows(texts: list) -> pa.Array:
+    return W.structs(tuple(PROFILES), [_fit_of(t) for t in texts])
+
+
+#: A struct with the plausibility of a text in each profile, computed in one go.
+fits = W.mapped(_fit_rows, W.doubles(tuple(PROFILES)))
 
 
 def lexical_plausibility(text: Column, language: Column) -> Column:
     """0 to 1: the share of a text's trigrams that its language's profile has, by the share that good texts have; 0.5 where
     there is no profile or no trigram."""
 
-    def of(words: Column) -> Column:
+    def of(fit: Column) -> Column:
         out, p = F.lit(NEUTRAL), profile_of(language)
         for name in PROFILES:
-            out = F.when(p == name, _scaled(hits(words, name), n_trigrams(words))).otherwise(out)
+            out = F.when(p == name, fit[name]).otherwise(out)
         return out
 
-    return T.once(key_words(text), of)
-
-
-def fits(text: Column) -> Column:
-    """A struct with the plausibility of a text in each profile, computed in one go."""
-    return T.once(key_words(text), lambda w: F.struct(*[_scaled(hits(w, p), n_trigrams(w)).alias(p) for p in PROFILES]))
+    return T.once(fits(text), of)
 
 
 def best_fit_language(fit: Column, text: Column) -> Column:
@@ -143,47 +142,150 @@ def trigram_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(key_words(text), F.lit("(?=([a-z]{3}))"), F.lit(1)))
 
 
-def contrast_of(words: str) -> list[float] | None:
-    """For each profile: the trigrams that it has, by those expected of shuffled letters; None for too few trigrams."""
-    tokens = words.split()
-    bits: dict[str, int] = {}
-    for k, trigrams in enumerate(PROFILES.values()):
-        for t in trigrams:
-            bits[t] = bits.get(t, 0) | 1 << k
-
-    def counted(tokens: list[str]) -> tuple[int, list[int]]:
-        times = [0] * (1 << len(PROFILES))
-        for t in tokens:
-            for i in range(len(t) - 2):
-                times[bits.get(t[i : i + 3], 0)] += 1
-        return sum(times), [sum(n for mask, n in enumerate(times) if mask >> k & 1) for k in range(len(PROFILES))]
-
-    n, real = counted(tokens)
-    if n < LEAST_TRIGRAMS:
-        return None
-    total, by_chance = 0, [0] * len(PROFILES)
+_LETTERS = ord("a")
+_BITS = np.zeros(26**3, np.uint8)
+for _k, _trigrams in enumerate(PROFILES.values()):
+    for _t in _trigrams:
+        _BITS[sum((ord(c) - _LETTERS) * 26**i for c, i in zip(_t, (2, 1, 0), strict=True))] |= 1 << _k
+LONG_WORD, AT_ONCE = 24, 1 << 15  # letters of words whose draws are looked up; words shuffled at once
+LONG_TEXT = 1 << 15  # letters of texts whose draws are looked up; the tables take 2 KB for each
+
+
+class Draws:
+    """What random.Random(seed).shuffle draws, for words of each length from each place of the stream. A stream of 32-bit numbers is
+    one for all texts, and a draw under n takes its first one whose upper bits are less: tables say where a word's draws end."""
+
+    def __init__(self, seed: int) -> None:
+        kind, (*key, at), _ = random.Random(seed).getstate()
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint64), "pos": at}}
+        self.stream = np.empty(0, np.uint32)
+        self.after: dict[int, array] = {}
+
+    def reach(self, most: int) -> None:
+        """Tables from every place up to `most`."""
+        if most + 1000 > len(self.stream):
+            self.stream = np.concatenate([self.stream, self.bits.random_raw(max(1 << 15, len(self.stream), most + 1000 - len(self.stream))).astype(np.uint32)])
+            size = len(self.stream)
+            self.chosen, self.after, ends = {}, {}, np.arange(size + 1, dtype=np.int32)
+            for n in range(2, LONG_WORD + 1):
+                drawn = self.stream >> np.uint32(32 - n.bit_length())
+                taken = np.where(drawn < n, np.arange(size, dtype=np.int32), np.int32(size - 1))
+                first = np.minimum.accumulate(taken[::-1])[::-1]
+                self.chosen[n] = first, drawn.astype(np.uint8)
+                # a word of n letters draws under n, then as a word of n - 1 does
+                ends = ends[np.append(first + 1, size)]
+                self.after[n] = array("i", ends.tobytes())
+
+    def starts(self, lengths: list[int]) -> list[int]:
+        """Where the draws of each of a text's words begin, and where the last end."""
+        out, at, after = [], 0, self.after
+        for n in lengths:
+            out.append(at)
+            at = after[n][at]
+        out.append(at)
+        return out
+
+
+_DRAWS: dict[int, Draws] = {}
+
+
+def _mask_counts(letters: np.ndarray, texts: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out (texts x masks of profiles) the trigrams of words of one length."""
+    codes = letters.astype(np.int32)
+    masks = _BITS[codes[:, :-2] * 676 + codes[:, 1:-1] * 26 + codes[:, 2:]]
+    wide = out.shape[1]
+    out += np.bincount((texts[:, None] * wide + masks).ravel(), minlength=out.size).reshape(out.shape)
+
+
+def _plain_shuffles(tokens: list[str], seed: int) -> list[str]:
+    rng, mixed = random.Random(seed), []
+    for t in tokens:
+        letters = list(t)
+        rng.shuffle(letters)
+        mixed.append("".join(letters))
+    return mixed
+
+
+def contrasts_of(texts: list[list[str]]) -> list[list[float] | None]:
+    """For each profile: the trigrams that a text's key words have, by those expected of shuffled letters; None for too few
+    trigrams. A text's shuffles are those of random.Random of seeds 0 to 7, each from the beginning; words of all texts are
+    shuffled together by their lengths."""
+    wide = 1 << len(PROFILES)
+    real, mixed = np.zeros((len(texts), wide), np.int64), np.zeros((len(texts), wide), np.int64)
+    by_length: dict[int, tuple[list, list, list]] = {}
+    sizes = [[len(t) for t in ts] for ts in texts]
+    every = [sum(n) - 2 * len(n) for n in sizes]
+    asked = [k for k, n in enumerate(every) if n >= LEAST_TRIGRAMS]
+    short = {k for k in asked if sum(sizes[k]) <= LONG_TEXT and max(sizes[k]) <= LONG_WORD}
     for seed in range(SHUFFLES):
-        rng, mixed = random.Random(seed), []
-        for t in tokens:
-            letters = list(t)
-            rng.shuffle(letters)
-            mixed.append("".join(letters))
-        m, found = counted(mixed)
-        total += m
-        by_chance = [a + b for a, b in zip(by_chance, found, strict=True)]
-    return [round((r + PSEUDO_HITS) / (n * c / total + PSEUDO_HITS), 4) for r, c in zip(real, by_chance, strict=True)]
+        if seed not in _DRAWS:
+            _DRAWS[seed] = Draws(seed)
+        _DRAWS[seed].reach(2 * max((sum(sizes[k]) for k in short), default=0))
+    for k in asked:
+        starts = [_DRAWS[seed].starts(sizes[k]) for seed in range(SHUFFLES)] if k in short else []
+        if not starts or any(s[-1] >= len(_DRAWS[seed].stream) for seed, s in enumerate(starts)):
+            _add_plain(texts[k], k, real, mixed)
+            continue
+        for t, n, at in zip(texts[k], sizes[k], zip(*[s[:-1] for s in starts], strict=True), strict=True):
+            words, owners, places = by_length.setdefault(n, ([], [], []))
+            words.append(t)
+            owners.append(k)
+            places.append(at)
+    for n, (words, owners, places) in by_length.items():
+        for i in range(0, len(words), AT_ONCE):
+            letters = np.frombuffer("".join(words[i : i + AT_ONCE]).encode(), np.uint8).reshape(-1, n) - _LETTERS
+            texts_of, at = np.array(owners[i : i + AT_ONCE]), np.array(places[i : i + AT_ONCE], np.int32)
+            _mask_counts(letters, texts_of, real)
+            rows = np.arange(len(letters))
+            for seed in range(SHUFFLES):
+                shuffled, place = letters.copy(), at[:, seed]
+                for m in range(n, 1, -1):
+                    first, drawn = _DRAWS[seed].chosen[m]
+                    place = first[place]
+                    j = drawn[place]
+                    place = place + 1
+                    shuffled[rows, j], shuffled[:, m - 1] = shuffled[:, m - 1].copy(), shuffled[rows, j]
+                _mask_counts(shuffled, texts_of, mixed)
+    out: list[list[float] | None] = [None] * len(texts)
+    has = [[mask for mask in range(wide) if mask >> p & 1] for p in range(len(PROFILES))]
+    for k in asked:
+        n, total = every[k], int(mixed[k].sum())
+        pairs = [(int(real[k, has[p]].sum()), int(mixed[k, has[p]].sum())) for p in range(len(PROFILES))]
+        out[k] = [round((r + PSEUDO_HITS) / (n * c / total + PSEUDO_HITS), 4) for r, c in pairs]
+    return out
+
+
+def _add_plain(tokens: list[str], k: int, real: np.ndarray, mixed: np.ndarray) -> None:
+    """A text with a very long word, or a very long text, word by word."""
+    for words, out in [(tokens, real), *[(_plain_shuffles(tokens, seed), mixed) for seed in range(SHUFFLES)]]:
+        for t in words:
+            row = np.zeros((1, out.shape[1]), np.int64)
+            _mask_counts(np.frombuffer(t.encode(), np.uint8)[None, :] - _LETTERS, np.zeros(1, np.int64), row)
+            out[k] += row[0]
+
+
+def contrast_of(words: str) -> list[float] | None:
+    return contrasts_of([words.split()])[0]
+
 
+PART = 1 << 20  # letters of texts shuffled together
 
-def contrasts(text: Column) -> Column:
-    """An array of contrasts in the order of PROFILES; null for a text of fewer than 150 trigrams. Each text is its own
-    seed's, so the same text gives the same contrasts."""
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in batches:
-            yield pa.array([contrast_of(w) for w in x.to_pylist()], pa.list_(pa.float64()))
+def _contrast_rows(texts: list) -> pa.Array:
+    out, held, size = [], [], 0
+    for t in texts:
+        held.append(W.key_words(t))
+        size += sum(map(len, held[-1]))
+        if size >= PART:
+            out += contrasts_of(held)
+            held, size = [], 0
+    return pa.array(out + contrasts_of(held), pa.list_(pa.float64()))
 
-    of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(of, "array<double>")(key_words(text))
+
+#: An array of contrasts in the order of PROFILES; null for a text of fewer than 150 trigrams. Each text is its own seed's, so the
+#: same text gives the same contrasts.
+contrasts = W.mapped(_contrast_rows, "array<double>")
 
 
 def lexical_contrast(contrasts: Column) -> Column:
@@ -224,19 +326,57 @@ def expanded(text: Column, nasals: bool = True) -> Column:
     return F.replace(out, F.lit(_BAR), F.lit("n" if nasals else ""))
 
 
-def search_key(text: Column) -> Column:
-    """A text's search key: signs expanded, orthography folded, and whole words that stand for others (dns: dominus)."""
+_NFC = {v: "".join(c for c in (unicodedata.normalize("NFC", v + m) for m in NASALS) if len(c) == 1) for v in "aeiouyAEIOUY"}
+_BARRED = [(re.compile(f"{v}[{NASALS}]" + (f"|[{whole}]" if whole else "")), v + _BAR) for v, whole in _NFC.items()]
+
+
+def _expanded_token(token: str, nasals: bool) -> str:
+    """As expanded()."""
+    for pattern, put in _BARRED:
+        token = pattern.sub(put, token)
+    for sign, letters in SIGNS.items():
+        token = token.replace(sign, letters)
+    if not nasals:
+        return token.replace(_BAR, "")
+    out = []
+    for i, c in enumerate(token):
+        if c == _BAR:
+            follow = next((x for x in token[i + 1 :] if x != _BAR and unicodedata.category(x)[0] != "M"), "")
+            c = "m" if follow and follow in "bpmBPM" else "n"
+        out.append(c)
+    return "".join(out)
+
+
+def _search_words(token: str) -> tuple[str, ...]:
+    if token.isascii():
+        return tuple(SUSPENSIONS.get(w, w) for w in W.folded_words(token))
+    whole, plain = W.folded_words(_expanded_token(token, True)), W.folded_words(_expanded_token(token, False))
+    return tuple(SUSPENSIONS.get(p, SUSPENSIONS.get(t, t)) for t, p in zip(whole, plain, strict=True))
+
+
+_SEARCH = W.Memo(_search_words)
+
+
+def search_words(text: str | None) -> list[str]:
+    if (text or "").isascii():
+        return [SUSPENSIONS.get(w, w) for w in W.folded_words(text or "")]
+    return [w for t in text.split() for w in _SEARCH[t]]
+
+
+_KEYS = W.Memo(lambda token: " ".join(search_words(token)))
+
+
+def word_key(word: str) -> str:
+    """The search key of a word, found once."""
+    return _KEYS[word]
+
+
+def _search_rows(texts: list) -> pa.Array:
+    return pa.array([" ".join(search_words(t)) for t in texts], pa.string())
 
-    def of(both: Column) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in SUSPENSIONS.items() for x in pair])
-        word = lambda t, plain: F.coalesce(F.element_at(table, plain), F.element_at(table, t), t)
-        known = both["whole"].rlike("(?<![^ ])(" + "|".join(SUSPENSIONS) + ")(?![^ ])") | both["plain"].rlike("(?<![^ ])(" + "|".join(SUSPENSIONS) + ")(?![^ ])")
-        told = F.array_join(F.zip_with(F.split(both["whole"], " "), F.split(both["plain"], " "), word), " ")
-        # most texts hold none of them
-        return F.when(known, told).otherwise(both["whole"])
 
-    t = T.text_or_empty(text)
-    return T.once(F.struct(T.folded(expanded(t)).alias("whole"), T.folded(expanded(t, False)).alias("plain")), of)
+#: A text's search key: signs expanded, orthography folded, and whole words that stand for others (dns: dominus).
+search_key = W.mapped(_search_rows, "string")
 
 
 def rejoined_by(text: Column, lexicon: list[str]) -> Column:

@@ -1,6 +1,6 @@
 """Mentions in texts: sequences of names, anchors, dates, titles, and further places of accepted names.
 
-Spans need offsets, which no built-in expression of a pattern gives, so extraction runs over Arrow batches of whole texts; what
+Spans need offsets, which no built-in expression of a pattern gives, so they are found over Arrow batches of whole texts; what
 follows from spans are joins and aggregates."""
 
 from __future__ import annotations
@@ -8,9 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions import lexicon as X
 
@@ -33,6 +36,7 @@ ROMAN_YEAR = r"\bM{1,4}[CDLXVI]{2,}\b"
 FORMULA = r"(?i)\b(?:l['’]an|lan|an\s+de\s+grace)\s+(?:mil|mille)\b"
 CONFIDENCE = {"place": 0.84, "title": 0.64, "date": 0.72, "work": 0.56, "propagated": 0.5}
 TITLE_LINE = 80
+TEXTS, MAX_HELD = 256, 200_000  # texts whose words are held at once; names that every task may hold
 
 _TOKEN = re.compile(WORD)
 _ROMAN = re.compile("(?i)[IVXLCDM]+")
@@ -124,23 +128,47 @@ def best_of_each(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     return valid.groupBy(key, "start", "end", "kind").agg(top.alias("_row")).select("_row.*")
 
 
-def token_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, surface, start, end of every word of a text, by expressions alone: lengths of words and of what stands between, summed
-    along each text."""
-    other = rf"[^{LETTERS}]*"
-    between = F.regexp_extract_all(text, F.lit(f"({other})({WORD})"), F.lit(1))
-    words = F.regexp_extract_all(text, F.lit(f"({other})({WORD})"), F.lit(2))
-    each = docs.select(key, F.posexplode(F.arrays_zip(between.alias("b"), words.alias("w"))).alias("n", "x"))
-    ahead = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("x.b") + F.length("x.w")).over(ahead).cast("int")
-    return each.select(key, F.col("x.w").alias("surface"), (end - F.length("x.w")).alias("start"), end.alias("end"))
+def token_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """key, surface, start, end of every word of a text; keyed: with name_key, its search key."""
+    field = docs.schema[key]
+    kinds = StructType([field]).add("surface", "string").add("start", "integer").add("end", "integer")
+    kinds = kinds.add("name_key", "string") if keyed else kinds
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                many, found = [], []
+                for t in part.column(1).to_pylist():
+                    before = len(found)
+                    found += _TOKEN.finditer(t or "")
+                    many.append(len(found) - before)
+                surfaces = [m.group() for m in found]
+                columns = [part.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), pa.array(surfaces, pa.string()), pa.array([m.start() for m in found], pa.int32()), pa.array([m.end() for m in found], pa.int32())]
+                if keyed:
+                    columns.append(pa.array([X.word_key(w) for w in surfaces], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.select(key, text).mapInArrow(run, kinds)
+
+
+def _keyed(tokens: DataFrame) -> DataFrame:
+    return tokens if "name_key" in tokens.columns else tokens.withColumn("name_key", X.search_key(F.col("surface")))
+
+
+def _among(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """tokens whose search key is any name's, where names are few enough for every task to hold."""
+    some = names.select("name_key").distinct()
+    few = some.limit(MAX_HELD + 1).count() <= MAX_HELD
+    return tokens.join(F.broadcast(some), "name_key", "left_semi") if few else tokens
 
 
 def propagated(tokens: DataFrame, mentions: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, end, surface, confidence of further places of accepted names: tokens whose search key is a name of their page of
     four letters or more, outside the spans of persons. names: key, name_key."""
-    keyed = tokens.withColumn("name_key", X.search_key(F.col("surface")))
-    met = keyed.join(names.filter(F.length("name_key") >= 4).distinct(), [key, "name_key"], "left_semi")
+    long = names.filter(F.length("name_key") >= 4)
+    met = _among(_keyed(tokens), long).join(long, [key, "name_key"], "left_semi")
     covers = mentions.filter("kind = 'person'").select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
     inside = (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))
     return met.join(covers, inside, "left_anti").select(key, "start", "end", "surface", F.lit(CONFIDENCE["propagated"]).alias("confidence"))
@@ -150,4 +178,4 @@ def first_canonical(tokens: DataFrame, names: DataFrame, key: str = "doc_id") ->
     """key, start, end, surface, canonical of tokens that are names of a lexicon (name, position), by search key; of several names
     with one key the first."""
     known = names.withColumn("name_key", X.search_key(F.col("name"))).groupBy("name_key").agg(F.min_by("name", "position").alias("canonical"))
-    return tokens.withColumn("name_key", X.search_key(F.col("surface"))).join(known, "name_key").select(key, "start", "end", "surface", "canonical")
+    return _among(_keyed(tokens), known).join(known, "name_key").select(key, "start", "end", "surface", "canonical")
