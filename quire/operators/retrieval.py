@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from quire.functions import rows as W
 from quire.functions import text as T
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 MAX_BROADCAST_TERMS = 200_000  # of queries; more are joined by a shuffle, and so are their pairs with queries
+MAX_PAIRS = 2_000_000  # of queries and terms that a task holds
+MAX_SCORES = 1 << 19  # of texts and queries that a task holds at once
 BLOCK = 1024  # vectors of a block
 DIGITS = 6  # scores that differ less are ties
 SIZES = {T.search_terms: T.search_size, T.word_terms: T.word_size}
+#: The terms of a text's folded word, for kinds of terms that are found word by word.
+WORD_TERMS: dict[Callable[[Column], Column], Callable[[str], list[str]]] = {T.search_terms: W.word_grams, T.word_terms: lambda word: [word]}
 
 
 def term_counts(texts: DataFrame, terms: Callable[[Column], Column], keys: list[str]) -> DataFrame:
@@ -28,9 +37,111 @@ def bm25(texts: DataFrame, queries: DataFrame, keys: list[str], query_key: str,
     """query_key, keys, score, rank: for each query the `limit` texts that share a term with it, best first; ties (to six
     digits) in order of keys.
 
-    Texts are dealt by their keys once; a text's terms meet those of the queries, are counted and summed where it lies, and
-    only each task's best of a query are shuffled again. The length of a text counts all of its terms, and the average is over
-    all texts; terms whose number is known without them aren't made for it."""
+    The terms of queries are held by every task: a text's score for every query is summed where it lies, and only what may be
+    among a task's best of a query goes on. The length of a text counts all of its terms, and the average is over all texts.
+    Queries with too many terms for that are joined."""
+    if terms in WORD_TERMS:
+        # not more than it takes to see that they are too many
+        asked = _asked(queries, query_key, WORD_TERMS[terms]).limit(MAX_PAIRS + 1).toArrow()
+        if asked.num_rows <= MAX_PAIRS:
+            return _bm25_held(texts, asked, queries.schema[query_key], keys, WORD_TERMS[terms], limit)
+    return _bm25_joined(texts, queries, keys, query_key, terms, limit)
+
+
+def _asked(queries: DataFrame, query_key: str, of_word: Callable[[str], list[str]]) -> DataFrame:
+    kinds = queries.select(query_key).schema.add("term", "string")
+    arrow = to_arrow_schema(kinds)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [sorted({t for w in W.word_terms(x) for t in of_word(w)}) for x in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(terms)), list(map(len, terms)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(list(chain.from_iterable(terms)), pa.string())], schema=arrow)
+
+    return queries.select(query_key, "text").mapInArrow(of, kinds).distinct()
+
+
+class _Held:
+    """The terms of queries, numbered, and those of every word met so far."""
+
+    def __init__(self, terms: list[str], of_word: Callable[[str], list[str]]) -> None:
+        self.number, self.of_word = {t: k for k, t in enumerate(terms)}, of_word
+        self.found = W.Memo(self.of)
+
+    def of(self, word: str) -> tuple[int, tuple[int, ...]]:
+        every = self.of_word(word)
+        return len(every), tuple(self.number[t] for t in every if t in self.number)
+
+    def counts(self, text: str | None) -> tuple[int, Counter]:
+        """How many terms a text has, and how often it has each of the queries'."""
+        met = [self.found[w] for w in W.word_terms(text)]
+        return sum(n for n, _ in met), Counter(chain.from_iterable(ids for _, ids in met))
+
+
+def _bm25_held(texts: DataFrame, asked: pa.Table, query_field: object, keys: list[str], of_word: Callable[[str], list[str]], limit: int) -> DataFrame:
+    query_key = query_field.name
+    names = asked.column(query_key).combine_chunks().dictionary_encode()
+    vocabulary = asked.column("term").combine_chunks().dictionary_encode()
+    words, queries = vocabulary.dictionary.to_pylist(), names.dictionary
+    term_of, query_of = vocabulary.indices.to_numpy(), names.indices.to_numpy()
+    in_order = np.argsort(term_of, kind="stable")
+    first, query_of = np.searchsorted(term_of[in_order], np.arange(len(words) + 1)), query_of[in_order].astype(np.int32)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, df, n, size = _Held(words, of_word), np.zeros(len(words), np.int64), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total, tf = held.counts(text)
+                n, size = n + 1, size + total
+                df[list(tf)] += 1
+        at = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, size]))], names=["term", "df"])
+
+    sums = texts.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    known = dict(zip(sums.column("term").to_pylist(), sums.column("df").to_pylist(), strict=True))
+    n = known.pop(-1, 0)
+    mean = known.pop(-2, 0) / max(n, 1)
+    df = np.array([known.get(k, 0) for k in range(len(words))], float)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    kinds = texts.select(*keys).schema.add(query_field).add("_score", "double")
+    arrow = to_arrow_schema(kinds)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least = _Held(words, of_word), np.zeros(len(queries))  # what the task's best so far reach, for each query
+        best = np.zeros((0, len(queries)))
+        block = max(1, MAX_SCORES // max(1, len(queries)))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, block):
+                part = batch.slice(begin, block)
+                scores = np.zeros((part.num_rows, len(queries)))
+                for row, text in enumerate(part.column(len(keys)).to_pylist()):
+                    total, tf = held.counts(text)
+                    if not tf:
+                        continue
+                    at, times = np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), float, len(tf))
+                    norm = K1 * (1 - B + B * total / mean) if mean else K1
+                    weight = idf[at] * times * (K1 + 1) / (times + norm)
+                    many = first[at + 1] - first[at]
+                    ends = np.cumsum(many)
+                    where = np.arange(ends[-1]) + np.repeat(first[at] - ends + many, many)
+                    scores[row] = np.bincount(query_of[where], np.repeat(weight, many), len(queries))
+                best = np.concatenate([best, scores])
+                if len(best) > limit:
+                    best = np.partition(best, len(best) - limit, axis=0)[-limit:]
+                    least = best[0]
+                # what rounds to the same may be ahead by its keys
+                row, query = np.nonzero((scores > 0) & (scores >= least - 10.0**-DIGITS))
+                row_of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(row_of) for k in range(len(keys))], queries.take(pa.array(query)), pa.array(scores[row, query])], schema=arrow)
+
+    found = texts.select(*keys, "text").mapInArrow(ranked, kinds).withColumn("score", F.round("_score", DIGITS)).drop("_score")
+    place = Window.partitionBy(query_key).orderBy(F.desc("score"), *keys)
+    return found.select(query_key, *keys, "score").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
+
+
+def _bm25_joined(texts: DataFrame, queries: DataFrame, keys: list[str], query_key: str, terms: Callable[[Column], Column], limit: int) -> DataFrame:
+    """Texts are dealt by their keys once; a text's terms meet those of the queries, are counted and summed where it lies, and
+    only each task's best of a query are shuffled again."""
     count = SIZES.get(terms)
     size = count(F.col("text")) if count else F.size(terms(F.col("text")))
     n, mean = texts.agg(F.count("*"), F.avg(size)).first()
