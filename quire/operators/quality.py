@@ -1,6 +1,6 @@
 """Quality reports of transcriptions, their labels and the gates that follow from them.
 
-A report is a projection: every signal is an expression of its own row's text, so a report takes one scan, whatever the size.
+A report is a projection: every signal is a function of its own row's text, so a report takes one scan, whatever the size.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import lexicon as X
+from quire.functions import rows as W
 from quire.functions import text as T
 
 # Limits and weights.
@@ -23,24 +24,12 @@ WEIGHTS = {"repetition_score": 0.30, "non_wordlike_frac": 0.35, "entropy": 0.13,
 
 def non_wordlike_frac(text: Column) -> Column:
     """Tokens of three characters or more that score above 0.45, of all such."""
-    long = F.filter(T.tokens(text), lambda t: F.length(t) >= 3)
-    return T.once(long, lambda ts: T.share(F.size(F.filter(ts, lambda t: T.non_wordlike_score(t) > 0.45)), F.size(ts)))
+    return W.non_wordlike_frac(text)
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the signals of a report, each a double."""
-    t = T.text_or_empty(F.col(text))
-    return docs.withColumns(
-        {
-            "char_entropy": T.char_entropy(t),
-            "non_wordlike_frac": non_wordlike_frac(t),
-            "rare_bigram_ratio": T.rare_bigram_ratio(t),
-            "uncertainty_density": T.uncertainty_density(t),
-            "repetition_score": T.repetition_score(t),
-            "leading_fragment_ratio": T.leading_fragment_ratio(t),
-            "trailing_fragment_ratio": T.trailing_fragment_ratio(t),
-        }
-    )
+    return docs.withColumn("_r", W.report(F.col(text))).select("*", "_r.*").drop("_r")
 
 
 def gibberish(weights: dict[str, float] | None = None, lexical: Column | None = None) -> Column:
