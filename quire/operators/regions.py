@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,6 +58,14 @@ def suppressed_repeats(readings: DataFrame, page: list[str], order: str, text: s
     return readings.withColumn("_s", signature).withColumn("repeat", (seen > 1) & (F.length("_s") >= 8)).drop("_s")
 
 
+def _alike(a: str, b: str) -> float:
+    """The share of matching blocks of two keys. In under 200 characters, of which none is left out as too frequent, a key that
+    stands in the other is one block."""
+    if len(b) < 200 and (a in b or b in a):
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def merged_lines(lines: DataFrame, page: str = "page") -> DataFrame:
     """lines (page, line_id, line, confidence) of overlapping tiles as one text, in the order of line_id: a line that is alike to one
     kept before (0.92 of matching blocks, 0.96 for short ones, the most alike) takes its place if it has fewer marks of
@@ -74,15 +83,28 @@ def merged_lines(lines: DataFrame, page: str = "page") -> DataFrame:
 
     def merge(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
+        places: dict[str, int] = {}  # of keys, which are distinct among what is kept
+        # lengths of keys kept, and how often each has characters (of 64 kinds): no more of two keys than both have can match
+        sizes, counts = np.empty(64, np.int64), np.empty((64, 64), np.int32)
         for r in rows:
-            if not r["line"] or not r["_key"]:
-                continue
-            found = [(1.0 if r["_key"] == k["_key"] else SequenceMatcher(None, r["_key"], k["_key"]).ratio(), -i) for i, k in enumerate(kept)]
-            found = [f for f in found if f[0] >= (SHORT_ALIKE if min(len(r["_key"]), len(kept[-f[1]]["_key"])) < SHORT else ALIKE)]
-            if not found:
-                kept.append(r | {"best": r["confidence"]})
+            key = r["_key"]
+            if not r["line"] or not key:
                 continue
-            old = kept[-max(found)[1]]
+            at = places.get(key)
+            own = np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+            if at is None:
+                n = len(kept)
+                most = 2.0 * np.minimum(counts[:n], own).sum(1) / (sizes[:n] + len(key))
+                found = [(_alike(key, kept[i]["_key"]), -i) for i in np.nonzero(most >= ALIKE)[0].tolist()]
+                found = [f for f in found if f[0] >= (SHORT_ALIKE if min(len(key), len(kept[-f[1]]["_key"])) < SHORT else ALIKE)]
+                if not found:
+                    if n == len(sizes):
+                        sizes, counts = np.concatenate([sizes, sizes]), np.concatenate([counts, counts])
+                    sizes[n], counts[n], places[key] = len(key), own, n
+                    kept.append(r | {"best": r["confidence"]})
+                    continue
+                at = -max(found)[1]
+            old = kept[at]
             if better(r, old):
                 old.update(line=r["line"], best=max(old["best"], r["confidence"]))
         return [{c: k[c] for c in columns} for k in kept]
