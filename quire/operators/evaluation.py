@@ -149,21 +149,38 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn)})
 
 
+DRAWS = 1 << 20  # held at once
+
+
+def _drawn(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """What random.Random(seed).randrange(n) draws for resamples of n items, some resamples (rows) at a time: of a stream of 32-bit
+    numbers the first bits of each, where they are less than n."""
+    kind, (*key, at), _ = random.Random(seed).getstate()
+    stream = np.random.MT19937()
+    stream.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint64), "pos": at}}
+    bits, left = n.bit_length(), np.empty(0, np.int64)
+    if bits > 32:
+        raise ValueError("more than 2^32 rows in a group")
+    rows = max(1, DRAWS // n)
+    for begin in range(0, resamples, rows):
+        many = min(rows, resamples - begin)
+        parts, held = [left], len(left)
+        while held < many * n:
+            drawn = (stream.random_raw(min(DRAWS, 2 * (many * n - held) + 64)) >> np.uint64(32 - bits)).astype(np.int64)
+            parts.append(drawn[drawn < n])
+            held += len(parts[-1])
+        every = np.concatenate(parts)
+        left = every[many * n :]
+        yield every[: many * n].reshape(many, n)
+
+
 def bootstrap_interval(samples: DataFrame, group: str, value: str, order: str, weight: str | None = None, resamples: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """group, estimate, low, high: percentile intervals by resampling each group's rows, in order, with replacement. The estimate
     is the mean of value, or with a weight the sum of values by the sum of weights (a micro rate). Groups of fewer than two rows
     have no interval; a null group is one of its own.
 
-    A group is a set of pages or queries under evaluation and is held by one task; draws are one stream of the seed, item by
-    item, so that groups of equal size draw alike."""
-    draws: dict[int, np.ndarray] = {}
-
-    def drawn(n: int) -> np.ndarray:
-        if n not in draws:
-            draws.clear()
-            pick = random.Random(seed).randrange
-            draws[n] = np.array([[pick(n) for _ in range(n)] for _ in range(max(1, resamples))])
-        return draws[n]
+    A group is a set of pages or queries under evaluation and is held by one task, but not its draws: they are one stream of the
+    seed, item by item, so that groups of equal size draw alike, and are made a few resamples at a time."""
 
     def interval(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
@@ -171,8 +188,7 @@ def bootstrap_interval(samples: DataFrame, group: str, value: str, order: str, w
         w = rows[weight].to_numpy(float) if weight else np.ones(len(x))
         low = high = None
         if len(x) >= 2:
-            at = drawn(len(x))
-            found = np.sort(x[at].sum(1) / w[at].sum(1))
+            found = np.sort(np.concatenate([x[at].sum(1) / (w[at].sum(1) if weight else len(x)) for at in _drawn(len(x), max(1, resamples), seed)]))
             tail = (1 - confidence) / 2
             low, high = found[math.floor(tail * (len(found) - 1))], found[math.ceil((1 - tail) * (len(found) - 1))]
         return pd.DataFrame({group: [rows[group].iloc[0]], "estimate": [x.sum() / w.sum()], "low": [low], "high": [high]})
