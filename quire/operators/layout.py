@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from quire.functions.text import once
 from quire.operators import geometry as G
 
 # Shares, limits and classes.
@@ -291,7 +292,7 @@ def page_box(polygon: Column, b: Column) -> Column:
 
 
 def closed(points: Column) -> Column:
-    return F.when((F.size(points) > 0) & (F.get(points, F.lit(0)) != F.element_at(points, -1)), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    return once(points, lambda p: F.when((F.size(p) > 0) & (F.get(p, F.lit(0)) != F.element_at(p, -1)), F.concat(p, F.slice(p, 1, 1))).otherwise(p))
 
 
 def in_crop(points: Column, crop_x: Column, crop_y: Column, scale: Column, width: Column, height: Column) -> Column:
@@ -309,7 +310,7 @@ def rotated(points: Column, degrees: Column, width: Column, height: Column) -> C
 
 def crossings(boundary: Column, x: Column) -> Column:
     """The heights at which an upright line cuts a boundary; an upright edge within 1 gives both its ends."""
-    pairs = F.when(F.size(boundary) >= 2, F.zip_with(F.slice(boundary, 1, F.size(boundary) - 1), F.slice(boundary, 2, F.size(boundary) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())
+    pairs = once(boundary, lambda p: F.when(F.size(p) >= 2, F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array()))
     none = F.array().cast("array<double>")
 
     def cut(e: Column) -> Column:
@@ -325,19 +326,23 @@ def crossings(boundary: Column, x: Column) -> Column:
 def baseline(boundary: Column, width: Column, height: Column, samples: int = 7) -> Column:
     """A line's base from its boundary (points of doubles): at 0.78 of its height in seven places; a flat one for none or a narrow
     boundary."""
-    xs = F.transform(boundary, lambda p: p["x"])
-    low, high = F.greatest(F.lit(0.0), F.array_min(xs)), F.least((width - 1).cast("double"), F.array_max(xs))
-    bottom = F.array_max(F.transform(boundary, lambda p: p["y"])) - F.greatest(F.lit(1.0), height * 0.12)
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    flat = F.greatest(F.lit(0.0), (height - 1) * 0.8)
 
-    def at(i: Column) -> Column:
-        x = low + (high - low) * (i / (samples - 1))
-        ys = crossings(boundary, x)
-        y = F.when(F.size(ys) >= 2, F.array_min(ys) + 0.78 * (F.array_max(ys) - F.array_min(ys))).when(F.size(ys) == 1, F.get(ys, F.lit(0))).otherwise(bottom)
-        return point(x, y)
+    def of(p: Column) -> Column:
+        xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
+        low, high = F.greatest(F.lit(0.0), F.array_min(xs)), F.least((width - 1).cast("double"), F.array_max(xs))
+        bottom = F.array_max(ys) - F.greatest(F.lit(1.0), height * 0.12)
+        return once(F.struct(low.alias("low"), high.alias("high"), bottom.alias("bottom")), lambda x: line(p, x))
 
-    flat = F.greatest(F.lit(0.0), (height - 1) * 0.8)
-    return F.when(F.size(boundary) == 0, F.array(point(F.lit(0.0), flat), point(width - 1, flat))).when(high - low < 5, F.array(point(low, bottom), point(high, bottom))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at))
+    def line(p: Column, x: Column) -> Column:
+        low, high, bottom = x["low"], x["high"], x["bottom"]
+        height_at = lambda ys: F.when(F.size(ys) >= 2, F.array_min(ys) + 0.78 * (F.array_max(ys) - F.array_min(ys))).when(F.size(ys) == 1, F.get(ys, F.lit(0))).otherwise(bottom)
+        at = lambda i: once(low + (high - low) * (i / (samples - 1)), lambda v: point(v, once(crossings(p, v), height_at)))
+        many = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at)
+        return F.when(F.size(p) == 0, F.array(point(F.lit(0.0), flat), point(width - 1, flat))).when(high - low < 5, F.array(point(low, bottom), point(high, bottom))).otherwise(many)
+
+    return once(boundary, of)
 
 
 def midpoint(points: Column) -> Column:
@@ -362,18 +367,20 @@ def band_count(height: Column) -> Column:
 def tile_boxes(b: Column, width: Column, height: Column) -> Column:
     """A block, and its bands with an overlap of 12 %, in two columns with 5 % from a width of 1100 on."""
     w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
-    n = band_count(h)
-    band = F.greatest(F.lit(1), _whole(h / n))
-    oy, ox, mid = F.greatest(F.lit(8), _whole(band * 0.12)), F.greatest(F.lit(18), _whole(w * 0.05)), b["x1"] + _int(F.floor(w / 2))
+    whole = F.array(box(b["x1"], b["y1"], b["x2"], b["y2"]))
 
-    def of(i: Column) -> Column:
-        top = F.when(i == 0, b["y1"]).otherwise(F.greatest(b["y1"], b["y1"] + i * band - oy))
-        bottom = F.when(i == n - 1, b["y2"]).otherwise(F.least(b["y2"], b["y1"] + (i + 1) * band + oy))
-        two = F.array(clipped(b["x1"], top, mid + ox, bottom, width, height), clipped(mid - ox, top, b["x2"], bottom, width, height))
-        return F.when(w >= 1100, two).otherwise(F.array(box(b["x1"], top, b["x2"], bottom)))
+    def tiles(m: Column) -> Column:
+        n, band = m["n"], m["band"]
+        oy, ox, mid = F.greatest(F.lit(8), _whole(band * 0.12)), F.greatest(F.lit(18), _whole(w * 0.05)), b["x1"] + _int(F.floor(w / 2))
+        edges = lambda i: F.struct(
+            F.when(i == 0, b["y1"]).otherwise(F.greatest(b["y1"], b["y1"] + i * band - oy)).alias("top"), F.when(i == n - 1, b["y2"]).otherwise(F.least(b["y2"], b["y1"] + (i + 1) * band + oy)).alias("bottom")
+        )
+        two = lambda y: F.array(clipped(b["x1"], y["top"], mid + ox, y["bottom"], width, height), clipped(mid - ox, y["top"], b["x2"], y["bottom"], width, height))
+        one = lambda y: F.array(box(b["x1"], y["top"], b["x2"], y["bottom"]))
+        of = lambda i: once(edges(i), lambda y: F.when(w >= 1100, two(y)).otherwise(one(y)))
+        return F.when((F.least(w, h) < 120) | (n <= 1), whole).otherwise(F.concat(whole, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of))))
 
-    whole = F.array(box(b["x1"], b["y1"], b["x2"], b["y2"]))
-    return F.when((F.least(w, h) < 120) | (n <= 1), whole).otherwise(F.concat(whole, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of))))
+    return once(once(band_count(h), lambda n: F.struct(n.alias("n"), F.greatest(F.lit(1), _whole(h / n)).alias("band"))), tiles)
 
 
 def tile_clip(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
@@ -384,17 +391,23 @@ def tile_clip(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, hei
 
 def grid(rows: int, columns: int, width: Column, height: Column, overlap: float = 0.15, shift: float = 0.0) -> Column:
     """The boxes of a grid that covers a page, neighbours overlapping by a share of a tile, 4 pixels at least."""
-    th, tw = F.greatest(F.lit(1), _int(F.floor(height / rows))), F.greatest(F.lit(1), _int(F.floor(width / columns)))
-    oy, ox, off = F.greatest(F.lit(4), _int(F.floor(th * overlap))), F.greatest(F.lit(4), _int(F.floor(tw * overlap))), _int(F.floor(th * shift))
-    out = []
-    for r in range(rows):
-        for c in range(columns):
-            y1 = F.lit(0) if r == 0 else F.greatest(F.lit(0), r * th + off - oy)
-            y2 = height if r == rows - 1 else F.least(height, (r + 1) * th + off + oy)
-            x1 = F.lit(0) if c == 0 else F.greatest(F.lit(0), c * tw - ox)
-            x2 = width if c == columns - 1 else F.least(width, (c + 1) * tw + ox)
-            out.append(tile_clip(x1, y1, x2, y2, width, height))
-    return F.array(*out)
+    side = lambda most, parts: F.greatest(F.lit(1), _int(F.floor(most / parts)))
+    over = lambda size: F.greatest(F.lit(4), _int(F.floor(size * overlap)))
+
+    def tiles(m: Column) -> Column:
+        th, tw, oy, ox, off = (m[c] for c in ("th", "tw", "oy", "ox", "off"))
+        out = []
+        for r in range(rows):
+            for c in range(columns):
+                y1 = F.lit(0) if r == 0 else F.greatest(F.lit(0), r * th + off - oy)
+                y2 = height if r == rows - 1 else F.least(height, (r + 1) * th + off + oy)
+                x1 = F.lit(0) if c == 0 else F.greatest(F.lit(0), c * tw - ox)
+                x2 = width if c == columns - 1 else F.least(width, (c + 1) * tw + ox)
+                out.append(tile_clip(x1, y1, x2, y2, width, height))
+        return F.array(*out)
+
+    sizes = F.struct(side(height, rows).alias("th"), side(width, columns).alias("tw"))
+    return once(once(sizes, lambda s: F.struct(s["th"].alias("th"), s["tw"].alias("tw"), over(s["th"]).alias("oy"), over(s["tw"]).alias("ox"), _int(F.floor(s["th"] * shift)).alias("off"))), tiles)
 
 
 def same_boxes(a: Column, b: Column) -> Column:
@@ -421,15 +434,17 @@ def expanded(tiles: Column, width: Column, height: Column, share: float = 0.22)
 
 
 def _clusters(values: Column, apart: int) -> Column:
-    ordered = F.array_sort(F.array_distinct(values))
-    steps = F.filter(F.zip_with(F.slice(ordered, 2, F.greatest(F.lit(0), F.size(ordered) - 1)), F.slice(ordered, 1, F.greatest(F.lit(0), F.size(ordered) - 1)), lambda b, a: b - a), lambda s: s > apart)
-    return F.when(F.size(values) > 0, 1 + F.size(steps)).otherwise(0)
+    def of(v: Column) -> Column:
+        steps = lambda o: F.filter(F.zip_with(F.slice(o, 2, F.greatest(F.lit(0), F.size(o) - 1)), F.slice(o, 1, F.greatest(F.lit(0), F.size(o) - 1)), lambda b, a: b - a), lambda s: s > apart)
+        return F.when(F.size(v) > 0, 1 + F.size(once(F.array_sort(F.array_distinct(v)), steps))).otherwise(0)
+
+    return once(values, of)
 
 
 def inferred_grid(tiles: Column) -> Column:
     """Rows and columns of tiles by their centres, which part where they are over 50 pixels apart: 2x3."""
-    middle = lambda a, b: F.transform(tiles, lambda t: F.floor((t[a] + t[b]) / 2))
-    return F.concat(_clusters(middle("y1", "y2"), 50).cast("string"), F.lit("x"), _clusters(middle("x1", "x2"), 50).cast("string"))
+    middle = lambda ts, a, b: F.transform(ts, lambda t: F.floor((t[a] + t[b]) / 2))
+    return once(tiles, lambda ts: F.concat(_clusters(middle(ts, "y1", "y2"), 50).cast("string"), F.lit("x"), _clusters(middle(ts, "x1", "x2"), 50).cast("string")))
 
 
 def seams(tiles: Column, axis: str = "y") -> Column:
@@ -444,28 +459,31 @@ def seams(tiles: Column, axis: str = "y") -> Column:
         near = b[a1] - a[a2] <= 0.25 * F.least(a[a2] - a[a1], b[a2] - b[a1])
         return (a[a1] + a[a2] < b[a1] + b[a2]) & beside & near
 
-    found = F.flatten(F.transform(tiles, lambda a: F.transform(F.filter(tiles, lambda b: meets(a, b)), lambda b: _int(F.floor((a[a2] + b[a1]) / 2)))))
+    found = once(tiles, lambda ts: F.flatten(F.transform(ts, lambda a: F.transform(F.filter(ts, lambda b: meets(a, b)), lambda b: _int(F.floor((a[a2] + b[a1]) / 2))))))
     empty = F.array().cast("array<int>")
     return F.aggregate(F.array_sort(found), empty, lambda m, s: F.when((F.size(m) > 0) & (s - F.coalesce(F.element_at(m, -1), F.lit(0)) < LEAST_GAP), m).otherwise(F.concat(m, F.array(s))))
 
 
 def _edges(at: Column, most: Column, band: int) -> Column:
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(at, lambda s: F.greatest(F.lit(0), s - band)), F.transform(at, lambda s: F.least(most, s + band)), F.array(most))))
-    cut = F.aggregate(F.slice(bounds, 2, F.greatest(F.lit(0), F.size(bounds) - 1)), F.array(F.lit(0)), lambda e, y: F.when(y - F.element_at(e, -1) >= LEAST_BAND, F.concat(e, F.array(y))).otherwise(e))
-    return F.when(F.element_at(cut, -1) != most, F.concat(cut, F.array(most))).otherwise(cut)
+    cut = lambda b: F.aggregate(F.slice(b, 2, F.greatest(F.lit(0), F.size(b) - 1)), F.array(F.lit(0)), lambda e, y: F.when(y - F.element_at(e, -1) >= LEAST_BAND, F.concat(e, F.array(y))).otherwise(e))
+    return once(once(bounds, cut), lambda e: F.when(F.element_at(e, -1) != most, F.concat(e, F.array(most))).otherwise(e))
 
 
 def seam_bands(tiles: Column, width: Column, height: Column, band: int = SEAM_BAND) -> Column:
     """Boxes between the seams of tiles, cut at a band on either side, without slivers and without bands on a seam (unless none
     else is left); without seams null."""
-    ys, xs = seams(tiles, "y"), seams(tiles, "x")
-    ye, xe = _edges(ys, height, band), _edges(xs, width, band)
-    spans = lambda e: F.zip_with(F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    every = F.flatten(F.transform(spans(ye), lambda y: F.transform(spans(xe), lambda x: tile_clip(x["a"], y["a"], x["b"], y["b"], width, height))))
-    boxes = F.filter(every, lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) >= LEAST_BAND**2)
-    on_seam = lambda b: F.exists(ys, lambda s: (b["y1"] <= s + band) & (b["y2"] >= s - band) & (b["y2"] - b["y1"] < 3 * band))
-    left = F.filter(boxes, lambda b: ~on_seam(b))
-    return F.when((F.size(ys) > 0) | (F.size(xs) > 0), F.when(F.size(left) > 0, left).otherwise(boxes))
+    spans = lambda edges: once(edges, lambda e: F.zip_with(F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
+    def of(s: Column) -> Column:
+        ys, xs = s["ys"], s["xs"]
+        crossed = lambda x_spans: F.flatten(F.transform(spans(_edges(ys, height, band)), lambda y: F.transform(x_spans, lambda x: tile_clip(x["a"], y["a"], x["b"], y["b"], width, height))))
+        boxes = F.filter(once(spans(_edges(xs, width, band)), crossed), lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) >= LEAST_BAND**2)
+        on_seam = lambda b: F.exists(ys, lambda s: (b["y1"] <= s + band) & (b["y2"] >= s - band) & (b["y2"] - b["y1"] < 3 * band))
+        without = lambda every: once(F.filter(every, lambda b: ~on_seam(b)), lambda left: F.when(F.size(left) > 0, left).otherwise(every))
+        return F.when((F.size(ys) > 0) | (F.size(xs) > 0), once(boxes, without))
+
+    return once(once(tiles, lambda ts: F.struct(seams(ts, "y").alias("ys"), seams(ts, "x").alias("xs"))), of)
 
 
 def retry_tiles(tiles: Column, width: Column, height: Column) -> Column:

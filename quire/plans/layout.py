@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import layout as Y
 from quire.operators.geometry import side
 from quire.plans.queries import BOXES, INTER, _boxes, query, table
+from quire.session import spread
 
 NAMES = ("Main script black", "MarginTextZone", "DefaultLine", "NumberingZone", "Table", "MainZone", "Embellished", "DropCapitalZone", "Diagram", "GraphicZone", "Page Number")
 NAMED = f"named AS (SELECT *, [{', '.join(repr(n) for n in NAMES)}][CAST(box_id % 11 AS INTEGER) + 1] AS name FROM boxes)"
@@ -148,7 +149,7 @@ SIZES = "p AS (SELECT p_partkey AS k, CAST(60 + p_size * 40 AS INTEGER) AS w, CA
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     b = Y.box(k % 300, k % 200, k % 300 + 10 + s * 9, k % 200 + 5 + s * 7)
-    return table(spark, d, "part").select(k.alias("k"), (60 + s * 40).cast("int").alias("w"), (80 + s * 50).cast("int").alias("h"), b.alias("b"))
+    return spread(table(spark, d, "part")).select(k.alias("k"), (60 + s * 40).cast("int").alias("w"), (80 + s * 50).cast("int").alias("h"), b.alias("b"))
 
 
 def _flat(df: DataFrame, value: Column) -> DataFrame:
