@@ -28,6 +28,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_quantity") / 53.7).alias("label"), (F.col("l_discount") * 10).alias("alias"), (F.col("l_returnflag") != "R").alias("typed"), (F.col("l_tax") * 10).alias("context"),
         ((F.col("l_linenumber") - 2) * 0.05).alias("domain"), _of(("wikidata", "viaf", "geonames", "other"), "l_partkey").alias("source"), _of(("person", "place", "work", "date"), "l_orderkey").alias("kind"),
         _of(("medieval king of Logres", "a given name", "singer", "Knight of the Round Table"), "l_suppkey").alias("description"), (F.col("l_linenumber") % 2 == 0).alias("together"),
+        F.when(F.col("l_linenumber") == 1, "Person name").otherwise("other").alias("named"),
     )
 
 
@@ -44,7 +45,7 @@ PRIOR = f"CASE WHEN {SOURCES} = 'geonames' AND {KINDS} = 'place' THEN 0.04 WHEN
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     rows = _candidates(spark, d).withColumn("base", P.base_score(c("label"), c("alias"), c("typed"), c("context"), c("domain")))
-    prior = P.label_prior(c("source"), c("kind"), F.when((c("candidate_id") / 10000000000).cast("long") == 1, "Person name").otherwise("other"))
+    prior = P.label_prior(c("source"), c("kind"), c("named"))
     score = P.final_score(c("base"), c("source"), F.lit(None).cast("double"), prior, c("together"), c("description"))
     return rows.select("mention_id", "candidate_id", score.alias("score"))
 
