@@ -120,10 +120,7 @@ def agreement(readings: DataFrame, page: str, reading: str, text: str = "text")
 
 def text_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the mean token quality, the share of low tokens and HIGH, MEDIUM or LOW."""
-    words = F.filter(F.split(F.regexp_replace(T.text_or_empty(F.col(text)), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: F.length(t) >= 2)
-    scores = F.transform(words, T.token_quality_score)
-    both = T.once(scores, lambda s: F.struct(T.mean(s).alias("avg"), T.share(F.size(F.filter(s, lambda x: x < 0.30 - 1e-9)), F.size(s)).alias("low"), F.size(s).alias("n")))
-    out = docs.withColumn("_q", both).withColumns({"token_quality": F.col("_q.avg"), "low_frac": F.col("_q.low")})
+    out = docs.withColumn("_q", W.token_qualities(F.col(text))).withColumns({"token_quality": F.col("_q.avg"), "low_frac": F.col("_q.low")})
     kind = F.when(F.col("_q.n") == 0, "LOW").when((F.col("_q.avg") >= 0.55) & (F.col("_q.low") < 0.15), "HIGH").when((F.col("_q.avg") >= 0.35) & (F.col("_q.low") < 0.40), "MEDIUM").otherwise("LOW")
     return out.withColumn("text_quality", kind).drop("_q")
 
