@@ -129,3 +129,15 @@ def test_f10_means_on_a_limit_are_exact(spark):
     texts = [" ".join(["maison"] * 7 * k + ["bcd12"] * 8 * k) for k in range(1, 40)] + [" ".join(["bcd12"] * 2 * k + ["bcd"] * 3 * k) for k in range(1, 40)]
     got = [r["token_quality"] for r in Q.text_quality(docs_of(spark, [*texts, "", None])).orderBy("doc_id").collect()]
     assert got == [0.55] * 39 + [0.35] * 39 + [0.0] * 2
+
+
+def test_f11_bm25_held_equals_joined(spark):
+    rng = random.Random(4)
+    words = ["roi", "l'évesque", "ae", "x", "maison", "œuvre", "the-\nre", "Iohannes", "wi"]
+    texts = docs_of(spark, [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(300)] + ["roi roi"] * 20 + [None, ""]).repartition(3)
+    asked = spark.createDataFrame([(1, "roi maison"), (1, "roi"), (2, "œuvre there"), (3, "zzzz"), (4, None)], "q int, text string")
+    for terms in (T.search_terms, T.word_terms):
+        held = R.bm25(texts, asked, ["doc_id"], "q", terms, 7)
+        joined = R._bm25_joined(texts, asked.filter("text <> 'roi' or text is null"), ["doc_id"], "q", terms, 7)
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.select(held.columns).collect()))
+        assert "Generate" not in held._jdf.queryExecution().executedPlan().toString()
