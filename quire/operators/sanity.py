@@ -1,12 +1,17 @@
 """Sanity of transcriptions: odd tokens and lines, masks for them, confidence and choices that follow.
 
-All are expressions of their own row, so each takes one scan."""
+All are functions of their own row, so each takes one scan; what is said of tokens is found once for each distinct one."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import rows as W
 from quire.functions import text as T
 
 # Letter pairs that no language here has, numerals, limits.
@@ -14,54 +19,73 @@ IMPROBABLE = ("qj", "vvv", "iii", "kk", "iiit", "xq", "jq", "zx", "qx")
 ROMAN = "(?i)^[MDCLXVI]{2,}$"
 YEAR = "(?i)^(anno|an|m[cdxlvi]+)$"
 CONSONANTS = "[bcdfghjklmnpqrstvwxyz]"
-HARMLESS = r"[\p{L}?…\[\]'\-–—.,;:]"
 SINGLE_LIMIT, DIGIT_LIMIT, JUNK_LIMIT = 0.30, 0.25, 0.35
 EDIT_LIMIT, DRIFT_LIMIT, RETENTION_LEAST, CHURN_LIMIT = 0.40, 0.30, 0.50, 0.50
 
 
-def vowel_share(token: Column) -> Column:
-    return T.share(T.vowel_count(F.lower(token)), T.letters(token))
+_FIVE, _FOUR = (re.compile(CONSONANTS + n) for n in ("{5,}", "{4,}"))
+_PAIRS, _THRICE, _ROMAN, _YEAR, _HARMLESS = (re.compile(x) for x in ("|".join(IMPROBABLE), r"(.)\1{2,}", ROMAN, YEAR, r"[?…\[\]'\-–—.,;:]"))
+_VOWELS = frozenset(T.VOWELS)
 
 
-def _thrice(low: Column) -> Column:
-    return low.rlike(r"(.)\1{2,}")
+def vowel_share(token: str) -> float:
+    n = W.n_letters(token)
+    return sum(c in _VOWELS for c in token.lower()) / n if n else 0.0
 
 
-def is_weird(token: Column) -> Column:
+def is_weird(token: str) -> bool:
     """Ten letters or more with few vowels, five consonants in a row, an improbable pair, or a character three times over
     in what is no numeral; tokens without letters aren't."""
-    low, n = F.lower(token), T.letters(token)
-    odd = ((n >= 10) & (vowel_share(token) < 0.20)) | low.rlike(CONSONANTS + "{5,}") | low.rlike("|".join(IMPROBABLE)) | (_thrice(low) & ~token.rlike(ROMAN))
-    return (n > 0) & odd
+    low, n = token.lower(), W.n_letters(token)
+    return n > 0 and bool((n >= 10 and vowel_share(token) < 0.20) or _FIVE.search(low) or _PAIRS.search(low) or (_THRICE.search(low) and not _ROMAN.search(token)))
 
 
-def is_junk(token: Column) -> Column:
+def is_junk(token: str) -> bool:
     """Two characters or more of which over 0.4 are neither letters nor plain punctuation."""
-    other = F.length(token) - F.regexp_count(token, F.lit(HARMLESS))
-    return (F.length(token) >= 2) & (token != "[…]") & (other / F.length(token) > 0.40)
+    other = len(token) - W.n_letters(token) - len(_HARMLESS.findall(token))
+    return len(token) >= 2 and token != "[…]" and other / len(token) > 0.40
 
 
-def is_suspicious(token: Column) -> Column:
+def is_suspicious(token: str) -> bool:
     """Tokens to be masked: digits among letters that are no numeral or year, twelve letters or more with few vowels, improbable
     pairs, characters three times over, five consonants in a row."""
-    low, n = F.lower(token), T.letters(token)
-    numeral = token.rlike(ROMAN)
-    digits = token.rlike(r"\p{Nd}") & ~numeral & ~token.rlike(YEAR) & ~F.regexp_replace(token, r"[^\p{L}]", "").rlike(ROMAN)
-    pairs = (n >= 3) & (low.rlike("|".join(IMPROBABLE)) | (_thrice(low) & ~numeral))
-    return (n > 0) & (digits | ((n >= 12) & (vowel_share(token) < 0.20)) | pairs | (low.rlike(CONSONANTS + "{5,}") & ~numeral))
+    low, n = token.lower(), W.n_letters(token)
+    if not n:
+        return False
+    numeral = bool(_ROMAN.search(token))
+    if any(map(str.isdecimal, token)) and not numeral and not _YEAR.search(token) and not _ROMAN.search("".join(filter(str.isalpha, token))):
+        return True
+    if n >= 3 and (_PAIRS.search(low) or (_THRICE.search(low) and not numeral)):
+        return True
+    return bool((n >= 12 and vowel_share(token) < 0.20) or (_FIVE.search(low) and not numeral))
+
+
+METRICS = ("single_char_ratio", "digit_ratio", "weird_ratio", "junk_ratio", "uncertainty_marker_ratio")
+_MEASURED = W.Memo(lambda t: (len(t) == 1, any(map(str.isdecimal, t)), is_weird(t), is_junk(t), "?" in t or t == "[…]"))
+_SUSPICIOUS = W.Memo(is_suspicious)
+
+
+def _metrics_of(text: str | None) -> tuple[float, ...]:
+    words = [w for w in W.by_line(text or "") if w]
+    counts, n = [0] * len(METRICS), sum(map(len, words))
+    for t, c in Counter(t for w in words for t in w).items():
+        for k, met in enumerate(_MEASURED[t]):
+            if met:
+                counts[k] += c
+    return *[c / max(n, 1) for c in counts], sum(len(w[0]) == 1 for w in words) / max(len(words), 1)
+
+
+def _metric_rows(texts: list) -> pa.Array:
+    return W.structs((*METRICS, "leading_single_ratio"), [_metrics_of(t) for t in texts])
+
+
+_metrics = W.mapped(_metric_rows, W.doubles((*METRICS, "leading_single_ratio")))
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with six ratios: single characters, digits, weird and junk tokens and marks of uncertainty among tokens, and lines
     that a single character begins. A text without tokens has 0 in all."""
-    n = lambda ts: F.greatest(F.size(ts), F.lit(1))
-    some = lambda ts, f: F.size(F.filter(ts, f)) / n(ts)
-    of = lambda ts: F.struct(
-        some(ts, lambda t: F.length(t) == 1).alias("single_char_ratio"), some(ts, lambda t: t.rlike(r"\p{Nd}")).alias("digit_ratio"), some(ts, is_weird).alias("weird_ratio"),
-        some(ts, is_junk).alias("junk_ratio"), some(ts, lambda t: t.contains("?") | (t == "[…]")).alias("uncertainty_marker_ratio"),
-    )
-    starts = T.once(T.full_lines(F.col(text)), lambda rows: some(rows, lambda x: x.rlike(r"^\S(\s|$)")))
-    return docs.withColumn("_s", T.once(T.tokens(F.col(text)), of)).withColumn("leading_single_ratio", starts).select("*", "_s.*").drop("_s")
+    return docs.withColumn("_s", _metrics(F.col(text))).select("*", "_s.*").drop("_s")
 
 
 def label() -> Column:
@@ -101,40 +125,71 @@ def better_reading(a: Column, a_confidence: Column, b: Column, b_confidence: Col
     return F.when(x == "", b).when(y == "", a).when(first, a).otherwise(b)
 
 
-def masked_lines(text: Column, most: float = 0.30) -> Column:
-    """A text with every line masked of whose tokens more than `most` are suspicious."""
+MOST = 0.30
+
 
-    def line(x: Column) -> Column:
-        return T.once(T.tokens(x), lambda ts: F.when((F.size(ts) > 0) & (F.size(F.filter(ts, is_suspicious)) / F.greatest(F.size(ts), F.lit(1)) > most), "[…]").otherwise(x))
+def _masked(text: str | None) -> str:
+    text = text or ""
+    return "\n".join("[…]" if w and sum(_SUSPICIOUS[t] for t in w) / len(w) > MOST else x for x, w in zip(text.split("\n"), W.by_line(text), strict=True))
 
-    return F.array_join(F.transform(T.lines(text), line), "\n")
 
+def _masked_rows(texts: list) -> pa.Array:
+    return pa.array([_masked(t) for t in texts], pa.string())
 
-def suspicion(token: Column) -> Column:
+
+#: A text with every line masked of whose tokens more than 0.30 are suspicious.
+masked_lines = W.mapped(_masked_rows, "string")
+
+
+def suspicion(token: str) -> float:
     """1 for a suspicious token, 0.5 for six letters or more with few vowels, 0.3 for four consonants in a row."""
-    n = T.letters(token)
-    few = F.when((n >= 6) & (vowel_share(token) < 0.25), 0.5).otherwise(0.0)
-    run = F.when((n >= 3) & F.lower(token).rlike(CONSONANTS + "{4,}"), 0.3).otherwise(0.0)
-    return F.when(token.isin("[…]", "?"), 0.0).otherwise(F.when(is_suspicious(token), 1.0).otherwise(0.0) + few + run)
+    if token in ("[…]", "?"):
+        return 0.0
+    n = W.n_letters(token)
+    return (1.0 if is_suspicious(token) else 0.0) + (0.5 if n >= 6 and vowel_share(token) < 0.25 else 0.0) + (0.3 if n >= 3 and _FOUR.search(token.lower()) else 0.0)
+
+
+_SUSPICION = W.Memo(suspicion)
+
+
+def _forced(text: str | None, needs: bool | None) -> dict:
+    if not needs:
+        return {"marked": text, "forced": 0}
+    lines, words = text.split("\n"), W.by_line(text)
+    found = sorted((-_SUSPICION[t], i, k) for i, w in enumerate(words) for k, t in enumerate(w) if _SUSPICION[t] > 0)
+    if not found:
+        return {"marked": text.rstrip(" ") + " [?]", "forced": 1}
+    top = found[: min(max(1, int(len(found) * 0.10)), 3)]
+    for _, i, k in top:
+        words[i][k] += "?"
+    for i in {i for _, i, _ in top}:
+        lines[i] = " ".join(words[i])
+    return {"marked": "\n".join(lines), "forced": len(top)}
+
+
+_FORCED = pa.struct([("marked", pa.string()), ("forced", pa.int32())])
+
+
+def _forced_rows(texts: list, needs: list) -> pa.Array:
+    return pa.array([_forced(t, n) for t, n in zip(texts, needs, strict=True)], _FORCED)
+
+
+_forced_marks = W.mapped(_forced_rows, "struct<marked: string, forced: int>")
 
 
 def forced_marks(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (with metrics()) with marked and forced: a noisy text without a mark of uncertainty gets ? behind its most suspicious
     tokens, a tenth of them, one to three, the first of equals; or [?] at its end if none is suspicious."""
     needs = (F.col("uncertainty_marker_ratio") == 0) & ((F.col("weird_ratio") > 0.05) | (F.col("junk_ratio") > 0.03))
-    rows = F.transform(T.lines(F.col(text)), lambda x: T.tokens(x))
-    place = F.flatten(F.transform(rows, lambda ts, i: F.transform(ts, lambda t, k: F.struct((-suspicion(t)).alias("s"), i.alias("i"), k.alias("k")))))
+    return docs.withColumn("_m", _forced_marks(F.col(text), needs)).select("*", "_m.*").drop("_m")
+
 
-    def mark(found: Column) -> Column:
-        n = F.least(F.greatest(F.lit(1), F.floor(F.size(found) * 0.10)), F.lit(3)).cast("int")
-        top = F.slice(found, 1, n)
-        lines = F.transform(T.lines(F.col(text)), lambda x, i: F.when(F.exists(top, lambda p: p["i"] == i), F.array_join(F.transform(T.tokens(x), lambda t, k: F.when(F.exists(top, lambda p: (p["i"] == i) & (p["k"] == k)), F.concat(t, F.lit("?"))).otherwise(t)), " ")).otherwise(x))
-        none = F.concat(F.rtrim(F.col(text)), F.lit(" [?]"))
-        return F.struct(F.when(F.size(found) == 0, none).otherwise(F.array_join(lines, "\n")).alias("marked"), F.when(F.size(found) == 0, 1).otherwise(n).alias("forced"))
+def _counted_rows(texts: list) -> pa.Array:
+    return pa.array([[{"t": t, "suspicious": _SUSPICIOUS[t], "n": n} for t, n in Counter(W.splitter(x or "")(x or "")).items()] for x in texts], pa.list_(pa.struct([("t", pa.string()), ("suspicious", pa.bool_()), ("n", pa.int64())])))
 
-    marked = T.once(F.array_sort(F.filter(place, lambda p: p["s"] < 0)), mark)
-    out = docs.withColumn("_m", F.when(needs, marked).otherwise(F.struct(F.col(text).alias("marked"), F.lit(0).alias("forced"))))
-    return out.select("*", "_m.*").drop("_m")
+
+#: The distinct tokens of a text with whether each is suspicious and how often it occurs.
+counted_tokens = W.mapped(_counted_rows, "array<struct<t: string, suspicious: boolean, n: bigint>>")
 
 
 def line_duplicates(text: Column) -> Column:
@@ -174,20 +229,40 @@ def is_low_quality(text: Column, script: Column) -> Column:
     return (T.stripped(t) == "") | (garbage_ratio(t) >= 0.22) | (script_drift(t, script) >= 0.20) | repeats
 
 
-def junk_ratio(text: Column) -> Column:
-    """Tokens of three characters or more that have fewer than three letters, few vowels or many signs, of all such."""
+def _is_junk_word(token: str) -> bool:
+    n = W.n_letters(token)
+    return n < 3 or vowel_share(token) < 0.20 or (len(token) - n) / len(token) > 0.30
+
 
-    def junk(t: Column) -> Column:
-        n = T.letters(t)
-        return (n < 3) | (vowel_share(t) < 0.20) | ((F.length(t) - n) / F.length(t) > 0.30)
+_JUNK = W.Memo(lambda t: (W.n_letters(t), len(t) >= 3, len(t) >= 3 and _is_junk_word(t)))
 
-    return T.once(F.filter(T.tokens(text), lambda t: F.length(t) >= 3), lambda ts: T.share(F.size(F.filter(ts, junk)), F.size(ts)))
+
+def _junk_of(text: str | None) -> tuple[float, float]:
+    letters = long = junk = 0
+    for t, c in Counter(W.splitter(text or "")(text or "")).items():
+        a, b, d = _JUNK[t]
+        letters += a * c
+        long += b * c
+        junk += d * c
+    return junk / long if long else 0.0, float(letters)
+
+
+def _junk_rows(texts: list) -> pa.Array:
+    return W.structs(("junk", "letters"), [_junk_of(t) for t in texts])
+
+
+_junk = W.mapped(_junk_rows, W.doubles(("junk", "letters")))
+
+
+def junk_ratio(text: Column) -> Column:
+    """Tokens of three characters or more that have fewer than three letters, few vowels or many signs, of all such."""
+    return _junk(text)["junk"]
 
 
 def capped_confidence(confidence: Column, text: Column) -> Column:
     """Confidence of 0.75 at most for much junk (less for a short text), of 0.85 for some."""
-    much = lambda j: (j >= 0.35) | ((T.letters(text) < 120) & (j >= 0.25))
-    return T.once(junk_ratio(text), lambda j: F.when(much(j), F.least(confidence, F.lit(0.75))).when(j >= 0.20, F.least(confidence, F.lit(0.85))).otherwise(confidence))
+    much = lambda x: (x["junk"] >= 0.35) | ((x["letters"] < 120) & (x["junk"] >= 0.25))
+    return T.once(_junk(text), lambda x: F.when(much(x), F.least(confidence, F.lit(0.75))).when(x["junk"] >= 0.20, F.least(confidence, F.lit(0.85))).otherwise(confidence))
 
 
 def tile_quality(text: Column) -> Column:

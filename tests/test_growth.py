@@ -141,3 +141,10 @@ def test_f11_bm25_held_equals_joined(spark):
         joined = R._bm25_joined(texts, asked.filter("text <> 'roi' or text is null"), ["doc_id"], "q", terms, 7)
         assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.select(held.columns).collect()))
         assert "Generate" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f12_forced_marks_by_hand(spark):
+    docs = docs_of(spark, ["nbcdfgh xqxq a\n kkk the", "house river", "nbcdfgh ?", None, "#### ####"])
+    got = [(r["forced"], r["marked"]) for r in S.forced_marks(S.metrics(docs)).orderBy("doc_id").collect()]
+    assert got == [(1, "nbcdfgh? xqxq a\n kkk the"), (0, "house river"), (0, "nbcdfgh ?"), (0, None), (1, "#### #### [?]")]
+    assert "lambda" not in S.forced_marks(S.metrics(docs))._jdf.queryExecution().executedPlan().toString()
