@@ -148,3 +148,10 @@ def test_f12_forced_marks_by_hand(spark):
     got = [(r["forced"], r["marked"]) for r in S.forced_marks(S.metrics(docs)).orderBy("doc_id").collect()]
     assert got == [(1, "nbcdfgh? xqxq a\n kkk the"), (0, "house river"), (0, "nbcdfgh ?"), (0, None), (1, "#### #### [?]")]
     assert "lambda" not in S.forced_marks(S.metrics(docs))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f13_fused_rankings_come_from_held_terms(spark):
+    docs, asked = docs_of(spark, ["roi", "roi maison", "maison"]), spark.createDataFrame([(1, "roi")], "q int, text string")
+    df = R.reciprocal_rank_fusion([R.bm25(docs, asked, ["doc_id"], "q", t, 50) for t in (T.search_terms, T.word_terms)], "q", ["doc_id"])
+    assert [(r["doc_id"], r["rank"], r["score"]) for r in df.orderBy("rank").collect()] == [(0, 1, round(2 / 61, 9)), (1, 2, round(2 / 62, 9))]
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
