@@ -155,3 +155,10 @@ def test_f13_fused_rankings_come_from_held_terms(spark):
     df = R.reciprocal_rank_fusion([R.bm25(docs, asked, ["doc_id"], "q", t, 50) for t in (T.search_terms, T.word_terms)], "q", ["doc_id"])
     assert [(r["doc_id"], r["rank"], r["score"]) for r in df.orderBy("rank").collect()] == [(0, 1, round(2 / 61, 9)), (1, 2, round(2 / 62, 9))]
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f14_spans_stand_where_they_say(spark):
+    texts = ["l'Évesque—vint à\nParis […] 12 x-y", "𝔄 été 𝔄 Ῥóδoς", "", None]
+    found = M.token_spans(docs_of(spark, texts))
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["surface"] for r in found.collect()) and found.filter("doc_id = 0").count() == 5
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
