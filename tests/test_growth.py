@@ -188,3 +188,11 @@ def test_f15_contrasts_equal_plain_shuffles_many_times_faster():
     assert X.contrasts_of(texts) == [plain(t) for t in texts]
     # a text of its words takes a fraction of the time of its shuffles one by one
     assert seconds(lambda: X.contrasts_of(texts[:40])) < seconds(lambda: [X._plain_shuffles(t, s) for t in texts[:40] for s in range(8)])
+
+
+def test_f16_baselines_name_each_part_once(spark):
+    box = spark.createDataFrame([(0.0, 0.0, 60.0, 10.0)], "a double, b double, c double, d double")
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    df = box.select(Y.baseline(Y.closed(F.array(p("a", "b"), p("c", "b"), p("c", "d"), p("a", "d"))), F.lit(120), F.lit(90)).alias("l"))
+    assert [(q["x"], round(q["y"], 6)) for q in df.first()["l"]] == [(10.0 * k, 7.8) for k in range(7)]
+    assert nodes(df) < 20_000
