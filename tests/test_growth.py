@@ -196,3 +196,8 @@ def test_f16_baselines_name_each_part_once(spark):
     df = box.select(Y.baseline(Y.closed(F.array(p("a", "b"), p("c", "b"), p("c", "d"), p("a", "d"))), F.lit(120), F.lit(90)).alias("l"))
     assert [(q["x"], round(q["y"], 6)) for q in df.first()["l"]] == [(10.0 * k, 7.8) for k in range(7)]
     assert nodes(df) < 20_000
+
+
+def test_f17_gates_of_a_report_run_in_one_function(spark):
+    plan = Q.gates(Q.report(docs_of(spark, ODD)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "regexp_extract_all" not in plan
