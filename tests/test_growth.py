@@ -201,3 +201,9 @@ def test_f16_baselines_name_each_part_once(spark):
 def test_f17_gates_of_a_report_run_in_one_function(spark):
     plan = Q.gates(Q.report(docs_of(spark, ODD)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "regexp_extract_all" not in plan
+
+
+def test_f18_words_alone_rank_without_rows_for_terms(spark):
+    df, notes = R.retrieve(spark.createDataFrame([(7, "maison roi")], "q int, text string"), docs_of(spark, ["roi", "maison du roi", "le"]), None, None, "q", "doc_id")
+    assert [(r["doc_id"], r["rank"]) for r in df.orderBy("rank").collect()] == [(1, 1), (0, 2)] and notes == ["dense ranking unavailable"]
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
