@@ -207,3 +207,9 @@ def test_f18_words_alone_rank_without_rows_for_terms(spark):
     df, notes = R.retrieve(spark.createDataFrame([(7, "maison roi")], "q int, text string"), docs_of(spark, ["roi", "maison du roi", "le"]), None, None, "q", "doc_id")
     assert [(r["doc_id"], r["rank"]) for r in df.orderBy("rank").collect()] == [(1, 1), (0, 2)] and notes == ["dense ranking unavailable"]
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f19_label_of_odd_texts(spark):
+    got = [r["quality_label"] for r in Q.report(docs_of(spark, ODD)).orderBy("doc_id").collect()]
+    assert got[0] == got[7] == got[8] == "UNRELIABLE" and got[1] == "RISKY"
+    assert "transform" not in Q.report(docs_of(spark, ODD))._jdf.queryExecution().executedPlan().toString()
