@@ -213,3 +213,12 @@ def test_f19_label_of_odd_texts(spark):
     got = [r["quality_label"] for r in Q.report(docs_of(spark, ODD)).orderBy("doc_id").collect()]
     assert got[0] == got[7] == got[8] == "UNRELIABLE" and got[1] == "RISKY"
     assert "transform" not in Q.report(docs_of(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f20_non_wordlike_share_without_lambdas(spark):
+    docs = docs_of(spark, ODD)
+    long = F.filter(T.tokens(F.col("text")), lambda t: F.length(t) >= 3)
+    plain = T.once(long, lambda ts: T.share(F.size(F.filter(ts, lambda t: T.non_wordlike_score(t) > 0.45)), F.size(ts)))
+    both = docs.select(Q.non_wordlike_frac(F.col("text")).alias("a"), plain.alias("b"))
+    assert all(r["a"] == r["b"] for r in both.collect())
+    assert "lambda" not in docs.select(Q.non_wordlike_frac(F.col("text")))._jdf.queryExecution().executedPlan().toString()
