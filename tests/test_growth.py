@@ -222,3 +222,10 @@ def test_f20_non_wordlike_share_without_lambdas(spark):
     both = docs.select(Q.non_wordlike_frac(F.col("text")).alias("a"), plain.alias("b"))
     assert all(r["a"] == r["b"] for r in both.collect())
     assert "lambda" not in docs.select(Q.non_wordlike_frac(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f21_caps_measure_a_text_once(spark):
+    docs = docs_of(spark, ["bcd fgh the", "house river", None, "### 123 a?b"])
+    df = docs.select(S.junk_ratio(F.col("text")).alias("j"), S.capped_confidence(F.lit(0.9), F.col("text")).alias("c"))
+    assert [(round(r["j"], 3), r["c"]) for r in df.collect()] == [(0.667, 0.75), (0.0, 0.9), (0.0, 0.9), (1.0, 0.75)]
+    assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
