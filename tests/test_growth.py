@@ -229,3 +229,13 @@ def test_f21_caps_measure_a_text_once(spark):
     df = docs.select(S.junk_ratio(F.col("text")).alias("j"), S.capped_confidence(F.lit(0.9), F.col("text")).alias("c"))
     assert [(round(r["j"], 3), r["c"]) for r in df.collect()] == [(0.667, 0.75), (0.0, 0.9), (0.0, 0.9), (1.0, 0.75)]
     assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f22_fits_look_up_each_word(spark):
+    text = "dominus et sanctus pater Æterna aoe-\nlan"
+    grams = [w[i : i + 3] for w in W.key_words(text) for i in range(len(w) - 2)]
+    assert W.key_words(text) == ["dominus", "sanctus", "pater", "eterna", "aelan"]
+    got = docs_of(spark, [text, None]).select(X.fits(F.col("text")).alias("f"))
+    for name, trigrams in X.PROFILES.items():
+        assert abs(got.first()["f"][name] - min(1.0, sum(g in trigrams for g in grams) / len(grams) / 0.55)) < 1e-12
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
