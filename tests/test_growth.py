@@ -239,3 +239,8 @@ def test_f22_fits_look_up_each_word(spark):
     for name, trigrams in X.PROFILES.items():
         assert abs(got.first()["f"][name] - min(1.0, sum(g in trigrams for g in grams) / len(grams) / 0.55)) < 1e-12
     assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f23_inferred_grids_name_each_part_once(spark):
+    df = spark.createDataFrame([(400, 600), (90, 90)], "w int, h int").select(Y.inferred_grid(Y.grid(3, 2, F.col("w"), F.col("h"))).alias("g"))
+    assert [r["g"] for r in df.collect()] == ["3x2", "1x1"] and nodes(df) < 20_000
