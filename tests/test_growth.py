@@ -244,3 +244,10 @@ def test_f22_fits_look_up_each_word(spark):
 def test_f23_inferred_grids_name_each_part_once(spark):
     df = spark.createDataFrame([(400, 600), (90, 90)], "w int, h int").select(Y.inferred_grid(Y.grid(3, 2, F.col("w"), F.col("h"))).alias("g"))
     assert [r["g"] for r in df.collect()] == ["3x2", "1x1"] and nodes(df) < 20_000
+
+
+def test_f24_only_what_may_be_among_the_best_goes_on(spark):
+    docs = docs_of(spark, [("roi " * (1 + k % 50) if k % 50 > 24 else "le ") + "x" for k in range(4000)])
+    df = R.bm25(docs, spark.createDataFrame([(1, "roi")], "q int, text string"), ["doc_id"], "q", T.word_terms, 5)
+    assert [r["doc_id"] for r in df.orderBy("rank").collect()] == [49, 99, 149, 199, 249]
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
