@@ -251,3 +251,11 @@ def test_f24_only_what_may_be_among_the_best_goes_on(spark):
     df = R.bm25(docs, spark.createDataFrame([(1, "roi")], "q int, text string"), ["doc_id"], "q", T.word_terms, 5)
     assert [r["doc_id"] for r in df.orderBy("rank").collect()] == [49, 99, 149, 199, 249]
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f25_gibberish_takes_one_pass_of_a_text(spark, tmp_path):
+    d = tables(spark, tmp_path, documents=docs_of(spark, ["bcdfghk qxzx jqxz " * 40, "the house by the river"]))
+    df = QUERIES["gibberish_no_language"](spark, d)
+    got = {r["doc_id"]: r["gibberish_score"] for r in df.collect()}
+    assert got[0] > 0.6 and got[1] < 0.05
+    assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
