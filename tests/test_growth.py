@@ -259,3 +259,10 @@ def test_f25_gibberish_takes_one_pass_of_a_text(spark, tmp_path):
     got = {r["doc_id"]: r["gibberish_score"] for r in df.collect()}
     assert got[0] > 0.6 and got[1] < 0.05
     assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f26_suspicious_tokens_are_counted_in_their_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "xq xq 12a MCD"), (1, "xq"), (2, None)], "doc_id long, text string")
+    df = QUERIES["suspicious_tokens"](spark, tables(spark, tmp_path, documents=docs))
+    assert sorted(map(tuple, df.collect())) == [(1, "12a", True, 1), (1, "MCD", False, 1), (1, "xq", False, 3)]
+    assert "rlike" not in df._jdf.queryExecution().executedPlan().toString().lower()
