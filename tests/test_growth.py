@@ -266,3 +266,11 @@ def test_f26_suspicious_tokens_are_counted_in_their_text(spark, tmp_path):
     df = QUERIES["suspicious_tokens"](spark, tables(spark, tmp_path, documents=docs))
     assert sorted(map(tuple, df.collect())) == [(1, "12a", True, 1), (1, "MCD", False, 1), (1, "xq", False, 3)]
     assert "rlike" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_f27_region_quality_without_lambdas_over_tokens(spark, tmp_path):
+    d = tables(spark, tmp_path, documents=docs_of(spark, ODD))
+    df = QUERIES["region_quality"](spark, d)
+    got = {r["doc_id"]: r["quality"] for r in df.collect()}
+    assert got[0] == got[8] == 0.0 and abs(got[2] - round(0.2 * 0.2 + 0.45 * max(X._fit_of(ODD[2])) + 0.35, 4)) < 1e-9
+    assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
