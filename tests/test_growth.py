@@ -274,3 +274,10 @@ def test_f27_region_quality_without_lambdas_over_tokens(spark, tmp_path):
     got = {r["doc_id"]: r["quality"] for r in df.collect()}
     assert got[0] == got[8] == 0.0 and abs(got[2] - round(0.2 * 0.2 + 0.45 * max(X._fit_of(ODD[2])) + 0.35, 4)) < 1e-9
     assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f28_tile_boxes_name_each_part_once(spark):
+    df = spark.createDataFrame([(1300, 1000), (100, 100)], "w int, h int").select(Y.tile_boxes(Y.box(F.lit(0), F.lit(0), F.col("w"), F.col("h")), F.col("w"), F.col("h")).alias("t"))
+    many, one = (r["t"] for r in df.collect())
+    assert len(many) == 11 and many[0]["x2"] == 1300 and many[1]["x2"] == 715 and many[2]["x1"] == 585 and len(one) == 1
+    assert nodes(df) < 30_000
