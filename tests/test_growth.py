@@ -281,3 +281,9 @@ def test_f28_tile_boxes_name_each_part_once(spark):
     many, one = (r["t"] for r in df.collect())
     assert len(many) == 11 and many[0]["x2"] == 1300 and many[1]["x2"] == 715 and many[2]["x1"] == 585 and len(one) == 1
     assert nodes(df) < 30_000
+
+
+def test_f29_masked_lines_by_hand(spark):
+    df = docs_of(spark, ["nbcdfgh the\nthe house of kkk a\n\nMCD", None]).select(S.masked_lines(F.col("text")).alias("m"))
+    assert [r["m"] for r in df.collect()] == ["[…]\nthe house of kkk a\n\nMCD", ""]
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
